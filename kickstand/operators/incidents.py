@@ -31,7 +31,7 @@ def incident_features(incidents, time_col="occurred_at", resolved_col="resolved_
 def incident_type_mix(demand):
     """One row per demand row and incident type with the type's relative probability.
 
-    Needs `hour`, `month`, `area_type` and `vendor`. The weights of all types are expressions on one
+    Needs `day`, `hour`, `area_type` and `vendor`. The weights of all types are expressions on one
     row, so the mix is normalised in place: no shuffle, and no window over the expanded rows.
     """
     band, month = X.hour_band("hour"), F.month("day")

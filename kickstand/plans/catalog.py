@@ -1,10 +1,184 @@
 """Every query of the engine on the driver's tables, by name."""
 
+from pyspark.sql import functions as F
+
+from kickstand import constants as C
+from kickstand.functions import columns as X
+from kickstand.functions import groups as G
+from kickstand.operators import calibration as CA
+from kickstand.operators import fleet as FL
 from kickstand.operators import incidents as I
 from kickstand.operators import maintenance as M
+from kickstand.operators import status as ST
+from kickstand.operators import tasks as TK
 from kickstand.operators import trips as TR
+from kickstand.plans import kpi as K
+from kickstand.sources import readers as R
 from kickstand.sources.fixtures import Fleet
 
+
+# --- inputs shared by several queries ---------------------------------------------
+
+
+def _demand(t):
+    return TR.trips_hourly(t.trips_canon)
+
+
+def _typed_demand(t):
+    return TR.with_area_type(_demand(t), t.service_areas)
+
+
+def _canon(t):
+    return R.trips_canon(t.trips_raw)
+
+
+def _catalog(t):
+    return CA.area_catalog(None, t.service_areas)
+
+
+# --- queries that round, aggregate or project an operator's output ----------------
+
+
+def _trips_canon(t):
+    return _canon(t).groupBy("vendor", "day", "hour", "area_name", "distance_m").agg(F.count("*").alias("trips"))
+
+
+def _vendor_canon(t):
+    names = t.trips_raw.groupBy("provider_name").agg(F.count("*").alias("trips"))
+    return names.withColumn("vendor", X.vendor_canon("provider_name"))
+
+
+def _canon_hourly(t):
+    canon = _canon(t)
+    return TR.canon_hourly(canon, CA.area_catalog(canon))
+
+
+def _demand_shares(t):
+    return TR.demand_shares(_demand(t))
+
+
+def _time_features(t):
+    return X.time_features(t.incidents.select("incident_id", "occurred_at"), "occurred_at").drop("occurred_at")
+
+
+def _vendor_month_mix(t):
+    return CA.vendor_month_mix(_demand(t)).select(
+        "month", "vendor", F.round("raw", 6).alias("raw"), F.round("share", 6).alias("share")
+    )
+
+
+def _normalize_with_floors(t):
+    """Vendor shares per area type, by trips."""
+    weights = K.by_area_type(
+        K.trips_by(_demand(t), "vendor", "service_area_id"), t.service_areas, ["vendor"], ["trips"]
+    )
+    shares = G.normalize_with_floors(weights, ["area_type"], "vendor", "trips", C.VENDOR_SHARE_FLOORS)
+    return shares.withColumn("share", F.round("share", 6))
+
+
+def _rounded(df, places, *cols):
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
+def _expected_demand(t):
+    spine = CA.expected_demand(_demand(t), _catalog(t))
+    return spine.groupBy(X.month_start("day").alias("month"), "hour", "vendor").agg(
+        F.count("*").alias("cells"), F.round(F.sum("expected_trips"), 4).alias("expected_trips")
+    )
+
+
+def _demand_vs_expected(t):
+    rows = CA.demand_vs_expected(_demand(t), _catalog(t), floor_total=1)
+    return _rounded(rows, 6, "expected_trips", "observed_ratio")
+
+
+def _expected_incidents(t):
+    rows = I.expected_incidents(_typed_demand(t))
+    return rows.groupBy("day", "vendor", "incident_type").agg(
+        F.round(F.sum("expected_incidents"), 6).alias("expected_incidents")
+    )
+
+
+def _status_sla(t):
+    return ST.status_sla(t.status_changes).select(
+        "event_id", "event_type", "handle_minutes", "sla_minutes", "sla_met_int", "handled_at"
+    )
+
+
+def _status_flags(t):
+    return ST.status_flags(t.status_changes).select("event_id", "event_type", "offline_minutes", "compliance_flag")
+
+
+def _active(t):
+    rows = ST.with_active(_demand(t), t.vehicles)
+    return rows.groupBy("vendor", "service_area_id").agg(
+        F.max("active_vehicles").alias("active_vehicles"), F.count("*").alias("demand_rows")
+    )
+
+
+def _expected_status(t):
+    rows = ST.expected_status_events(_typed_demand(t), t.vehicles)
+    return rows.groupBy("day", "vendor", "event_type").agg(F.round(F.sum("expected"), 6).alias("expected"))
+
+
+def _expected_tasks(t):
+    rows = TK.expected_tasks(_typed_demand(t))
+    return rows.groupBy("day", "vendor", "task_type").agg(F.round(F.sum("expected"), 6).alias("expected"))
+
+
+def _workload(t):
+    rows = TK.with_workload(t.incidents, _demand(t), "occurred_at")
+    return rows.select("incident_id", "vendor", "service_area_id", "workload_trips_hour")
+
+
+def _task_workload(t):
+    rows = TK.with_workload(t.tasks, _demand(t), "created_at")
+    return rows.select("task_id", "vendor", "service_area_id", "workload_trips_hour")
+
+
+def _task_timeline(t):
+    return TK.task_timeline(t.tasks).select(
+        "task_id", "status", "assigned_at", "completed_at", "deadline_at", "response_minutes", "work_minutes",
+        "total_minutes",
+    )
+
+
+def _task_sla(t):
+    return TK.task_sla(t.tasks).select("task_id", "task_type", "status", "sla_target_min", "sla_met_int")
+
+
+def _task_priority(t):
+    return TK.task_priority(t.tasks).select("task_id", "task_type", "priority")
+
+
+def _task_cost(t):
+    return TK.task_cost(t.tasks).select("task_id", "task_type", "move_km", "cost_usd")
+
+
+def _task_linkage(t):
+    return TK.task_linkage(t.tasks, t.incidents).select(
+        "task_id", "linked_incident_id", "incident_type", "cause_at", "minutes_to_task"
+    )
+
+
+def _vehicle_features(t):
+    trips = t.trips_canon
+    rows = FL.vehicle_features(
+        t.vehicles, trips.agg(F.max(F.to_date("started_at"))).scalar(), CA.avg_trip_km(trips).scalar()
+    )
+    return rows.select(
+        "vehicle_id", "days_in_service", F.round("est_trips", 4).alias("est_trips"), "est_daily_energy_wh",
+        "battery_cycles_est",
+    )
+
+
+def _trip_cost(t):
+    priced = FL.trip_cost(t.trips_canon, t.pricing)
+    return priced.select(
+        "trip_id", "vendor", "started_at", "duration_s", "distance_m", F.round("trip_cost", 4).alias("trip_cost")
+    )
+
+
 EXTRACTS = {
     "daily_trips_by_vendor": lambda t: TR.daily_trips_by_vendor(t.trips_canon),
     "avg_trips_by_vendor": lambda t: TR.avg_trips_by_vendor(t.trips_canon),
@@ -15,7 +189,83 @@ EXTRACTS = {
     "incidents_by_type": lambda t: I.incidents_by_type(t.incidents),
 }
 
-QUERIES = {**EXTRACTS}
+CALIBRATION = {
+    "trips_canon": _trips_canon,
+    "vendor_canon": _vendor_canon,
+    "area_catalog": lambda t: CA.area_catalog(_canon(t)),
+    "trips_hourly": _demand,
+    "canon_hourly": _canon_hourly,
+    "demand_shares": _demand_shares,
+    "with_area_type": _typed_demand,
+    "time_features": _time_features,
+    "vendor_month_mix": _vendor_month_mix,
+    "normalize_with_floors": _normalize_with_floors,
+    "hour_shape": lambda t: _rounded(CA.hour_shape(_demand(t)), 8, "weight"),
+    "area_weights": lambda t: _rounded(CA.area_weights(_demand(t), _catalog(t)), 8, "weight"),
+    "vendor_area_mix": lambda t: _rounded(CA.vendor_area_mix(_demand(t), _catalog(t)), 8, "weight"),
+    "daily_median": lambda t: CA.daily_median(_demand(t)),
+    "month_multiplier": lambda t: _rounded(CA.month_multiplier(_demand(t)), 8, "multiplier"),
+    "weekend_boost": lambda t: _rounded(CA.weekend_boost(_demand(t)), 8, "weekend_boost"),
+    "vendor_daily_avg": lambda t: _rounded(CA.vendor_daily_avg(_demand(t)), 6, "daily_avg"),
+    "fleet_sizing": lambda t: _rounded(CA.fleet_sizing(CA.vendor_daily_avg(_demand(t))), 6, "daily_avg"),
+    "avg_trip_km": lambda t: _rounded(CA.avg_trip_km(t.trips_canon), 6, "avg_trip_km"),
+    "expected_demand": _expected_demand,
+    "demand_vs_expected": _demand_vs_expected,
+}
+
+OPERATIONS = {
+    "incident_features": lambda t: I.incident_features(t.incidents),
+    "incident_type_mix": lambda t: _rounded(I.incident_type_mix(_typed_demand(t)), 8, "probability"),
+    "expected_incidents": _expected_incidents,
+    "incidents_vs_expected": lambda t: _rounded(
+        I.incidents_vs_expected(t.incidents, _typed_demand(t)), 6, "expected_incidents", "observed_ratio"
+    ),
+    "status_sla": _status_sla,
+    "status_flags": _status_flags,
+    "active_by_vendor_area": _active,
+    "expected_status_events": _expected_status,
+    "workload_trips_hour": _workload,
+    "task_workload": _task_workload,
+    "task_candidates": lambda t: TK.task_candidates(t.incidents, t.status_changes),
+    "task_timeline": _task_timeline,
+    "task_sla": _task_sla,
+    "task_priority": _task_priority,
+    "task_cost": _task_cost,
+    "expected_tasks": _expected_tasks,
+    "task_linkage": _task_linkage,
+    "linked_tasks": lambda t: TK.linked_tasks(t.tasks, t.incidents).select("task_id", "task_type", "vendor"),
+    "unlinked_tasks": lambda t: TK.unlinked_tasks(t.tasks, t.incidents).select("task_id", "task_type", "vendor"),
+    "vehicle_features": _vehicle_features,
+    "trip_cost": _trip_cost,
+    "trip_cost_by_vendor_month": lambda t: FL.trip_cost_by_vendor_month(t.trips_canon, t.pricing),
+}
+
+MEASURES = {
+    "trips_by_vendor_month": lambda t: K.trips_by_vendor_month(_demand(t)),
+    "incidents_per_1k_trips": lambda t: K.incidents_per_1k_trips(t.incidents, _demand(t)),
+    "tasks_per_1k_trips": lambda t: K.tasks_per_1k_trips(t.tasks, _demand(t)),
+    "sla_pct_tasks": lambda t: K.sla_pct_tasks(t.tasks),
+    "sla_pct_status": lambda t: K.sla_pct_status(t.status_changes),
+    "sla_matrix": lambda t: K.sla_matrix(t.tasks, t.status_changes, t.service_areas),
+    "task_cost_total": lambda t: K.task_cost_total(t.tasks),
+    "risk_vs_spend": lambda t: K.risk_vs_spend(t.incidents, t.tasks, _demand(t)),
+    "cost_heatmap": lambda t: K.cost_heatmap(t.incidents, t.tasks, t.service_areas),
+    "trips_heatmap": lambda t: K.trips_heatmap(_demand(t), t.service_areas),
+    "trips_heatmap_wide": lambda t: K.trips_heatmap_wide(_demand(t), t.service_areas),
+    "incident_summary": lambda t: K.incident_summary(t.incidents),
+    "cost_waterfall": lambda t: K.cost_waterfall(t.incidents),
+    "load_vs_handle": lambda t: K.load_vs_handle(t.status_changes, _demand(t)),
+    "vendor_monthly": lambda t: K.vendor_monthly(_demand(t), t.incidents, t.tasks),
+    "task_funnel": lambda t: K.task_funnel(t.tasks),
+    "measures_cube": lambda t: K.task_measures_cube(t.tasks),
+    "fleet_mix": lambda t: K.fleet_mix(t.vehicles),
+    "odometer_distribution": lambda t: K.odometer_distribution(t.vehicles),
+    "incidents_per_10k_km": lambda t: K.incidents_per_10k_km(t.incidents, t.vehicles),
+    "vehicle_drill_through": lambda t: K.vehicle_drill_through(t.vehicles, t.incidents, t.status_changes),
+    "events_count": lambda t: K.events_count(t.incidents, t.status_changes, t.tasks),
+}
+
+QUERIES = {**EXTRACTS, **CALIBRATION, **OPERATIONS, **MEASURES}
 
 
 def all_queries():

@@ -3,8 +3,21 @@
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "double": T.DoubleType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
 def _table(text):
-    return T.StructType.fromDDL(text)
+    """Schema from `name type` pairs; unlike a DDL string it needs no running session."""
+    pairs = [column.split() for column in text.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 HOURLY_DEMAND = _table(

@@ -4,8 +4,6 @@ CSV files are read as text by header name and cast column by column: a schema gi
 reader binds by position, and inference would read the data twice.
 """
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from kickstand import constants as C
@@ -166,7 +164,3 @@ def read_raw_trips(spark, path, **kwargs):
     wanted = [c for c in dict.fromkeys(mapping.values()) if c]
     raw = read_text_csv(spark, path).select(*[F.col(f"`{c}`").alias(c) for c in wanted])
     return trips_canon(raw, mapping, **kwargs)
-
-
-def union_all(*frames):
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
