@@ -89,5 +89,5 @@ def trip_cost_by_vendor_month(trips, pricing):
     return (
         with_policy(daily, pricing, "day")
         .groupBy("vendor", X.month_start("day").alias("month"))
-        .agg(X.total("trips").alias("trips"), F.round(F.sum(revenue), 2).alias("revenue"))
+        .agg(X.total("trips").alias("trips"), F.sum(revenue).alias("revenue"))
     )

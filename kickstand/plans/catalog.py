@@ -89,13 +89,13 @@ def _expected_demand(t):
 
 def _demand_vs_expected(t):
     rows = CA.demand_vs_expected(_demand(t), _catalog(t), floor_total=1)
-    return _rounded(rows, 6, "expected_trips", "observed_ratio")
+    return _rounded(_rounded(rows, 10, "expected_trips"), 6, "observed_ratio")
 
 
 def _expected_incidents(t):
     rows = I.expected_incidents(_typed_demand(t))
     return rows.groupBy("day", "vendor", "incident_type").agg(
-        F.round(F.sum("expected_incidents"), 6).alias("expected_incidents")
+        F.round(F.sum("expected_incidents"), 10).alias("expected_incidents")
     )
 
 
@@ -118,12 +118,12 @@ def _active(t):
 
 def _expected_status(t):
     rows = ST.expected_status_events(_typed_demand(t), t.vehicles)
-    return rows.groupBy("day", "vendor", "event_type").agg(F.round(F.sum("expected"), 6).alias("expected"))
+    return rows.groupBy("day", "vendor", "event_type").agg(F.round(F.sum("expected"), 12).alias("expected"))
 
 
 def _expected_tasks(t):
     rows = TK.expected_tasks(_typed_demand(t))
-    return rows.groupBy("day", "vendor", "task_type").agg(F.round(F.sum("expected"), 6).alias("expected"))
+    return rows.groupBy("day", "vendor", "task_type").agg(F.round(F.sum("expected"), 12).alias("expected"))
 
 
 def _workload(t):
@@ -175,7 +175,7 @@ def _vehicle_features(t):
 def _trip_cost(t):
     priced = FL.trip_cost(t.trips_canon, t.pricing)
     return priced.select(
-        "trip_id", "vendor", "started_at", "duration_s", "distance_m", F.round("trip_cost", 4).alias("trip_cost")
+        "trip_id", "vendor", "started_at", "duration_s", "distance_m", F.round("trip_cost", 6).alias("trip_cost")
     )
 
 
@@ -218,7 +218,7 @@ OPERATIONS = {
     "incident_type_mix": lambda t: _rounded(I.incident_type_mix(_typed_demand(t)), 8, "probability"),
     "expected_incidents": _expected_incidents,
     "incidents_vs_expected": lambda t: _rounded(
-        I.incidents_vs_expected(t.incidents, _typed_demand(t)), 6, "expected_incidents", "observed_ratio"
+        _rounded(I.incidents_vs_expected(t.incidents, _typed_demand(t)), 10, "expected_incidents"), 6, "observed_ratio"
     ),
     "status_sla": _status_sla,
     "status_flags": _status_flags,
@@ -237,7 +237,9 @@ OPERATIONS = {
     "unlinked_tasks": lambda t: TK.unlinked_tasks(t.tasks, t.incidents).select("task_id", "task_type", "vendor"),
     "vehicle_features": _vehicle_features,
     "trip_cost": _trip_cost,
-    "trip_cost_by_vendor_month": lambda t: FL.trip_cost_by_vendor_month(t.trips_canon, t.pricing),
+    "trip_cost_by_vendor_month": lambda t: _rounded(
+        FL.trip_cost_by_vendor_month(t.trips_canon, t.pricing), 6, "revenue"
+    ),
 }
 
 MEASURES = {
@@ -255,6 +257,9 @@ MEASURES = {
     "incident_summary": lambda t: K.incident_summary(t.incidents),
     "cost_waterfall": lambda t: K.cost_waterfall(t.incidents),
     "load_vs_handle": lambda t: K.load_vs_handle(t.status_changes, _demand(t)),
+    "load_vs_resolution": lambda t: K.load_vs_handle(
+        I.incident_features(t.incidents), _demand(t), "occurred_at", "resolve_minutes"
+    ),
     "vendor_monthly": lambda t: K.vendor_monthly(_demand(t), t.incidents, t.tasks),
     "task_funnel": lambda t: K.task_funnel(t.tasks),
     "measures_cube": lambda t: K.task_measures_cube(t.tasks),

@@ -251,20 +251,20 @@ def incident_summary(incidents):
     )
 
 
-def load_vs_handle(status, demand, time_col="event_time"):
+def load_vs_handle(events, demand, time_col="event_time", minutes_col="handle_minutes"):
     """Mean trips per hour around an event and mean handling minutes, by vendor and area.
 
     Events are counted per demand key first, so the join is one row to one row whatever the skew.
     """
     keys = ["day", "hour", "service_area_id", "vendor"]
-    events = status.groupBy(
+    counts = events.groupBy(
         F.to_date(time_col).alias("day"), F.hour(time_col).alias("hour"), "service_area_id", "vendor"
     ).agg(
         F.count("*").alias("_events"),
-        F.count("handle_minutes").alias("_handled"),
-        F.coalesce(X.total("handle_minutes"), F.lit(0)).alias("_minutes"),
+        F.count(minutes_col).alias("_handled"),
+        F.coalesce(X.total(minutes_col), F.lit(0)).alias("_minutes"),
     )
-    joined = events.join(demand.groupBy(*keys).agg(X.total("trips").alias("_trips")), keys, "left")
+    joined = counts.join(demand.groupBy(*keys).agg(X.total("trips").alias("_trips")), keys, "left")
     sums = joined.groupBy("vendor", "service_area_id").agg(
         X.total("_events").alias("events"),
         X.total(F.coalesce("_trips", F.lit(0)) * F.col("_events")).alias("_load"),

@@ -1,26 +1,12 @@
 """Oracle SQL of the trip, maintenance and incident extracts, in the report's own join form."""
 
-from kickstand.sources.fixtures import SELECTS
-
-
-def with_fleet(tables, body):
-    """SQL with the named fleet tables as CTEs; a body that starts with a comma adds CTEs of its own."""
-    return "with " + ",\n".join(f"{t} as ({SELECTS[t]})" for t in tables) + "\n" + body
-
+from kickstand.plans.oracle_parts import half_up, with_fleet
 
 QUALITY = """duration_s is not null and duration_s > 60 and distance_m is not null and distance_m > 0
     and distance_m <= 20000 and 36*cast(distance_m as bigint)
       between 10*{lo}*cast(duration_s as bigint) and 10*{hi}*cast(duration_s as bigint)"""
 
 
-def half_up(total, unit, rows):
-    """total / (unit * rows) at two places, half up, in integers."""
-    return (
-        f"cast((200*cast({total} as hugeint) + {unit}*cast({rows} as hugeint))"
-        f" // (2*{unit}*cast({rows} as hugeint)) as double)/100"
-    )
-
-
 EXTRACTS = {
     "daily_trips_by_vendor": with_fleet(
         ["trips_canon"],
