@@ -44,8 +44,13 @@ def first_text(*texts):
 
 
 def vendor_canon(vendor, vendor_map=None, fallback=C.FALLBACK_VENDOR):
-    """Canonical vendor name; unknown and NULL names become `fallback`."""
-    return lookup(norm_text(vendor), vendor_map or C.VENDOR_ALIASES, fallback)
+    """Canonical vendor name; unknown and NULL names become `fallback`.
+
+    A name that is already canonical is passed through before any text is normalised.
+    """
+    vendor, aliases = as_col(vendor), vendor_map or C.VENDOR_ALIASES
+    canonical = sorted({name for name in aliases.values() if aliases.get(name.lower()) == name})
+    return F.when(vendor.isin(*canonical), vendor).otherwise(lookup(norm_text(vendor), aliases, fallback))
 
 
 def vendor_code(vendor):

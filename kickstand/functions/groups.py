@@ -17,8 +17,9 @@ def rank_values(counted, keys, value, weight="n", bucket=None):
 
     `counted` has one row per keys + integer value, with its row count in `weight`. Without `bucket`
     a group is ranked in one window over its distinct values, for values with a small domain.
-    With `bucket` (a width) ranking is split in two: inside each bucket of values, and over the
-    bucket totals, so that neither window grows with all distinct values of the group.
+    With `bucket` (a width) ranking is split in two: totals per bucket are accumulated over the group,
+    then each bucket ranks its own values on top of one offset row that carries the total of the buckets
+    before it. Neither window grows with all distinct values of the group.
     """
     if bucket is None:
         group = Window.partitionBy(*keys)
@@ -27,25 +28,24 @@ def rank_values(counted, keys, value, weight="n", bucket=None):
             {"below": upto - F.col(weight), "group_rows": F.sum(weight).over(group)}
         )
 
-    split = counted.withColumn("_bucket", F.call_function("div", F.col(value), F.lit(bucket)))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    split = split.withColumn("_inner", F.sum(weight).over(inner) - F.col(weight))
+    bucketed = counted.withColumn("_bucket", F.call_function("div", F.col(value), F.lit(bucket)))
     group = Window.partitionBy(*keys)
-    upto = F.sum("_size").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    # Sizes come from the rows `split` was built from; renamed keys keep the two sides of the join apart.
-    sizes = (
-        counted.groupBy(*keys, F.call_function("div", F.col(value), F.lit(bucket)).alias("_bucket"))
-        .agg(F.sum(weight).alias("_size"))
-        .withColumns({"_outer": upto - F.col("_size"), "group_rows": F.sum("_size").over(group)})
-        .drop("_size")
+    upto = F.sum(weight).over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    offsets = (
+        bucketed.groupBy(*keys, "_bucket")
+        .agg(F.sum(weight).alias(weight))
+        .withColumns({"_size": F.col(weight), "_all": F.sum(weight).over(group), "_upto": upto})
+        .withColumn(weight, F.col("_upto") - F.col("_size"))
+        .select(*keys, "_bucket", weight, "_all")
     )
-    sizes = reduce(lambda d, k: d.withColumnRenamed(k, f"_k_{k}"), [*keys, "_bucket"], sizes)
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_bucket"]]
-    return (
-        split.join(sizes, same, "inner")
-        .withColumn("below", F.col("_inner") + F.col("_outer"))
-        .drop("_inner", "_outer", "_bucket", *[f"_k_{k}" for k in [*keys, "_bucket"]])
+    merged = bucketed.unionByName(offsets, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_bucket")
+    # the offset row has no value and sorts first
+    running = inside.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumns(
+        {"below": F.sum(weight).over(running) - F.col(weight), "group_rows": F.max("_all").over(inside)}
     )
+    return ranked.filter(F.col(value).isNotNull()).drop("_bucket", "_all")
 
 
 def percentile_of(value, tenths, unit, places=4, weight="n"):

@@ -31,23 +31,22 @@ def service_events_per_day(status, out_type=C.PICKUP_EVENT, time_col="event_time
 def next_event(events, key, time_col, tiebreak, carry):
     """Add `next_time` and `next_<carry>`: the following event of the same key in time order.
 
-    A key may hold a large part of all events, so its history is cut by day: `lead` runs inside a
-    key-day, and the last event of a day takes the first event of the key's next active day from a
-    table with one row per key and active day.
+    A key may hold a large part of all events, so its history is cut by day. The first event of each
+    day is copied to the end of the key's previous active day, from a table with one row per key and
+    active day; after that `lead` inside a key-day sees every successor, and the copies are dropped.
     """
-    sliced = events.filter(F.col(time_col).isNotNull()).withColumn("_slice", F.to_date(time_col))
-    event = F.struct(F.col(time_col), F.col(tiebreak), F.col(carry))
-    within = Window.partitionBy(key, "_slice").orderBy(time_col, tiebreak)
-    firsts = sliced.groupBy(F.col(key).alias("_key"), F.col("_slice").alias("_day")).agg(F.min(event).alias("_first"))
-    across = Window.partitionBy("_key").orderBy("_day")
-    firsts = firsts.select("_key", "_day", F.lead("_first").over(across).alias("_later"))
-    joined = sliced.withColumn("_next", F.lead(event).over(within)).join(
-        firsts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_day")), "left"
+    event = [time_col, tiebreak, carry]
+    sliced = events.filter(F.col(time_col).isNotNull()).select(key, *event, F.to_date(time_col).alias("_day"))
+    firsts = sliced.groupBy(key, "_day").agg(F.min(F.struct(*event)).alias("_first"))
+    days_of_key = Window.partitionBy(key).orderBy("_day")
+    copies = firsts.withColumn("_day", F.lag("_day").over(days_of_key)).filter(F.col("_day").isNotNull())
+    copies = copies.select(key, "_first.*", "_day", F.lit(True).alias("_copy"))
+    within = Window.partitionBy(key, "_day").orderBy(time_col, tiebreak)
+    merged = sliced.withColumn("_copy", F.lit(False)).unionByName(copies)
+    follower = merged.withColumns(
+        {"next_time": F.lead(time_col).over(within), f"next_{carry}": F.lead(carry).over(within)}
     )
-    follower = F.coalesce("_next", "_later")
-    return joined.withColumns(
-        {"next_time": follower[time_col], f"next_{carry}": follower[carry]}
-    ).drop("_slice", "_next", "_key", "_day", "_later")
+    return follower.filter(~F.col("_copy")).drop("_day", "_copy")
 
 
 def downtime_pairs(
@@ -58,9 +57,7 @@ def downtime_pairs(
     tiebreak="event_id",
 ):
     """Pickup directly followed by a later dropoff of the same vehicle."""
-    moves = status.filter(F.col("event_type").isin(out_type, in_type)).select(
-        "vehicle_id", time_col, tiebreak, "event_type"
-    )
+    moves = status.filter(F.col("event_type").isin(out_type, in_type))
     paired = next_event(moves, "vehicle_id", time_col, tiebreak, "event_type")
     return paired.filter(
         (F.col("event_type") == out_type)

@@ -30,8 +30,9 @@ def daily_trips_by_vendor(trips, start=None, end=None):
     if end is not None:
         rows = rows.filter(F.col("started_at") < F.lit(end).cast("timestamp_ntz"))
     counts = rows.groupBy(F.to_date("started_at").alias("day"), "vendor").agg(F.count("*").alias("trips"))
+    # placed by day range, the rows need no further shuffle for the day total or for the final order
     return (
-        G.with_totals(counts, "trips", total_trips=["day"])
+        G.with_totals(counts.repartitionByRange("day"), "trips", total_trips=["day"])
         .withColumn("vendor_share", X.exact_ratio("trips", "total_trips", 4))
         .select("day", "vendor", "trips", "total_trips", "vendor_share")
         .orderBy("day", "vendor")
@@ -50,7 +51,9 @@ def avg_trips_by_vendor(trips, speed_lo=3, speed_hi=35):
         .groupBy("vendor", F.to_date("started_at").alias("day"), "distance_m")
         .agg(F.count("*").alias("n"), X.total("duration_s").alias("seconds"))
     )
-    ranked = G.rank_values(counted, keys, "distance_m")
+    order = [F.col("day").asc_nulls_last(), F.col("vendor").asc_nulls_last()]
+    # one range shuffle serves the ranking, the aggregate per vendor and day, and the final order
+    ranked = G.rank_values(counted.repartitionByRange(*order), keys, "distance_m")
     out = ranked.groupBy(*keys).agg(
         X.total("n").alias("trips"),
         X.total("seconds").alias("_seconds"),
@@ -66,7 +69,7 @@ def avg_trips_by_vendor(trips, speed_lo=3, speed_hi=35):
         X.exact_ratio("_metres", F.col("trips") * 1000, 2).alias("avg_distance_km"),
         "p50_km",
         "p90_km",
-    ).orderBy("day", F.col("vendor").asc_nulls_last())
+    ).orderBy(*order)
 
 
 def hourly_demand_by_vendor(trips, speed_lo=5, speed_hi=30):
@@ -79,9 +82,9 @@ def hourly_demand_by_vendor(trips, speed_lo=5, speed_hi=30):
         .groupBy(F.to_date("started_at").alias("day"), "vendor", F.hour("started_at").alias("hour"))
         .agg(F.count("*").alias("trips"))
     )
-    # the day total first: rows placed by day already sit together by day and vendor
-    totals = G.with_totals(counts, "trips", day_total=["day"])
-    totals = G.with_totals(totals, "trips", vendor_day_total=["day", "vendor"])
+    # placed by day range, the rows need no further shuffle for either total or for the final order
+    totals = G.with_totals(counts.repartitionByRange("day"), "trips", vendor_day_total=["day", "vendor"])
+    totals = G.with_totals(totals, "trips", day_total=["day"])
     return (
         totals.filter(X.keys_known("day", "vendor"))
         .select(
@@ -98,19 +101,29 @@ def hourly_demand_by_vendor(trips, speed_lo=5, speed_hi=30):
     )
 
 
-def trips_hourly(trips, vendor_map=None, fallback=C.FALLBACK_VENDOR):
-    """Demand table: trips per day, hour, area and canonical vendor.
+def demand_rows(trips, vendor_map=None, fallback=C.FALLBACK_VENDOR):
+    """One demand row per trip: the demand table before it is summed up.
 
-    Every calibration and rate below starts from this table; its size is set by the calendar, the areas
-    and the vendors, not by the number of trips.
+    A measure that sums demand once by its own keys takes these rows: partial aggregation reduces them
+    before its only shuffle. Work that reads demand several times takes `trips_hourly`.
     """
-    dated = trips.filter(X.keys_known("started_at"))
-    return dated.groupBy(
+    return trips.filter(X.keys_known("started_at")).select(
         F.to_date("started_at").alias("day"),
         F.hour("started_at").alias("hour"),
         "service_area_id",
         X.vendor_canon("vendor", vendor_map, fallback).alias("vendor"),
-    ).agg(F.count("*").alias("trips"))
+        F.lit(1).cast("bigint").alias("trips"),
+    )
+
+
+def trips_hourly(trips, vendor_map=None, fallback=C.FALLBACK_VENDOR):
+    """Demand table: trips per day, hour, area and canonical vendor.
+
+    Every calibration and rate below starts from this table; its size is set by the calendar, the areas
+    and the vendors, not by the number of trips.
+    """
+    rows = demand_rows(trips, vendor_map, fallback)
+    return rows.groupBy("day", "hour", "service_area_id", "vendor").agg(F.count("*").alias("trips"))
 
 
 def canon_hourly(canon, catalog):

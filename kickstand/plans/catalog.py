@@ -24,6 +24,10 @@ def _demand(t):
     return TR.trips_hourly(t.trips_canon)
 
 
+def _demand_rows(t):
+    return TR.demand_rows(t.trips_canon)
+
+
 def _typed_demand(t):
     return TR.with_area_type(_demand(t), t.service_areas)
 
@@ -62,7 +66,7 @@ def _time_features(t):
 
 
 def _vendor_month_mix(t):
-    return CA.vendor_month_mix(_demand(t)).select(
+    return CA.vendor_month_mix(_demand_rows(t)).select(
         "month", "vendor", F.round("raw", 6).alias("raw"), F.round("share", 6).alias("share")
     )
 
@@ -70,7 +74,7 @@ def _vendor_month_mix(t):
 def _normalize_with_floors(t):
     """Vendor shares per area type, by trips."""
     weights = K.by_area_type(
-        K.trips_by(_demand(t), "vendor", "service_area_id"), t.service_areas, ["vendor"], ["trips"]
+        K.trips_by(_demand_rows(t), "vendor", "service_area_id"), t.service_areas, ["vendor"], ["trips"]
     )
     shares = G.normalize_with_floors(weights, ["area_type"], "vendor", "trips", C.VENDOR_SHARE_FLOORS)
     return shares.withColumn("share", F.round("share", 6))
@@ -92,6 +96,14 @@ def _demand_vs_expected(t):
     return _rounded(_rounded(rows, 10, "expected_trips"), 6, "observed_ratio")
 
 
+def _incident_type_mix(t):
+    """The mix per vendor, area type, month of the year and hour, over all demand rows."""
+    rows = I.incident_type_mix(_typed_demand(t))
+    return rows.groupBy("vendor", "area_type", F.month("day").alias("month"), "hour", "incident_type").agg(
+        F.count("*").alias("demand_rows"), F.round(F.avg("probability"), 8).alias("probability")
+    )
+
+
 def _expected_incidents(t):
     rows = I.expected_incidents(_typed_demand(t))
     return rows.groupBy("day", "vendor", "incident_type").agg(
@@ -200,14 +212,14 @@ CALIBRATION = {
     "time_features": _time_features,
     "vendor_month_mix": _vendor_month_mix,
     "normalize_with_floors": _normalize_with_floors,
-    "hour_shape": lambda t: _rounded(CA.hour_shape(_demand(t)), 8, "weight"),
-    "area_weights": lambda t: _rounded(CA.area_weights(_demand(t), _catalog(t)), 8, "weight"),
-    "vendor_area_mix": lambda t: _rounded(CA.vendor_area_mix(_demand(t), _catalog(t)), 8, "weight"),
-    "daily_median": lambda t: CA.daily_median(_demand(t)),
-    "month_multiplier": lambda t: _rounded(CA.month_multiplier(_demand(t)), 8, "multiplier"),
-    "weekend_boost": lambda t: _rounded(CA.weekend_boost(_demand(t)), 8, "weekend_boost"),
-    "vendor_daily_avg": lambda t: _rounded(CA.vendor_daily_avg(_demand(t)), 6, "daily_avg"),
-    "fleet_sizing": lambda t: _rounded(CA.fleet_sizing(CA.vendor_daily_avg(_demand(t))), 6, "daily_avg"),
+    "hour_shape": lambda t: _rounded(CA.hour_shape(_demand_rows(t)), 8, "weight"),
+    "area_weights": lambda t: _rounded(CA.area_weights(_demand_rows(t), _catalog(t)), 8, "weight"),
+    "vendor_area_mix": lambda t: _rounded(CA.vendor_area_mix(_demand_rows(t), _catalog(t)), 8, "weight"),
+    "daily_median": lambda t: CA.daily_median(_demand_rows(t)),
+    "month_multiplier": lambda t: _rounded(CA.month_multiplier(_demand_rows(t)), 8, "multiplier"),
+    "weekend_boost": lambda t: _rounded(CA.weekend_boost(_demand_rows(t)), 8, "weekend_boost"),
+    "vendor_daily_avg": lambda t: _rounded(CA.vendor_daily_avg(_demand_rows(t)), 6, "daily_avg"),
+    "fleet_sizing": lambda t: _rounded(CA.fleet_sizing(CA.vendor_daily_avg(_demand_rows(t))), 6, "daily_avg"),
     "avg_trip_km": lambda t: _rounded(CA.avg_trip_km(t.trips_canon), 6, "avg_trip_km"),
     "expected_demand": _expected_demand,
     "demand_vs_expected": _demand_vs_expected,
@@ -215,7 +227,7 @@ CALIBRATION = {
 
 OPERATIONS = {
     "incident_features": lambda t: I.incident_features(t.incidents),
-    "incident_type_mix": lambda t: _rounded(I.incident_type_mix(_typed_demand(t)), 8, "probability"),
+    "incident_type_mix": _incident_type_mix,
     "expected_incidents": _expected_incidents,
     "incidents_vs_expected": lambda t: _rounded(
         _rounded(I.incidents_vs_expected(t.incidents, _typed_demand(t)), 10, "expected_incidents"), 6, "observed_ratio"
@@ -243,24 +255,24 @@ OPERATIONS = {
 }
 
 MEASURES = {
-    "trips_by_vendor_month": lambda t: K.trips_by_vendor_month(_demand(t)),
-    "incidents_per_1k_trips": lambda t: K.incidents_per_1k_trips(t.incidents, _demand(t)),
-    "tasks_per_1k_trips": lambda t: K.tasks_per_1k_trips(t.tasks, _demand(t)),
+    "trips_by_vendor_month": lambda t: K.trips_by_vendor_month(_demand_rows(t)),
+    "incidents_per_1k_trips": lambda t: K.incidents_per_1k_trips(t.incidents, _demand_rows(t)),
+    "tasks_per_1k_trips": lambda t: K.tasks_per_1k_trips(t.tasks, _demand_rows(t)),
     "sla_pct_tasks": lambda t: K.sla_pct_tasks(t.tasks),
     "sla_pct_status": lambda t: K.sla_pct_status(t.status_changes),
     "sla_matrix": lambda t: K.sla_matrix(t.tasks, t.status_changes, t.service_areas),
     "task_cost_total": lambda t: K.task_cost_total(t.tasks),
-    "risk_vs_spend": lambda t: K.risk_vs_spend(t.incidents, t.tasks, _demand(t)),
+    "risk_vs_spend": lambda t: K.risk_vs_spend(t.incidents, t.tasks, _demand_rows(t)),
     "cost_heatmap": lambda t: K.cost_heatmap(t.incidents, t.tasks, t.service_areas),
-    "trips_heatmap": lambda t: K.trips_heatmap(_demand(t), t.service_areas),
-    "trips_heatmap_wide": lambda t: K.trips_heatmap_wide(_demand(t), t.service_areas),
+    "trips_heatmap": lambda t: K.trips_heatmap(_demand_rows(t), t.service_areas),
+    "trips_heatmap_wide": lambda t: K.trips_heatmap_wide(_demand_rows(t), t.service_areas),
     "incident_summary": lambda t: K.incident_summary(t.incidents),
     "cost_waterfall": lambda t: K.cost_waterfall(t.incidents),
     "load_vs_handle": lambda t: K.load_vs_handle(t.status_changes, _demand(t)),
     "load_vs_resolution": lambda t: K.load_vs_handle(
         I.incident_features(t.incidents), _demand(t), "occurred_at", "resolve_minutes"
     ),
-    "vendor_monthly": lambda t: K.vendor_monthly(_demand(t), t.incidents, t.tasks),
+    "vendor_monthly": lambda t: K.vendor_monthly(_demand_rows(t), t.incidents, t.tasks),
     "task_funnel": lambda t: K.task_funnel(t.tasks),
     "measures_cube": lambda t: K.task_measures_cube(t.tasks),
     "fleet_mix": lambda t: K.fleet_mix(t.vehicles),

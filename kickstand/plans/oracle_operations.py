@@ -69,7 +69,10 @@ OPERATIONS = {
             from incidents""",
     ),
     "incident_type_mix": with_fleet(
-        ["typed"], f"{MIX} select * exclude (w, p), round(p, 8) as probability from mix"
+        ["typed"],
+        f"""{MIX} select vendor, area_type, cast(extract(month from day) as int) as month, hour, incident_type,
+              count(*) as demand_rows, round(avg(p), 8) as probability
+            from mix group by 1, 2, 3, 4, 5""",
     ),
     "expected_incidents": with_fleet(
         ["typed"],
