@@ -9,8 +9,6 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kickstand.functions.columns import as_col
-
 
 def rank_values(counted, keys, value, weight="n", bucket=None):
     """Add `below` (rows under this value in its group) and `group_rows` to counted distinct values.
@@ -54,17 +52,15 @@ def percentile_of(value, tenths, unit, places=4, weight="n"):
     Works on integers: the position is tenths * (rows - 1) / 10, so the result is exact before
     the final division.
     """
-    value, below, weight = as_col(value), F.col("below"), as_col(weight)
-    position = (F.col("group_rows") - 1) * tenths
-    low = F.call_function("div", position, F.lit(10))
-    part = position % 10
-    high = low + F.when(part > 0, 1).otherwise(0)
+    position = f"(group_rows - 1) * {tenths}"
+    low, part = f"({position} div 10)", f"({position} % 10)"
+    high = f"({low} + if({part} > 0, 1, 0))"
 
     def at(rank):
-        return F.max(F.when((below <= rank) & (rank < below + weight), value))
+        return f"max(case when below <= {rank} and {rank} < below + `{weight}` then `{value}` end)"
 
-    mixed = at(low) * (10 - F.max(part)) + at(high) * F.max(part)
-    return F.round(mixed.cast("double") / F.lit(10.0 * unit), places)
+    mixed = f"{at(low)} * (10 - max({part})) + {at(high)} * max({part})"
+    return F.expr(f"round(cast({mixed} as double) / {10.0 * unit!r}D, {places})")
 
 
 def normalize_with_floors(df, group_cols, key_col, weight_col, floors, out_col="share"):

@@ -163,15 +163,18 @@ def avg_trip_km(trips, km_col=None, m_col="distance_m"):
 # --- expected demand --------------------------------------------------------------
 
 
-def _day_factors(demand, floor_total, scale):
-    """One row per calendar day from the first to the last trip, with its month and city total."""
-    span = demand.agg(F.min("day").alias("first"), F.max("day").alias("last")).filter(X.keys_known("first"))
+def _day_factors(daily, floor_total, scale):
+    """One row per calendar day from the first to the last trip, with its month and city total.
+
+    `daily` has the trips per day; all day-level calibration is drawn from it.
+    """
+    span = daily.agg(F.min("day").alias("first"), F.max("day").alias("last")).filter(X.keys_known("first"))
     days = span.select(F.explode(F.sequence("first", "last")).alias("day"))
-    levels = month_multiplier(demand).select(F.col("month").alias("_month_no"), "multiplier")
-    boost = F.when(X.is_weekend("day"), weekend_boost(demand).scalar()).otherwise(F.lit(1.0))
-    city = daily_median(demand).scalar() * F.col("multiplier") * boost * F.lit(scale)
+    levels = month_multiplier(daily).select(F.col("month").alias("_month_no"), "multiplier")
+    boost = F.when(X.is_weekend("day"), weekend_boost(daily).scalar()).otherwise(F.lit(1.0))
+    city = daily_median(daily).scalar() * F.col("multiplier") * boost * F.lit(scale)
     return (
-        days.withColumns({"month": X.month_start("day"), "_month_no": F.month("day")})
+        days.select("day", X.month_start("day").alias("month"), F.month("day").alias("_month_no"))
         .join(F.broadcast(levels), "_month_no")  # twelve rows by construction
         .select("day", "month", F.greatest(F.lit(floor_total), F.floor(city)).cast("bigint").alias("day_total"))
     )
@@ -222,7 +225,8 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     array per month and area type.
     """
     floors = floors or C.VENDOR_SHARE_FLOORS
-    days = _day_factors(demand, floor_total, scale)
+    daily = day_totals(demand)
+    days = _day_factors(daily, floor_total, scale)
     hours = hour_shape(demand).select("hour", F.col("weight").alias("_hour_weight"))
     # hour has 24 rows by construction
     grid = _share_table(demand, days, floors).join(F.broadcast(hours), "hour")
@@ -232,7 +236,7 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     cells = grid.groupBy("month", "area_kind").agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
     areas = area_weights(demand, catalog).join(catalog.select("service_area_id", "area_type"), "service_area_id")
     areas = areas.select("service_area_id", F.col("weight").alias("_area_weight"), _area_kind(F.col("area_type")).alias("area_kind"))
-    first, last = [demand.agg(edge("day")).scalar() for edge in (F.min, F.max)]
+    first, last = [daily.agg(edge("day")).scalar() for edge in (F.min, F.max)]
     spread = (
         areas.withColumn("day", F.explode(F.sequence(first, last)))
         .join(days, "day")
@@ -252,7 +256,8 @@ def demand_vs_expected(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0,
     Factors are looked up per observed row, so the full spine is never built.
     """
     floors = floors or C.VENDOR_SHARE_FLOORS
-    days = _day_factors(demand, floor_total, scale)
+    daily = day_totals(demand)
+    days = _day_factors(daily, floor_total, scale)
     shares = _share_table(demand, days, floors)
     each = F.array(*[F.struct(F.lit(v).alias("vendor"), F.col(v).alias("_share")) for v in C.VENDORS])
     shares = shares.select("month", "area_kind", "hour", F.inline(each))

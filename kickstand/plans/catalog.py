@@ -139,12 +139,12 @@ def _expected_tasks(t):
 
 
 def _workload(t):
-    rows = TK.with_workload(t.incidents, _demand(t), "occurred_at")
+    rows = TK.with_workload(t.incidents, _demand_rows(t), "occurred_at")
     return rows.select("incident_id", "vendor", "service_area_id", "workload_trips_hour")
 
 
 def _task_workload(t):
-    rows = TK.with_workload(t.tasks, _demand(t), "created_at")
+    rows = TK.with_workload(t.tasks, _demand_rows(t), "created_at")
     return rows.select("task_id", "vendor", "service_area_id", "workload_trips_hour")
 
 
@@ -268,9 +268,9 @@ MEASURES = {
     "trips_heatmap_wide": lambda t: K.trips_heatmap_wide(_demand_rows(t), t.service_areas),
     "incident_summary": lambda t: K.incident_summary(t.incidents),
     "cost_waterfall": lambda t: K.cost_waterfall(t.incidents),
-    "load_vs_handle": lambda t: K.load_vs_handle(t.status_changes, _demand(t)),
+    "load_vs_handle": lambda t: K.load_vs_handle(t.status_changes, _demand_rows(t)),
     "load_vs_resolution": lambda t: K.load_vs_handle(
-        I.incident_features(t.incidents), _demand(t), "occurred_at", "resolve_minutes"
+        I.incident_features(t.incidents), _demand_rows(t), "occurred_at", "resolve_minutes"
     ),
     "vendor_monthly": lambda t: K.vendor_monthly(_demand_rows(t), t.incidents, t.tasks),
     "task_funnel": lambda t: K.task_funnel(t.tasks),

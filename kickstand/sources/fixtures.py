@@ -9,6 +9,22 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 
+from kickstand.schemas import table_schema
+
+# columns the fleet tables read; a given schema spares the job that would infer it
+SOURCE_SCHEMAS = {
+    "nation": table_schema("n_nationkey int, n_name string, n_regionkey int"),
+    "lineitem": table_schema(
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_shipdate timestamp_ntz"
+    ),
+    "events": table_schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"),
+    "customer": table_schema("c_custkey bigint, c_nationkey int, c_acctbal double"),
+    "orders": table_schema(
+        "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+}
+
 SOURCES = {
     "service_areas": "nation",
     "trips_canon": "lineitem",
@@ -100,11 +116,11 @@ SELECTS = {
 
 def fleet_table(spark, sf_dir, name):
     """One fleet table as a lazy projection over its parquet file."""
-    source = spark.read.parquet(str(PurePosixPath(sf_dir) / f"{SOURCES[name]}.parquet"))
+    table = SOURCES[name]
+    source = spark.read.schema(SOURCE_SCHEMAS[table]).parquet(str(PurePosixPath(sf_dir) / f"{table}.parquet"))
     # {source} is bound to the frame for this one statement, so no view name is left in the session
-    text = SELECTS[name]
-    head, tail = text.rsplit("from ", 1)
-    assert tail.strip() == SOURCES[name]
+    head, tail = SELECTS[name].rsplit("from ", 1)
+    assert tail.strip() == table
     return spark.sql(head + "from {source}", source=source)
 
 
@@ -133,14 +149,17 @@ PRICING_SQL = """
 
 
 class Fleet:
-    """The fleet tables of one data folder."""
+    """The fleet tables of one data folder, each built once on first use."""
 
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name):
         if name == "pricing":
-            return pricing_policies(self.spark, self.sf_dir)
-        if name in SELECTS:
-            return fleet_table(self.spark, self.sf_dir, name)
-        raise AttributeError(name)
+            table = pricing_policies(self.spark, self.sf_dir)
+        elif name in SELECTS:
+            table = fleet_table(self.spark, self.sf_dir, name)
+        else:
+            raise AttributeError(name)
+        setattr(self, name, table)
+        return table
