@@ -216,6 +216,14 @@ def _area_kind(area_type):
     return F.when(kind.isin(*C.AREA_TYPES), kind).otherwise(F.lit(OTHER_AREA))
 
 
+def _weighted_areas(demand, catalog):
+    return (
+        area_weights(demand, catalog)
+        .join(catalog.select("service_area_id", "area_type"), "service_area_id")
+        .select("service_area_id", F.col("weight").alias("_area_weight"), _area_kind(F.col("area_type")).alias("area_kind"))
+    )
+
+
 def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None):
     """Expected trips per day, hour, area and vendor over the full calendar, without noise.
 
@@ -230,12 +238,9 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     hours = hour_shape(demand).select("hour", F.col("weight").alias("_hour_weight"))
     # hour has 24 rows by construction
     grid = _share_table(demand, days, floors).join(F.broadcast(hours), "hour")
-    cell = F.struct(
-        "hour", *[(F.col("_hour_weight") * F.col(v)).alias(v) for v in C.VENDORS]
-    )
+    cell = F.struct("hour", *[(F.col("_hour_weight") * F.col(v)).alias(v) for v in C.VENDORS])
     cells = grid.groupBy("month", "area_kind").agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
-    areas = area_weights(demand, catalog).join(catalog.select("service_area_id", "area_type"), "service_area_id")
-    areas = areas.select("service_area_id", F.col("weight").alias("_area_weight"), _area_kind(F.col("area_type")).alias("area_kind"))
+    areas = _weighted_areas(demand, catalog)
     first, last = [daily.agg(edge("day")).scalar() for edge in (F.min, F.max)]
     spread = (
         areas.withColumn("day", F.explode(F.sequence(first, last)))
@@ -250,24 +255,22 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     return hourly.select("day", "hour", "service_area_id", F.inline(each))
 
 
-def demand_vs_expected(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None):
-    """Observed demand rows with their expected trips and the ratio of the two.
+def demand_vs_expected(demand, history, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None):
+    """Observed demand rows with the trips expected from `history` and the ratio of the two.
 
-    Factors are looked up per observed row, so the full spine is never built.
+    Factors are looked up per observed row, so the full spine is never built. Rows outside the days of
+    the history, or in an area the catalog lacks, have no expectation.
     """
     floors = floors or C.VENDOR_SHARE_FLOORS
-    daily = day_totals(demand)
-    days = _day_factors(daily, floor_total, scale)
-    shares = _share_table(demand, days, floors)
+    days = _day_factors(day_totals(history), floor_total, scale)
+    shares = _share_table(history, days, floors)
     each = F.array(*[F.struct(F.lit(v).alias("vendor"), F.col(v).alias("_share")) for v in C.VENDORS])
     shares = shares.select("month", "area_kind", "hour", F.inline(each))
-    hours = hour_shape(demand).select("hour", F.col("weight").alias("_hour_weight"))
-    areas = area_weights(demand, catalog).join(catalog.select("service_area_id", "area_type"), "service_area_id")
-    areas = areas.select("service_area_id", F.col("weight").alias("_area_weight"), _area_kind(F.col("area_type")).alias("area_kind"))
+    hours = hour_shape(history).select("hour", F.col("weight").alias("_hour_weight"))
     joined = (
-        demand.join(F.broadcast(hours), "hour")
-        .join(days, "day")
-        .join(areas, "service_area_id", "left")
+        demand.join(F.broadcast(hours), "hour")  # 24 rows by construction
+        .join(days, "day", "left")
+        .join(_weighted_areas(history, catalog), "service_area_id", "left")
         .join(shares, ["month", "area_kind", "hour", "vendor"], "left")
     )
     expected = F.col("day_total") * F.col("_area_weight") * (F.col("_hour_weight") * F.col("_share"))

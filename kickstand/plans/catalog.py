@@ -15,6 +15,7 @@ from kickstand.operators import trips as TR
 from kickstand.plans import kpi as K
 from kickstand.sources import readers as R
 from kickstand.sources.fixtures import Fleet
+from kickstand.sources.sinks import stored
 
 
 # --- inputs shared by several queries ---------------------------------------------
@@ -85,14 +86,15 @@ def _rounded(df, places, *cols):
 
 
 def _expected_demand(t):
-    spine = CA.expected_demand(_demand(t), _catalog(t))
+    spine = CA.expected_demand(stored(_demand(t)), _catalog(t))
     return spine.groupBy(X.month_start("day").alias("month"), "hour", "vendor").agg(
         F.count("*").alias("cells"), F.round(F.sum("expected_trips"), 4).alias("expected_trips")
     )
 
 
 def _demand_vs_expected(t):
-    rows = CA.demand_vs_expected(_demand(t), _catalog(t), floor_total=1)
+    demand = stored(_demand(t))
+    rows = CA.demand_vs_expected(demand, demand, _catalog(t), floor_total=1)
     return _rounded(_rounded(rows, 10, "expected_trips"), 6, "observed_ratio")
 
 

@@ -1,8 +1,13 @@
 """Writers: extracts as CSV, staged and materialised tables as parquet."""
 
+import tempfile
+import uuid
+
 from kickstand.schemas import TABLES
 from kickstand.sources.readers import conform, read_text_csv, split_bad_rows
 
+_local_scratch = None
+
 
 def write_extract(df, path, columns=None):
     """CSV with header and a fixed column order, one file per task."""
@@ -17,15 +22,42 @@ def write_named_extract(df, path, name):
 
 def materialize(spark, df, path, partition_by=None):
     """Write a parquet snapshot and read it back, so that later jobs start from the stored table."""
-    writer = df.write.mode("overwrite")
     if partition_by:
-        # one task per partition value and slice would need a shuffle; AQE rebalances instead
+        # rows of one partition value are gathered before the write; AQE splits the values that are too large
         df = df.hint("rebalance", partition_by)
-        writer = df.write.mode("overwrite").partitionBy(partition_by)
-    writer.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.parquet(path)
 
 
+def _shared_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    global _local_scratch
+    if _local_scratch is None:
+        _local_scratch = tempfile.TemporaryDirectory(prefix="kickstand-")
+    return _local_scratch.name
+
+
+def stored(df):
+    """Snapshot of a table that several branches of a job read, in the folder of `spark.checkpoint.dir`.
+
+    The table is computed once, later stages read columns of it from parquet, and a lost executor costs
+    no recomputation from the source. In local mode an unset folder is a scratch folder of this
+    process; on a cluster without the setting the table stays lazy, which gives the same rows.
+    """
+    spark = df.sparkSession
+    folder = _shared_folder(spark)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staging_load(spark, csv_path, name, target, rejects=None):
     """Load a CSV file into a typed parquet table; rows with unreadable values go to `rejects`.
 
