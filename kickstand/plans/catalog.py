@@ -68,7 +68,7 @@ def _time_features(t):
 
 def _vendor_month_mix(t):
     return CA.vendor_month_mix(_demand_rows(t)).select(
-        "month", "vendor", F.round("raw", 6).alias("raw"), F.round("share", 6).alias("share")
+        "month", "vendor", F.round("raw", 12).alias("raw"), F.round("share", 12).alias("share")
     )
 
 
@@ -78,7 +78,7 @@ def _normalize_with_floors(t):
         K.trips_by(_demand_rows(t), "vendor", "service_area_id"), t.service_areas, ["vendor"], ["trips"]
     )
     shares = G.normalize_with_floors(weights, ["area_type"], "vendor", "trips", C.VENDOR_SHARE_FLOORS)
-    return shares.withColumn("share", F.round("share", 6))
+    return shares.withColumn("share", F.round("share", 12))
 
 
 def _rounded(df, places, *cols):

@@ -116,13 +116,13 @@ CALIBRATION = {
     "vendor_month_mix": with_fleet(
         ["demand", "vendors"],
         f""", m as ({MONTH_MIX})
-            select month, vendor, round(w, 6) as raw, round({FLOORED.format(key='month')}, 6) as share from m""",
+            select month, vendor, round(w, 12) as raw, round({FLOORED.format(key='month')}, 12) as share from m""",
     ),
     "normalize_with_floors": with_fleet(
         ["typed"],
         f""", m as (select vendor, area_type, cast(sum(trips) as bigint) as trips, cast(sum(trips) as double) as w,
                       {floor_of()} as f from typed group by 1, 2)
-            select vendor, area_type, trips, round({FLOORED.format(key='area_type')}, 6) as share from m""",
+            select vendor, area_type, trips, round({FLOORED.format(key='area_type')}, 12) as share from m""",
     ),
     "hour_shape": with_fleet(
         ["demand"],

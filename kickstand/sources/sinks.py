@@ -55,6 +55,9 @@ def stored(df):
         return df
     path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the snapshot belongs to this application: the file system drops it when the driver ends
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
+        spark__sql__maxMetadataStringLength="4000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
