@@ -244,7 +244,7 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     first, last = [daily.agg(edge("day")).scalar() for edge in (F.min, F.max)]
     spread = (
         areas.withColumn("day", F.explode(F.sequence(first, last)))
-        .join(days, "day")
+        .join(F.broadcast(days), "day")  # one row per calendar day: under 100 MB for any dates
         .join(cells, ["month", "area_kind"])
         # rows are about to grow by hours and vendors: spread them by a fixed number, which AQE keeps
         .repartition(spine_tasks(demand.sparkSession), "service_area_id", "day")
@@ -269,7 +269,7 @@ def demand_vs_expected(demand, history, catalog, floor_total=C.MIN_CITY_TRIPS, s
     hours = hour_shape(history).select("hour", F.col("weight").alias("_hour_weight"))
     joined = (
         demand.join(F.broadcast(hours), "hour")  # 24 rows by construction
-        .join(days, "day", "left")
+        .join(F.broadcast(days), "day", "left")  # one row per calendar day: under 100 MB for any dates
         .join(_weighted_areas(history, catalog), "service_area_id", "left")
         .join(shares, ["month", "area_kind", "hour", "vendor"], "left")
     )

@@ -145,7 +145,8 @@ def canon_hourly(canon, catalog):
 
 def demand_shares(hourly):
     """Add the day-hour and vendor-day totals and the unrounded shares of each demand row."""
-    totals = G.with_totals(hourly, "trips", vendor_day_total=["day", "vendor"])
+    # both totals lie inside a day, so one placement by day serves them; a day has hours x areas x vendors rows
+    totals = G.with_totals(hourly.repartition("day"), "trips", vendor_day_total=["day", "vendor"])
     totals = G.with_totals(totals, "trips", dayhour_total=["day", "hour"])
     return totals.withColumns(
         {

@@ -187,7 +187,8 @@ def _vehicle_features(t):
 
 
 def _trip_cost(t):
-    priced = FL.trip_cost(t.trips_canon, t.pricing)
+    # stored, the policies have a known size, so Catalyst can check whether they are small enough to broadcast
+    priced = FL.trip_cost(t.trips_canon, stored(t.pricing))
     return priced.select(
         "trip_id", "vendor", "started_at", "duration_s", "distance_m", F.round("trip_cost", 6).alias("trip_cost")
     )
