@@ -53,11 +53,13 @@ def first_text(*texts):
 def vendor_canon(vendor, vendor_map=None, fallback=C.FALLBACK_VENDOR):
     """Canonical vendor name; unknown and NULL names become `fallback`.
 
-    A name that is already canonical is passed through before any text is normalised.
+    Most names are canonical already or differ by case and blanks; only the rest pays for a regular
+    expression.
     """
     vendor, aliases = as_col(vendor), vendor_map or C.VENDOR_ALIASES
     canonical = sorted({name for name in aliases.values() if aliases.get(name.lower()) == name})
-    return F.when(vendor.isin(*canonical), vendor).otherwise(lookup(norm_text(vendor), aliases, fallback))
+    found = F.coalesce(lookup(F.lower(F.trim(vendor)), aliases), lookup(norm_text(vendor), aliases, fallback))
+    return F.when(vendor.isin(*canonical), vendor).otherwise(found) if canonical else found
 
 
 def vendor_code(vendor):

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kickstand import constants as C
+
 
 def rank_values(counted, keys, value, weight="n", bucket=None):
     """Add `below` (rows under this value in its group) and `group_rows` to counted distinct values.
@@ -63,7 +65,7 @@ def percentile_of(value, tenths, unit, places=4, weight="n"):
     return F.expr(f"round(cast({mixed} as double) / {10.0 * unit!r}D, {places})")
 
 
-def normalize_with_floors(df, group_cols, key_col, weight_col, floors, out_col="share"):
+def normalize_with_floors(df, group_cols, key_col, weight_col, floors=None, out_col="share"):
     """Share per key within each group, lifted so that no key falls below its floor.
 
     The floors of the keys present are handed out first and the rest of the unit is split by weight;
@@ -71,7 +73,7 @@ def normalize_with_floors(df, group_cols, key_col, weight_col, floors, out_col="
     """
     group = Window.partitionBy(*(group_cols or [F.lit(1)]))
     floor = F.lit(0.0)
-    for key, value in floors.items():
+    for key, value in (C.VENDOR_SHARE_FLOORS if floors is None else floors).items():
         floor = F.when(F.col(key_col) == key, F.lit(value)).otherwise(floor)
     weight = F.greatest(F.lit(0.0), F.col(weight_col).cast("double"))
     step = df.withColumns({"_floor": floor, "_weight": weight})

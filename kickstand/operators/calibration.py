@@ -228,9 +228,9 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     """Expected trips per day, hour, area and vendor over the full calendar, without noise.
 
     City total of the day, times the weight of the hour, the weight of the area, and the vendor's
-    share for that month, hour and area type. The spine grows by explodes from (day, area) rows
-    that are spread over tasks first; each row finds its hour and vendor factors in one fixed-size
-    array per month and area type.
+    share for that month, hour and area type. The spine grows from (day, area) rows that are spread
+    over tasks first; each row brings its hours and vendors as one array of 24 * 4 entries, found by
+    month and area type.
     """
     floors = floors or C.VENDOR_SHARE_FLOORS
     daily = day_totals(demand)
@@ -238,21 +238,22 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     hours = hour_shape(demand).select("hour", F.col("weight").alias("_hour_weight"))
     # hour has 24 rows by construction
     grid = _share_table(demand, days, floors).join(F.broadcast(hours), "hour")
-    cell = F.struct("hour", *[(F.col("_hour_weight") * F.col(v)).alias(v) for v in C.VENDORS])
-    cells = grid.groupBy("month", "area_kind").agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
+    weight = {v: F.col("_hour_weight") * F.col(v) for v in C.VENDORS}
+    each = F.array(*[F.struct("hour", F.lit(v).alias("vendor"), w.alias("_weight")) for v, w in weight.items()])
+    cells = grid.select("month", "area_kind", F.explode(each).alias("_cell"))
+    cells = cells.groupBy("month", "area_kind").agg(F.collect_list("_cell").alias("_cells"))
     areas = _weighted_areas(demand, catalog)
     first, last = [daily.agg(edge("day")).scalar() for edge in (F.min, F.max)]
     spread = (
         areas.withColumn("day", F.explode(F.sequence(first, last)))
+        # each row is about to bring 96 rows: spread them, while they are thin, by a fixed number that AQE keeps
+        .repartition(spine_tasks(demand.sparkSession), "service_area_id", "day")
         .join(F.broadcast(days), "day")  # one row per calendar day: under 100 MB for any dates
         .join(cells, ["month", "area_kind"])
-        # rows are about to grow by hours and vendors: spread them by a fixed number, which AQE keeps
-        .repartition(spine_tasks(demand.sparkSession), "service_area_id", "day")
     )
-    hourly = spread.select("day", "service_area_id", "day_total", "_area_weight", F.inline("_cells"))
-    base = F.col("day_total") * F.col("_area_weight")
-    each = F.array(*[F.struct(F.lit(v).alias("vendor"), (base * F.col(v)).alias("expected_trips")) for v in C.VENDORS])
-    return hourly.select("day", "hour", "service_area_id", F.inline(each))
+    expected = F.col("day_total") * F.col("_area_weight") * F.col("_weight")
+    spine = spread.select("day", "service_area_id", "day_total", "_area_weight", F.inline("_cells"))
+    return spine.select("day", "hour", "service_area_id", "vendor", expected.alias("expected_trips"))
 
 
 def demand_vs_expected(demand, history, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None):

@@ -1,5 +1,7 @@
 """Tasks: candidates from events, workload, timeline, SLA, priority, cost and linkage."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from kickstand import constants as C
@@ -23,27 +25,34 @@ def with_workload(events, demand, time_col, out="workload_trips_hour"):
     return joined.select(*events.columns, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))
 
 
-def task_candidates(incidents, status, incident_time="occurred_at", status_time="event_time"):
-    """Task per incident or status event that calls for one, with the id of its cause."""
-    from_incidents = incidents.filter(
-        F.col("incident_type").isin(*C.INCIDENT_TASKS) & X.keys_known(incident_time)
-    ).select(
-        X.lookup("incident_type", C.INCIDENT_TASKS).alias("task_type"),
-        "vendor",
-        "service_area_id",
-        F.col(incident_time).alias("occurred_at"),
-        F.col("incident_id").alias("linked_incident_id"),
-        F.lit(None).cast("bigint").alias("linked_event_id"),
-    )
-    from_status = status.filter(F.col("event_type").isin(*C.STATUS_TASKS) & X.keys_known(status_time)).select(
-        X.lookup("event_type", C.STATUS_TASKS).alias("task_type"),
-        "vendor",
-        "service_area_id",
-        F.col(status_time).alias("occurred_at"),
-        F.lit(None).cast("bigint").alias("linked_incident_id"),
-        F.col("event_id").alias("linked_event_id"),
-    )
-    return from_incidents.unionByName(from_status).withColumn("source", F.lit(C.LINKED_SOURCE))
+def task_candidates(incidents=None, status=None, incident_time="occurred_at", status_time="event_time"):
+    """Task per incident or status event that calls for one, with the id of its cause.
+
+    Either table may be absent.
+    """
+
+    def candidates(events, kind, calls_for, time_col, id_col, link):
+        ids = {name: F.lit(None).cast("bigint") for name in ("linked_incident_id", "linked_event_id")}
+        ids[link] = F.col(id_col)
+        return events.filter(F.col(kind).isin(*calls_for) & X.keys_known(time_col)).select(
+            X.lookup(kind, calls_for).alias("task_type"),
+            "vendor",
+            "service_area_id",
+            F.col(time_col).alias("occurred_at"),
+            *[value.alias(name) for name, value in ids.items()],
+            F.lit(C.LINKED_SOURCE).alias("source"),
+        )
+
+    parts = []
+    if incidents is not None:
+        parts.append(
+            candidates(incidents, "incident_type", C.INCIDENT_TASKS, incident_time, "incident_id", "linked_incident_id")
+        )
+    if status is not None:
+        parts.append(candidates(status, "event_type", C.STATUS_TASKS, status_time, "event_id", "linked_event_id"))
+    if not parts:
+        raise ValueError("task candidates need incidents or status events")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def task_timeline(tasks, cancel_minutes_col=None):

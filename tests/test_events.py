@@ -113,6 +113,7 @@ def test_task_candidates(rows):
         [("pickup_illegal_parking", 0, None, "incident_link"), ("repair", 1, None, "incident_link"),
          ("repair", 2, None, "incident_link"), ("battery_swap", None, 0, "incident_link"),
          ("rebalance", None, 1, "incident_link")], key=str)
+    assert TK.task_candidates(incidents).count() == 3 and TK.task_candidates(status=status).count() == 2
 
 
 TASKS = "task_id bigint, task_type string, status string, created_at timestamp_ntz, response_minutes int, work_minutes int"
