@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from kickstand import constants as C
 
 
+def _frames(ordered):
+    """Running frame and whole frame of one ordered window; sharing the order, they take one pass."""
+    first = Window.unboundedPreceding
+    return ordered.rowsBetween(first, 0), ordered.rowsBetween(first, Window.unboundedFollowing)
+
+
 def rank_values(counted, keys, value, weight="n", bucket=None):
     """Add `below` (rows under this value in its group) and `group_rows` to counted distinct values.
 
@@ -22,28 +28,28 @@ def rank_values(counted, keys, value, weight="n", bucket=None):
     before it. Neither window grows with all distinct values of the group.
     """
     if bucket is None:
-        group = Window.partitionBy(*keys)
-        upto = F.sum(weight).over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        upto, whole = _frames(Window.partitionBy(*keys).orderBy(value))
         return counted.withColumns(
-            {"below": upto - F.col(weight), "group_rows": F.sum(weight).over(group)}
+            {"below": F.sum(weight).over(upto) - F.col(weight), "group_rows": F.sum(weight).over(whole)}
         )
 
     bucketed = counted.withColumn("_bucket", F.call_function("div", F.col(value), F.lit(bucket)))
-    group = Window.partitionBy(*keys)
-    upto = F.sum(weight).over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    upto, whole = _frames(Window.partitionBy(*keys).orderBy("_bucket"))
     offsets = (
         bucketed.groupBy(*keys, "_bucket")
-        .agg(F.sum(weight).alias(weight))
-        .withColumns({"_size": F.col(weight), "_all": F.sum(weight).over(group), "_upto": upto})
-        .withColumn(weight, F.col("_upto") - F.col("_size"))
-        .select(*keys, "_bucket", weight, "_all")
+        .agg(F.sum(weight).alias("_size"))
+        .select(
+            *keys,
+            "_bucket",
+            (F.sum("_size").over(upto) - F.col("_size")).alias(weight),
+            F.sum("_size").over(whole).alias("_all"),
+        )
     )
     merged = bucketed.unionByName(offsets, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "_bucket")
-    # the offset row has no value and sorts first
-    running = inside.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    # the offset row has no value and sorts first, so every running frame of its bucket includes it
+    running, _ = _frames(Window.partitionBy(*keys, "_bucket").orderBy(F.col(value).asc_nulls_first()))
     ranked = merged.withColumns(
-        {"below": F.sum(weight).over(running) - F.col(weight), "group_rows": F.max("_all").over(inside)}
+        {"below": F.sum(weight).over(running) - F.col(weight), "group_rows": F.max("_all").over(running)}
     )
     return ranked.filter(F.col(value).isNotNull()).drop("_bucket", "_all")
 
