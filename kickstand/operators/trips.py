@@ -165,8 +165,3 @@ def with_area_type(df, areas, keys=("service_area_id",)):
     """Left join the area dimension; an unknown area keeps NULL columns."""
     wanted = [*keys, *[c for c in ("community_area_name", "area_type") if c not in keys and c not in df.columns]]
     return df.join(unique_areas(areas.select(*wanted), keys), list(keys), "left")
-
-
-def demand_by(hourly, *keys):
-    """Trips of the demand table at a coarser grain."""
-    return hourly.groupBy(*keys).agg(X.total("trips").alias("trips"))
