@@ -1,11 +1,15 @@
 """The registered query of each operator, with production parameters over its whole table, and its SQL."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from kickstand.llm import common
 from kickstand.llm import op3_decision_lists as op3
+from kickstand.llm import op4_perspectives as op4
 from kickstand.llm import op5_token_files as op5
+from kickstand.llm import op7_pfair_mixing as op7
 from kickstand.llm import op9_packing as op9
+from kickstand.llm import op10_tag_paths as op10
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,17 +22,34 @@ def op3_decision_lists(spark, sf_dir):
     return op3.judge(docs.select("doc_id", "text"), rules).select(*columns)
 
 
+def op4_perspectives(spark, sf_dir):
+    mask = F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return op4.rotate(common.read(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(mask, ","))
+
+
 def op5_token_files(spark, sf_dir):
     return op5.read_tokens(op5.write_tokens(common.read(spark, sf_dir, "documents"), BYTE_VOCABULARY))
 
 
+def op7_pfair_mixing(spark, sf_dir):
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "source")
+    return op7.mix(docs, op7.power_weights(docs))
+
+
 def op9_packing(spark, sf_dir):
     return op9.pack_documents(common.read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op10_tag_paths(spark, sf_dir):
+    return op10.extract(common.read(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {q.__name__: q for q in (op3_decision_lists, op5_token_files, op9_packing)}
+    return {
+        q.__name__: q
+        for q in (op3_decision_lists, op4_perspectives, op5_token_files, op7_pfair_mixing, op9_packing, op10_tag_paths)
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_perspectives": op4.SQL}
