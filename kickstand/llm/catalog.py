@@ -7,6 +7,7 @@ from kickstand.llm import common
 from kickstand.llm import op3_decision_lists as op3
 from kickstand.llm import op4_perspectives as op4
 from kickstand.llm import op5_token_files as op5
+from kickstand.llm import op6_sanitise as op6
 from kickstand.llm import op7_pfair_mixing as op7
 from kickstand.llm import op9_packing as op9
 from kickstand.llm import op10_tag_paths as op10
@@ -31,6 +32,16 @@ def op5_token_files(spark, sf_dir):
     return op5.read_tokens(op5.write_tokens(common.read(spark, sf_dir, "documents"), BYTE_VOCABULARY))
 
 
+def op6_sanitise(spark, sf_dir):
+    found = op6.find(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[op6.count_of("base", kind).alias(f"n_{kind}") for kind in op6.KINDS],
+        F.sha2(op6.listed("base"), 256).alias("base_sha256"),
+        op6.listed("spans").alias("spans"),
+    )
+
+
 def op7_pfair_mixing(spark, sf_dir):
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source")
     return op7.mix(docs, op7.power_weights(docs))
@@ -47,7 +58,7 @@ def op10_tag_paths(spark, sf_dir):
 def queries():
     return {
         q.__name__: q
-        for q in (op3_decision_lists, op4_perspectives, op5_token_files, op7_pfair_mixing, op9_packing, op10_tag_paths)
+        for q in (op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op9_packing, op10_tag_paths)
     }
 
 
