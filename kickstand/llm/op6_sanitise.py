@@ -66,14 +66,19 @@ def _passes(kind, hit):
 def _in_chunks(items, at, kind, step, join):
     """Fold an array from the left into (at, out) where out is appended to: long arrays go in chunks, so that an
     append copies no more than a chunk. step gives the next (at, out); join makes one value of a chunk's out."""
-    chunks = F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(CHUNK)), lambda k: F.slice(items, k + 1, F.lit(CHUNK)))
     one, all_ = F.array().cast(f"array<{kind[0]}>"), F.array().cast(f"array<{kind[1]}>")
+    begin = F.struct(at.alias("at"), all_.alias("out"))
 
     def chunk(acc, held):
-        begin = F.struct(acc["at"].alias("at"), one.alias("out"))
-        return F.aggregate(held, begin, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(join(a["out"]))).alias("out")))
+        start = F.struct(acc["at"].alias("at"), one.alias("out"))
+        return F.aggregate(held, start, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(join(a["out"]))).alias("out")))
 
-    return F.when(F.size(items) > 0, F.aggregate(chunks, F.struct(at.alias("at"), all_.alias("out")), chunk)).otherwise(F.struct(at.alias("at"), all_.alias("out")))
+    def fold(held):
+        chunks = F.transform(F.sequence(F.lit(0), F.size(held) - 1, F.lit(CHUNK)), lambda k: F.slice(held, k + 1, F.lit(CHUNK)))
+        return F.when(F.size(held) > 0, F.aggregate(chunks, begin, chunk)).otherwise(begin)
+
+    # an expression named inside a function is worked out at every call: the array is bound once instead
+    return F.element_at(F.transform(F.array(items), fold), 1)
 
 
 def _spans(text, kind, pattern, rank, passes):
