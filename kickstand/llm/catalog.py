@@ -9,6 +9,7 @@ from kickstand.llm import op4_perspectives as op4
 from kickstand.llm import op5_token_files as op5
 from kickstand.llm import op6_sanitise as op6
 from kickstand.llm import op7_pfair_mixing as op7
+from kickstand.llm import op8_pivot_distance as op8
 from kickstand.llm import op9_packing as op9
 from kickstand.llm import op10_tag_paths as op10
 
@@ -47,6 +48,10 @@ def op7_pfair_mixing(spark, sf_dir):
     return op7.mix(docs, op7.power_weights(docs))
 
 
+def op8_pivot_distance(spark, sf_dir):
+    return op8.search(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_packing(spark, sf_dir):
     return op9.pack_documents(common.read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -58,9 +63,9 @@ def op10_tag_paths(spark, sf_dir):
 def queries():
     return {
         q.__name__: q
-        for q in (op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op9_packing, op10_tag_paths)
+        for q in (op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op8_pivot_distance, op9_packing, op10_tag_paths)
     }
 
 
 def oracle_sql():
-    return {"op4_perspectives": op4.SQL}
+    return {"op4_perspectives": op4.SQL, "op8_pivot_distance": op8.SQL}
