@@ -135,7 +135,8 @@ def disclosing_terms(found, support=SUPPORT, disclosure=DISCLOSURE, bits=BITS):
     pairs = common.written(contexts(found).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")), "disclosure-pairs")
     likely = pairs.where(F.col("n_te") >= support)
     words = found.select(F.explode(_terms(F.col("text"))).alias("term"))
-    occurs = words.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # counted before the join: words meet in sums of tasks, whatever their frequency
+    occurs = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # every term of a context is one of its pairs, so an entity's share of all pairs stands for its share of contexts
     total = pairs.agg(F.sum("n_te").alias("n")).first()["n"] or 1
     entities = pairs.groupBy("entity").agg(F.sum("n_te").alias("n_e"))
