@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from kickstand.llm import common
+from kickstand.llm import op2_minmax as op2
 from kickstand.llm import op3_decision_lists as op3
 from kickstand.llm import op4_perspectives as op4
 from kickstand.llm import op5_token_files as op5
@@ -17,6 +18,10 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_minmax(spark, sf_dir):
+    return op2.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
 def op3_decision_lists(spark, sf_dir):
     docs = common.read(spark, sf_dir, "documents")
     rules = op3.learn_rules(docs, common.read(spark, sf_dir, "labels"))
@@ -63,7 +68,7 @@ def op10_tag_paths(spark, sf_dir):
 def queries():
     return {
         q.__name__: q
-        for q in (op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op8_pivot_distance, op9_packing, op10_tag_paths)
+        for q in (op2_minmax, op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op8_pivot_distance, op9_packing, op10_tag_paths)
     }
 
 
