@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from kickstand.llm import common
+from kickstand.llm import op1_run_dedup as op1
 from kickstand.llm import op2_minmax as op2
 from kickstand.llm import op3_decision_lists as op3
 from kickstand.llm import op4_perspectives as op4
@@ -18,6 +19,11 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_run_dedup(spark, sf_dir):
+    out = op1.remove_repeats(common.read(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op2_minmax(spark, sf_dir):
     return op2.near_duplicates(common.read(spark, sf_dir, "documents"))
 
@@ -68,7 +74,7 @@ def op10_tag_paths(spark, sf_dir):
 def queries():
     return {
         q.__name__: q
-        for q in (op2_minmax, op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op8_pivot_distance, op9_packing, op10_tag_paths)
+        for q in (op1_run_dedup, op2_minmax, op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op8_pivot_distance, op9_packing, op10_tag_paths)
     }
 
 
