@@ -239,6 +239,12 @@ def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def keep_good(docs, rules):
+    """The rows of `docs` that neither the base rule nor the list rejects, all columns as they are."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return judge(whole, rules).where("kept").select("row.*")
+
+
 def judge(docs, rules):
     """All rows with their STATISTICS, `base_failed`, `rule` (first rule that rejects) and `kept`."""
     out = text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", rules.rule_number())

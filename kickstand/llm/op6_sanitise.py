@@ -13,7 +13,7 @@ possessive quantifiers and start only where a run starts or the last match ended
 patterns match, in time linear in the text. Positions are code points, ends exclusive.
 
 Null and empty texts have no spans. Rows are independent but for the corpus counts; repeated rows give repeated
-rows; equal or null doc_ids do not mix their texts. Extra columns stay. Only DataFrame functions are used.
+rows; equal or null doc_ids do not mix their texts. Extra columns stay, but those named base, spans or terms are replaced by `find`. Only DataFrame functions are used.
 """
 
 from pyspark.sql import functions as F
@@ -164,7 +164,7 @@ def _term_spans(text, terms, rank):
 
 def find(docs, **options):
     """Append `base` and `spans` (base spans and disclosing terms, by start and kind) to every row, and `terms`."""
-    found = find_base(docs)
+    found = find_base(docs.drop("base", "spans", "terms"))
     terms = common.written(disclosing_terms(found, **options), "disclosing-terms")
     none = F.array().cast(f"array<{SPAN}>")
     if terms.isEmpty():
@@ -189,7 +189,8 @@ def count_of(spans, kind):
 
 def sanitise(docs, removal=REMOVAL, **options):
     """The rows of `docs` with base spans replaced by their kind and disclosing terms generalised or removed."""
-    found = find(docs, **options)
+    # the row travels as one value, so that no column of it can clash with a helper's name
+    found = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"), **options)
     text = F.coalesce("text", F.lit(""))
 
     # spans may overlap across kinds: what an earlier one covers is not replaced twice
@@ -204,4 +205,4 @@ def sanitise(docs, removal=REMOVAL, **options):
     folded = found.withColumn("_fold", F.when(F.size("spans") > 0, _in_chunks(F.col("spans"), F.lit(0), ("string", "string"), step, lambda out: F.array_join(out, ""))))
     done = F.concat(F.array_join("_fold.out", ""), F.substring(text, F.col("_fold.at") + 1, F.length(text)))
     clean = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    return folded.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return folded.select(*[clean.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -15,7 +15,7 @@ hash chunk, chunks are summed, and ranks are taken inside chunks.
 
 A null source is a source of its own. A source without a given weight, or with weight zero, is an error. Null
 and repeated doc_ids are kept, ordered among themselves by nothing that shows in the result; an empty table
-gives no rows. Other columns are kept as they are. Only DataFrame functions are used.
+gives no rows. Other columns are kept, but those that bear a name of ADDED are replaced. Only DataFrame functions are used.
 """
 
 import heapq
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 BLOCK_DOCS = 16
 RESOLUTION = 10_000
 CHUNK_DOCS = 200_000
+ADDED = ["block", "release", "deadline", "slot", "place"]
 
 
 def quotas(weights, resolution=RESOLUTION):
@@ -88,25 +89,27 @@ def mix(docs, weights, block_docs=BLOCK_DOCS, resolution=RESOLUTION, chunk_docs=
     digits = 2
     while 16**digits * chunk_docs < n:
         digits += 1
-    at = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    marked = docs.withColumn("_at", at).withColumn("_chunk", F.substring("_at", 1, digits))
-    counts = marked.groupBy("source", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col("source").alias("_source"), F.col("_chunk").alias("_in"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_chunk").orderBy("_at", "doc_id")
-    ranked = marked.withColumn("_rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(before, ranked["source"].eqNullSafe(before["_source"]) & (ranked["_chunk"] == before["_in"]))
-    nth = F.col("_before") + F.col("_rank")
+    # the row travels as one value, so that no column of it can clash with a helper's name
+    out = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("row"), "source", "doc_id")
+    marked = rows.withColumn("at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    marked = marked.withColumn("chunk", F.substring("at", 1, digits))
+    counts = marked.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("source").alias("of"), F.col("chunk").alias("in"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "chunk").orderBy("at", "doc_id")
+    ranked = marked.withColumn("rank", F.row_number().over(inside) - 1)
+    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("in")))
     period = F.broadcast(_period_table(spark, slots, resolution))
     placed = ranked.join(period, F.col("source").eqNullSafe(F.col("slot_source")), "left")
-    block = F.expr(f"(_before + _rank) div {block_docs}")
-    turn, quota = F.expr(f"((_before + _rank) div {block_docs}) div quota"), F.col("quota")
-    known = placed.withColumn("quota", F.coalesce(quota, F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null")))).cast("long")))
+    unknown = F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null")))).cast("long")
+    known = placed.withColumn("quota", F.coalesce("quota", unknown)).withColumn("nth", F.col("before") + F.col("rank"))
+    known = known.withColumn("block", F.expr(f"nth div {block_docs}"))
     return known.select(
-        *docs.columns,
-        block.alias("block"),
-        F.expr(f"((_before + _rank) div {block_docs}) * {resolution} div quota").alias("release"),
-        F.expr(f"(((_before + _rank) div {block_docs} + 1) * {resolution} + quota - 1) div quota").alias("deadline"),
-        (turn * resolution + F.element_at("slots", (F.pmod(block, quota) + 1).cast("int"))).alias("slot"),
-        (nth % block_docs).alias("place"),
+        "row.*",
+        "block",
+        F.expr(f"block * {resolution} div quota").alias("release"),
+        F.expr(f"((block + 1) * {resolution} + quota - 1) div quota").alias("deadline"),
+        (F.expr("block div quota") * resolution + F.element_at("slots", (F.pmod("block", "quota") + 1).cast("int"))).alias("slot"),
+        (F.col("nth") % block_docs).alias("place"),
     )
