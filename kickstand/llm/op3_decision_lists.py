@@ -84,8 +84,8 @@ def measure(ends, data):
     breaks = data == 10
     line_starts = np.unique(np.concatenate([ends[:-1], np.flatnonzero(breaks) + 1]))
     line_starts = line_starts[line_starts < len(data)]
-    line_ends = np.append(line_starts[1:], len(data))
-    line_ends = line_ends - breaks[line_ends - 1] if len(line_ends) else line_ends
+    line_ends = np.append(line_starts, len(data))[1:]
+    line_ends = line_ends - breaks[line_ends - 1]
     line_rows = np.searchsorted(ends, line_starts, side="right") - 1
     inside = np.concatenate([[0], np.cumsum(~blank)])
     worded = inside[line_ends] > inside[line_starts]

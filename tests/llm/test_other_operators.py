@@ -1,0 +1,227 @@
+"""Chat, tokens, mixing, vectors, packing, pages and the pipeline against brute-force versions and round trips."""
+
+import random
+import zlib
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from kickstand.llm import catalog
+from kickstand.llm import op4_perspectives as op4
+from kickstand.llm import op5_token_files as op5
+from kickstand.llm import op7_pfair_mixing as op7
+from kickstand.llm import op8_pivot_distance as op8
+from kickstand.llm import op9_packing as op9
+from kickstand.llm import op10_tag_paths as op10
+from kickstand.llm.tokens import Encoder
+
+SMALL = "/root/testdata/sf0.001"
+ODD = [" ", "  ", "\n", "\t", "\x0b", "\xa0", "a", "b", "'s", "'S", "É", "é", "Σ", "İ", "123", ".", "<|endoftext|>", "日本", "\r\n", "-", "\x1c", "ß", "word,", "The"]
+
+
+@pytest.fixture(scope="module")
+def odd_texts():
+    rng = random.Random(1)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randrange(0, 40))) for _ in range(500)] + [None, "", "x" * 30_000]
+
+
+@pytest.mark.parametrize("path", [catalog.BYTE_VOCABULARY, catalog.WORD_VOCABULARY])
+def test_remembered_pieces_give_the_tokenizers_ids(path, odd_texts):
+    encoder, plain = Encoder(path), Tokenizer.from_file(path)
+    for text in odd_texts:
+        ids = np.frombuffer(encoder.encode(text), encoder.dtype).tolist()
+        assert ids == plain.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_token_files_round_trip(spark, odd_texts, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.randrange(10_000) if i else None, t, i) for i, t in enumerate(odd_texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    manifest = op5.write_tokens(docs, catalog.BYTE_VOCABULARY, folder=f"file://{tmp_path}/files")
+    got = [tuple(r) for r in op5.read_tokens(manifest).collect()]
+    plain = Tokenizer.from_file(catalog.BYTE_VOCABULARY)
+    want = {}
+    for doc_id, text, _ in rows:
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        want.setdefault(doc_id, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    assert {(d, n, c) for d, _, n, c in got} == {(d, n, c) for d, held in want.items() for n, c in held} and len(got) == len(rows)
+    by_start = sorted(got, key=lambda r: r[1])
+    assert [r[1] for r in by_start] == np.cumsum([0] + [r[2] for r in by_start])[:-1].tolist()
+    assert [r[0] for r in by_start] == sorted((r[0] for r in got), key=lambda d: (d is not None, d or 0))
+    assert {p.suffix for p in Path(tmp_path, "files").iterdir() if not p.name.startswith(".")} == {".bin", ".idx"}
+    assert op5.read_tokens(op5.write_tokens(docs.limit(0), catalog.BYTE_VOCABULARY)).count() == 0
+
+
+def test_first_fit_decreasing_equals_a_plain_scan():
+    rng = random.Random(4)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 65) for _ in range(rng.randrange(0, 60))]
+        room, want = [], [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            b = next((b for b, r in enumerate(room) if r >= sizes[i]), len(room))
+            room += [64] * (b == len(room))
+            room[b] -= sizes[i]
+            want[i] = b
+        assert op9.first_fit_decreasing(sizes, 64) == want
+
+
+def test_packing_covers_every_id_once(spark, odd_texts):
+    rows = [(i % 400 if i else None, t) for i, t in enumerate(odd_texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = op9.pack_documents(docs, catalog.WORD_VOCABULARY, length=256, group_bytes=20_000, with_ids=True).collect()
+    plain = Tokenizer.from_file(catalog.WORD_VOCABULARY)
+    want = sorted(str((d, plain.encode(t or "", add_special_tokens=False).ids + [2])) for d, t in rows)
+    sequences, docs_of = {}, {}
+    for p in pieces:
+        assert p["length"] == len(p["ids"]) and zlib.crc32(np.array(p["ids"], "<u4").tobytes()) == p["ids_crc32"]
+        sequences.setdefault(p["sequence_id"], []).append(p)
+        docs_of.setdefault((p["doc_id"], p["doc_tokens"]), []).append(p)
+    padding = 0
+    for held in sequences.values():
+        held.sort(key=lambda p: p["offset"])
+        assert [p["offset"] for p in held] == np.cumsum([0] + [p["length"] for p in held])[:-1].tolist()
+        filled = sum(p["length"] for p in held)
+        assert filled <= 256
+        padding += 0 if filled & (filled - 1) == 0 else 256 - filled
+    assert padding < 0.05 * sum(p["length"] for p in pieces)
+    single = {k: v for k, v in docs_of.items() if sum(p["length"] for p in v) == k[1]}
+    got = [str((k[0], [i for p in sorted(v, key=lambda p: p["start"]) for i in p["ids"]])) for k, v in single.items()]
+    assert set(got) <= set(want) and sum(p["length"] for p in pieces) == sum(s.count(",") for s in want)
+    assert op9.pack_documents(docs.limit(0), catalog.WORD_VOCABULARY).count() == 0
+
+
+def test_perspectives(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, None, "x"), (2, 1500, "", "y"), (None, 0, "ann", "alone"), (3, 0, "system", "s"), (4, None, "eve", "late"), (4, 0, "eve", "soon"), (4, 0, "eve", "soon")]
+    talks = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, mask int")
+    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in op4.rotate(talks).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (2, "unknown", 1), (None, "ann", 0), (4, "eve", 0), (4, "eve", op4.LAST_PART)}
+    ann = got[1, "ann", 0]
+    assert ann["text"] == "<|start|>system\nbe kind<|end|>\n<|start|>assistant\nhi<|end|>\n<|start|>user name=bob\nyo<|end|>\n<|start|>assistant\n<|end|>\n"
+    assert [ann["text"][s["start"] : s["end"]] for s in ann["mask"]] == ["hi<|end|>\n", "<|end|>\n"]
+    assert [got[1, "bob", 0]["text"][s["start"] : s["end"]] for s in got[1, "bob", 0]["mask"]] == ["yo<|end|>\n"]
+    assert got[2, "unknown", 1]["offset"] == len(got[2, "unknown", 0]["text"]) and got[4, "eve", 0]["n_turns"] == 2
+    assert op4.rotate(talks.limit(0)).count() == 0
+
+
+def test_schedule_deviates_by_less_than_a_block():
+    rng = random.Random(6)
+    for n in (1, 2, 7, 40):
+        quota = op7.quotas({f"s{i}": rng.random() + 0.01 for i in range(n)}, 1000)
+        slots = op7.schedule(quota, 1000)
+        assert sum(quota.values()) == 1000 and sorted(s for held in slots.values() for s in held) == list(range(1000))
+        for name, held in slots.items():
+            got = np.cumsum(np.bincount(held, minlength=1000))
+            assert (abs(got - np.arange(1, 1001) * quota[name] / 1000) < 1).all()
+
+
+def test_mix_places_every_document_once(spark):
+    rows = [(i if i % 50 else None, None if i % 3 == 0 else "s", i, i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, slot int, rank int")
+    got = op7.mix(docs, {None: 1.0, "s": 3.0}, block_docs=4, resolution=100).collect()
+    assert sorted(r["rank"] for r in got) == list(range(300))
+    assert len({(r["slot"], r["place"]) for r in got}) == 300
+    assert all(r["release"] <= r["slot"] < r["deadline"] and r["place"] < 4 for r in got)
+    assert len({(r["slot"], r["source"]) for r in got}) == len({r["slot"] for r in got}) == 25 + 50
+    with pytest.raises(ValueError):
+        op7.quotas({"s": 0.0})
+    with pytest.raises(Exception, match="no weight for source null"):
+        op7.mix(docs, {"s": 1.0}).collect()
+    assert op7.mix(docs.limit(0), op7.power_weights(docs.limit(0))).count() == 0
+
+
+def test_top_k_equals_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0.0, 0.5, -1.0, 0.25]) for _ in range(3 if i % 9 else 2)]) for i in range(300)]
+    rows += [(100, [1.0, 2.0, 0.0]), (None, [1.0, 2.0, 3.0]), (301, None), (302, []), (303, [float("nan"), 1.0, 1.0]), (304, [None, 1.0, 1.0]), (400, [1e6, 1e6, 0.0]), (305, [float("inf"), 0.0, 0.0])]
+    vectors = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")
+    got = sorted(map(tuple, op8.search(vectors, F.col("vec_id") % 50 == 0, k=5, pivots=6, block_rows=8, wave=3).collect()))
+    sound = [(i, [int(np.floor(1024 * c)) for c in e]) for i, e in rows if i is not None and e and all(c is not None and np.isfinite(c) for c in e)]
+    want = []
+    for q, e in sound:
+        if q % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for i, f in sound if i != q and len(e) == len(f))
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(near[:5], 1)]
+    assert got == sorted(want)
+    assert op8.search(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies, ok.</div>%s
+<aside class=x>Related things, many of them.</aside><form><p>Your name, please.</p></form>
+<div id="comments"><p>Great article, thanks, really. I liked it!</p></div><footer>&copy; all</footer></body></html>"""
+BODY = "<h2>Head &amp; line</h2><p>One,\n two &lt;three&gt;. <b>Four<br>five.<p>Short.<ul><li>an item, with words.<li>next</ul><!-- no --><div class='ad'>Buy now, friend.</div>"
+TEXT = "Head & line\n\nOne, two <three>. Four five.\n\nShort.\n\nan item, with words.\n\nnext"
+
+
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<div class='content'>%s</div>", "<main><div>%s</div></main>"])
+def test_main_text_of_a_page(spark, shell):
+    rows = [(1, "u", PAGE % (shell % BODY), "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "plain &amp; simple", "x"), (None, "u", "<p>cut off <a href='", "x"), (5, "u", "<nav>only</nav>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in op10.extract(pages).collect()}
+    texts = {1: TEXT, 2: "", 3: "", 4: "plain & simple", None: "cut off", 5: ""}
+    assert got == {k: (t, len(t)) for k, t in texts.items()}
+    assert op10.extract(pages.limit(0)).count() == 0
+
+
+def test_pages_of_the_test_tables(spark):
+    """Held-out truth: the article element of each page, read another way."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = {r["page_id"]: r["text"] for r in op10.extract(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.DOTALL)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert texts[r["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+def test_every_query_runs_and_agrees_with_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    for name, sql in catalog.oracle_sql().items():
+        got = catalog.queries()[name](spark, SMALL)
+        columns = sorted(got.columns)
+        want = con.sql(sql)
+        assert sorted(want.columns) == columns
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.project(",".join(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(60), "en", f"s{i % 3}", 0) for i in range(60)]
+    rows += [(100 + i, rows[i][1], "en", "s0", 0) for i in range(10)]
+    rows += [(200 + i, " ".join(w + "***" for w in text(60).split()), "en", "s1", 0) for i in range(20)]
+    rows += [(300, text(30) + " bob@corp.example.com " + text(30), "en", "s2", 0), (301, None, "en", None, 0), (302, "short", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1) for i in range(60)] + [(200 + i, 0) for i in range(20)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    held, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, held, str(tmp_path))
+        assert after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{name}")
+        held = spark.read.parquet(f"{tmp_path}/{name}")
+        ids.append({r["doc_id"] for r in held.collect()})
+    clean = set(range(60)) | {300}
+    assert ids == [clean | set(range(100, 110)), clean, clean, clean]
+    assert "[EMAIL]" in held.where("doc_id = 300").first()["text"]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == clean
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {r["doc_id"]: len(plain.encode(r["text"], add_special_tokens=False).ids) + 1 for r in held.collect()}
+    total = {}
+    for p in pieces:
+        total[p["doc_id"]] = total.get(p["doc_id"], 0) + p["length"]
+    assert total == sizes
