@@ -89,7 +89,8 @@ class Batch:
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = np.repeat(run, pieces) + nth * SEGMENT
         windows = np.minimum(np.repeat(stop, pieces) - start, SEGMENT)
-        return least[start], start + low, windows, doc[start] + a
+        # minima crowd at the low end: mixed again they spread evenly over the buckets
+        return common.mix(least[start]), start + low, windows, doc[start] + a
 
     def minimizers(self):
         """Distinct minimizers in order, segments of each, and whether two documents of the batch bear it."""
