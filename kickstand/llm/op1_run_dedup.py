@@ -34,7 +34,7 @@ LENGTH = 50
 WORD = 16
 #: Bytes of text per batch and per bucket; longest segment in windows; segments of one minimizer that go together.
 BATCH_BYTES = 6 << 20
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 1 << 20
 SEGMENT = 64
 FREQUENT = 1 << 15
 LAST = np.iinfo(np.int64).max
@@ -78,19 +78,21 @@ class Batch:
             least = np.minimum(least[: n], least[wide - done :][:n])
         # windows that cross into the next document are none
         ends = self.ends[a : b + 1] - low
-        doc = np.searchsorted(ends, np.arange(n), side="right") - 1
-        inside = np.arange(n) + length <= ends[doc + 1]
-        begins = np.ones(n, bool)
-        begins[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        run = np.flatnonzero(begins & inside)
+        begins = np.ones(n + 1, bool)
+        begins[1:n] = least[1:] != least[:-1]
+        begins[ends[:-1][ends[:-1] < n]] = True
+        run = np.flatnonzero(begins)
+        run, stop = run[:-1], run[1:]
+        doc = np.searchsorted(ends, run, side="right") - 1
         # a run ends where the next begins or the document's windows end
-        stop = np.minimum(np.append(np.flatnonzero(begins), n)[np.searchsorted(np.flatnonzero(begins), run, side="right")], ends[doc[run] + 1] - length + 1)
+        stop = np.minimum(stop, ends[doc + 1] - length + 1)
+        run, stop, doc = run[run < stop], stop[run < stop], doc[run < stop]
         pieces = -(-(stop - run) // SEGMENT)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = np.repeat(run, pieces) + nth * SEGMENT
         windows = np.minimum(np.repeat(stop, pieces) - start, SEGMENT)
         # minima crowd at the low end: mixed again they spread evenly over the buckets
-        return common.mix(least[start]), start + low, windows, doc[start] + a
+        return common.mix(least[start]), start + low, windows, np.repeat(doc, pieces) + a
 
     def minimizers(self):
         """Distinct minimizers in order, segments of each, and whether two documents of the batch bear it."""
@@ -125,15 +127,16 @@ class Batch:
         return {"bucket": b[first], "start": start[at], "size": size[at], "owner": doc[at]}, start, doc, string
 
 
-def _string_hashes(data, starts, sizes, most=1 << 18):
-    """Hash of each data[start : start + size]; the strings may overlap."""
-    out = np.zeros(len(starts), np.uint64)
-    for a in range(0, len(starts), most // 64):
-        s, n = starts[a : a + most // 64], sizes[a : a + most // 64]
-        at = np.concatenate([[0], np.cumsum(n)])
-        held = data[np.repeat(s - at[:-1], n) + np.arange(at[-1])]
-        out[a : a + len(s)] = common.run_hashes(common.BYTE_WORDS[held], at[:-1], n)
-    return out
+def _string_hashes(data, starts, sizes):
+    """Hash of each data[start : start + size], from sums over the data: the strings may overlap."""
+    powers = common.powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(common.BYTE_WORDS[data] * powers[:-1], out=sums[1:])
+    # dividing by a power of an odd number: the inverse of STEP to that power
+    inverse = np.full(len(data) + 1, np.uint64(pow(int(common.STEP), -1, 1 << 64)), np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    return common.mix((sums[starts + sizes] - sums[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _gather(data, starts, sizes):
@@ -314,8 +317,8 @@ def _cut_out(length, word, n_buckets):
             pick = np.repeat(first[string] - (np.cumsum(k) - k), k) + np.arange(k.sum())
             own, at = np.repeat(doc, k), np.repeat(start, k) + offset[pick]
             held = run_doc[pick] < own
-            np.add.at(edges, at[held], 1)
-            np.add.at(edges, (at + run_size[pick] + length - 1)[held], -1)
+            edges += np.bincount(at[held], minlength=len(edges))
+            edges -= np.bincount((at + run_size[pick] + length - 1)[held], minlength=len(edges))
         gone = np.cumsum(edges[:-1]) > 0
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]

@@ -33,6 +33,8 @@ class RunIndex:
         starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if n else np.zeros(0, np.int64)
         self.n, self.starts, self.heads = n, starts, before[starts]
         run_lengths = np.diff(np.append(starts, n))
+        # a directory from rows to runs and classes: the index of a bucket is bounded, and a lookup beats a search
+        self.run_of = np.repeat(np.arange(len(starts), dtype=np.int32), run_lengths)
         # where a symbol's rows begin, and how many of its rows precede each of its runs
         totals = np.bincount(before, minlength=len(used) + 1)
         self.first = np.concatenate([[0], np.cumsum(totals)[:-1]])
@@ -52,7 +54,7 @@ class RunIndex:
         self.end_rows = rows[self.string_ends]
         class_starts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if n else np.zeros(0, np.int64)
         string_of = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.class_starts = class_starts
+        self.class_of = np.repeat(np.arange(len(class_starts), dtype=np.int32), np.diff(np.append(class_starts, n)))
         self.least = np.minimum.reduceat(owners[string_of[order]], class_starts) if n else np.zeros(0, np.int64)
 
     @staticmethod
@@ -126,7 +128,7 @@ class RunIndex:
             live = order[: int(np.searchsorted(-sizes, -step, side="right"))]
             at = ends[live + 1] - step
             c = symbols[at]
-            run = np.searchsorted(self.starts, row[live], side="right") - 1
+            run = self.run_of[row[live]]
             off = row[live] - self.starts[run]
             jump = np.flatnonzero(self.heads[run] != c)
             if len(jump):
@@ -170,4 +172,4 @@ class RunIndex:
 
     def least_owner(self, rows):
         """The smallest number of a string that holds the `depth` symbols of each row."""
-        return self.least[np.searchsorted(self.class_starts, rows, side="right") - 1]
+        return self.least[self.class_of[rows]]
