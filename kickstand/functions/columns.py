@@ -82,11 +82,22 @@ def map_location(area_name):
 def parse_time(text):
     """Naive timestamp from text in ISO or US month-first form; NULL when it is neither."""
     text = F.trim(as_col(text))
-    us_forms = ["MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy"]
+    # one letter reads one or two digits, so 7/1/2024 8:05 and 07/01/2024 08:05 are the same time
+    us_forms = ["M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"]
     parsed = [F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz") for form in us_forms]
     return F.coalesce(text.try_cast("timestamp_ntz"), *parsed)
 
 
+def time_column(df, given=None, names=("occurred_at", "event_time")):
+    """Name of the time column of an event table: the given one, else the first of `names` that it has."""
+    if given is not None:
+        return given
+    found = [n for n in names if n in df.columns]
+    if not found:
+        raise ValueError(f"no time column: none of {list(names)} among {df.columns}")
+    return found[0]
+
+
 def week_start(day):
     """Monday of the week."""
     day = as_col(day)
@@ -156,9 +167,16 @@ def ratio(num, den, places=None, scale=1):
 def exact_ratio(num, den, places, wide=False):
     """num / den for non-negative integers, rounded half up at `places` without float error.
 
-    `wide` computes in decimal(38,0), for sums that outgrow bigint.
+    `wide` takes the whole part and the remainder apart in decimal(38,0), for sums that outgrow bigint.
     """
-    kind = "decimal(38,0)" if wide else "bigint"
+    if wide:
+        kind = "decimal(38,0)"
+        num, den = as_col(num).cast(kind), F.nullif(as_col(den).cast(kind), F.lit(0).cast(kind))
+        part = ((num % den).cast(kind) * F.lit(2 * 10**places).cast("decimal(10,0)") + den).cast(kind)
+        part = F.call_function("div", part, (den * F.lit(2).cast("decimal(1,0)")).cast(kind))
+        scaled = F.call_function("div", num, den).cast("decimal(20,0)") * F.lit(10**places).cast("decimal(10,0)") + part
+        return scaled.cast("double") / F.lit(float(10**places))
+    kind = "bigint"
     num, den = as_col(num).cast(kind), F.nullif(as_col(den).cast(kind), F.lit(0).cast(kind))
     doubled = num * F.lit(2 * 10**places).cast(kind) + den
     return F.call_function("div", doubled, den * F.lit(2).cast(kind)).cast("double") / F.lit(float(10**places))

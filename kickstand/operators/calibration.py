@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kickstand import constants as C
 from kickstand.functions import columns as X
 from kickstand.functions import groups as G
+from kickstand.operators.trips import unique_areas
 
 OTHER_AREA = "other"
 
@@ -34,7 +35,10 @@ def area_catalog(canon, areas=None):
         numbers = canon.filter(X.keys_known("area_num")).select(F.col("area_num").alias("service_area_id"))
         numbered = numbers.distinct().withColumn("community_area_name", F.format_string("CA %02d", "service_area_id"))
         order = Window.orderBy("community_area_name")
-        named = names.distinct().withColumn("service_area_id", F.row_number().over(order))
+        # one area per match key: of names that differ in case or blanks, the first in order stands for all
+        key = F.lower(F.trim("community_area_name"))
+        named = names.groupBy(key.alias("_key")).agg(F.min("community_area_name").alias("community_area_name")).drop("_key")
+        named = named.withColumn("service_area_id", F.row_number().over(order))
         listed = named.unionByName(numbered).withColumn("area_type", F.lit(C.DEFAULT_AREA_TYPE))
     return listed.withColumns(
         {
@@ -47,7 +51,7 @@ def area_catalog(canon, areas=None):
 def area_weights(demand, catalog, by=(), alpha=0.5):
     """Share of trips per catalog area, smoothed by `alpha`; `by=['vendor']` gives a mix per vendor."""
     by = list(by)
-    spine = catalog.select("service_area_id")
+    spine = unique_areas(catalog.select("service_area_id", "area_type")).select("service_area_id")
     if by:
         spine = spine.withColumn("vendor", F.explode(F.array(*[F.lit(v) for v in C.VENDORS])))
     counts = demand.groupBy("service_area_id", *by).agg(X.total("trips").alias("trips"))
@@ -219,7 +223,7 @@ def _area_kind(area_type):
 def _weighted_areas(demand, catalog):
     return (
         area_weights(demand, catalog)
-        .join(catalog.select("service_area_id", "area_type"), "service_area_id")
+        .join(unique_areas(catalog.select("service_area_id", "area_type")), "service_area_id")
         .select("service_area_id", F.col("weight").alias("_area_weight"), _area_kind(F.col("area_type")).alias("area_kind"))
     )
 

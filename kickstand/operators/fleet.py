@@ -7,6 +7,10 @@ from kickstand import constants as C
 from kickstand.functions import columns as X
 
 
+#: Last day of a pricing policy that has no end.
+OPEN_END = "2100-12-31"
+
+
 def vehicle_features(vehicles, window_end, avg_trip_km=C.DEFAULT_TRIP_KM):
     """Add days in service, estimated trips, daily energy and battery cycles.
 
@@ -29,34 +33,44 @@ def vehicle_features(vehicles, window_end, avg_trip_km=C.DEFAULT_TRIP_KM):
 
 
 def policy_months(pricing):
-    """Pricing policies with one row per month they touch, so that a range join becomes an equi-join."""
-    first = F.trunc("start_date", "month")
-    months = F.sequence(first, F.trunc("end_date", "month"), F.expr("interval 1 month"))
-    valid = pricing.filter(F.col("start_date") <= F.col("end_date"))
-    return valid.withColumn("policy_month", F.explode(months))
+    """Pricing policies with one row per month they touch, so that a range join becomes an equi-join.
+
+    A policy without an end runs to OPEN_END. Policies of one vendor that overlap are an error when the rows
+    are read: a day with two prices has none.
+    """
+    closed = pricing.withColumn("end_date", F.coalesce("end_date", F.lit(OPEN_END).cast("date")))
+    valid = closed.filter(F.col("start_date") <= F.col("end_date"))
+    earlier = Window.partitionBy("vendor").orderBy("start_date", "end_date").rowsBetween(Window.unboundedPreceding, -1)
+    clash = F.raise_error(F.concat(F.lit("overlapping pricing policies of "), F.coalesce("vendor", F.lit("null")))).cast("date")
+    checked = valid.withColumn("_end", F.max("end_date").over(earlier)).withColumn(
+        "start_date", F.when(F.col("start_date") <= F.col("_end"), clash).otherwise(F.col("start_date"))
+    )
+    months = F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("interval 1 month"))
+    return checked.drop("_end").withColumn("policy_month", F.explode(months))
 
 
 def overlapping_policies(pricing):
     """Policies that start before an earlier one of the vendor has ended; trips there would count twice."""
     earlier = Window.partitionBy("vendor").orderBy("start_date", "end_date").rowsBetween(Window.unboundedPreceding, -1)
-    return pricing.withColumn("_end", F.max("end_date").over(earlier)).filter(
+    closed = pricing.withColumn("end_date", F.coalesce("end_date", F.lit(OPEN_END).cast("date")))
+    return closed.withColumn("_end", F.max("end_date").over(earlier)).filter(
         F.col("start_date") <= F.col("_end")
     ).drop("_end")
 
 
 def with_policy(df, pricing, day_col):
-    """Join the policy in force for the vendor on the day; end dates are inclusive."""
+    """Join the policy in force for the vendor on the day; end dates are inclusive. Rows without one keep NULL prices."""
     policies = policy_months(pricing).withColumnRenamed("vendor", "_vendor")
     match = (
         (F.col("vendor") == F.col("_vendor"))
         & (X.month_start(day_col) == F.col("policy_month"))
         & F.col(day_col).between(F.col("start_date"), F.col("end_date"))
     )
-    return df.join(policies, match, "inner").drop("_vendor", "policy_month", "start_date", "end_date")
+    return df.join(policies, match, "left").drop("_vendor", "policy_month", "start_date", "end_date")
 
 
 def trip_cost(trips, pricing):
-    """Priced trips: base fare plus the price per minute and per km; trips without a policy drop out."""
+    """Priced trips: base fare plus the price per minute and per km; NULL for a trip without a policy."""
     priced = with_policy(trips.withColumn("_day", F.to_date("started_at")), pricing, "_day").drop("_day")
     cost = (
         F.col("base_fare")
@@ -67,7 +81,7 @@ def trip_cost(trips, pricing):
 
 
 def trip_cost_by_vendor_month(trips, pricing):
-    """Priced trips and revenue per vendor and month.
+    """Priced and unpriced trips and revenue per vendor and month.
 
     The price is linear in minutes and km, so trips are summed per vendor and day first and only the
     sums meet the policies.
@@ -86,8 +100,13 @@ def trip_cost_by_vendor_month(trips, pricing):
         + F.col("per_minute") * F.col("_seconds") / 60
         + F.col("per_km") * F.col("_metres") / 1000
     )
+    priced = F.col("base_fare").isNotNull()
     return (
         with_policy(daily, pricing, "day")
         .groupBy("vendor", X.month_start("day").alias("month"))
-        .agg(X.total("trips").alias("trips"), F.sum(revenue).alias("revenue"))
+        .agg(
+            F.coalesce(X.total(F.when(priced, F.col("trips"))), F.lit(0)).alias("trips"),
+            F.coalesce(X.total(F.when(~priced, F.col("trips"))), F.lit(0)).alias("unpriced_trips"),
+            F.sum(revenue).alias("revenue"),
+        )
     )

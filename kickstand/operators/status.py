@@ -16,8 +16,9 @@ def with_sla(df, type_col, minutes_col, targets, done=None, target_out="sla_minu
     return df.withColumns({target_out: target, "sla_met_int": met if done is None else F.when(done, met)})
 
 
-def status_sla(status, type_col="event_type", minutes_col="handle_minutes", time_col="event_time"):
+def status_sla(status, type_col="event_type", minutes_col="handle_minutes", time_col=None):
     """Add SLA target, SLA result and the time the event was handled."""
+    time_col = X.time_column(status, time_col)
     timed = with_sla(status, type_col, minutes_col, C.STATUS_SLA_MINUTES)
     return timed.withColumn("handled_at", X.add_minutes(time_col, minutes_col))
 

@@ -17,6 +17,8 @@ def with_workload(events, demand, time_col, out="workload_trips_hour"):
     One equi-join with the demand table, which has one row per key. A key with very many events is a
     skewed left partition, which AQE splits.
     """
+    # an event table may bring the column that is about to be worked out
+    events = events.drop(out)
     keyed = events.withColumns({"_day": F.to_date(time_col), "_hour": F.hour(time_col)})
     load = demand.groupBy(
         F.col("day").alias("_day"), F.col("hour").alias("_hour"), "service_area_id", "vendor"
@@ -25,7 +27,7 @@ def with_workload(events, demand, time_col, out="workload_trips_hour"):
     return joined.select(*events.columns, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))
 
 
-def task_candidates(incidents=None, status=None, incident_time="occurred_at", status_time="event_time"):
+def task_candidates(incidents=None, status=None, incident_time="occurred_at", status_time=None):
     """Task per incident or status event that calls for one, with the id of its cause.
 
     Either table may be absent.
@@ -49,7 +51,7 @@ def task_candidates(incidents=None, status=None, incident_time="occurred_at", st
             candidates(incidents, "incident_type", C.INCIDENT_TASKS, incident_time, "incident_id", "linked_incident_id")
         )
     if status is not None:
-        parts.append(candidates(status, "event_type", C.STATUS_TASKS, status_time, "event_id", "linked_event_id"))
+        parts.append(candidates(status, "event_type", C.STATUS_TASKS, X.time_column(status, status_time), "event_id", "linked_event_id"))
     if not parts:
         raise ValueError("task candidates need incidents or status events")
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -113,7 +115,7 @@ def _spread_key(row_id, key):
     return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SLOTS))).otherwise(F.lit(0))
 
 
-def task_linkage(tasks, incidents, status=None):
+def task_linkage(tasks, incidents, status=None, status_time=None):
     """Every task with its cause and the minutes from the cause to the task; NULL without a cause."""
     causes = incidents.select(
         F.col("incident_id").alias("linked_incident_id"),
@@ -130,7 +132,7 @@ def task_linkage(tasks, incidents, status=None):
             F.col("event_id").alias("linked_event_id"),
             F.lit(0).cast("bigint").alias("_slot"),
             "event_type",
-            F.col("event_time").alias("_event_at"),
+            F.col(X.time_column(status, status_time)).alias("_event_at"),
         )
         linked = linked.withColumn("_slot", _spread_key("task_id", "linked_event_id").cast("bigint")).join(
             events, ["linked_event_id", "_slot"], "left"

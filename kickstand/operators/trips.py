@@ -131,9 +131,9 @@ def canon_hourly(canon, catalog):
 
     Trips are counted per area text first, so the catalog joins the counts and not the trips.
     """
-    named = F.lower(F.col("area_name"))
+    named = F.lower(F.trim("area_name"))
     counts = canon.groupBy("day", "hour", "vendor", named.alias("_area"), "area_num").agg(F.count("*").alias("trips"))
-    areas = catalog.select("service_area_id", "community_area_name", F.col("area_key").alias("_area"))
+    areas = unique_areas(catalog.select("service_area_id", "community_area_name", F.col("area_key").alias("_area")), ["_area"])
     by_number = F.format_string("ca %02d", F.col("area_num"))
     joined = counts.withColumn("_area", F.coalesce("_area", F.when(F.col("area_num").isNotNull(), by_number))).join(
         areas, "_area", "left"
@@ -157,8 +157,22 @@ def demand_shares(hourly):
 
 
 def unique_areas(areas, keys=("service_area_id",)):
-    """The dimension with one row per key: joining it can never multiply fact rows."""
-    return areas.dropDuplicates(list(keys))
+    """The dimension with one row per key: joining it can never multiply fact rows.
+
+    Repeated equal rows count once. Different rows of one key are an error when they are read, since no rule
+    says which of them holds.
+    """
+    rest = [c for c in areas.columns if c not in keys]
+    if not rest:
+        return areas.distinct()
+    held = areas.distinct().groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+
+    def checked(c):
+        clash = F.raise_error(F.concat(F.lit("several rows of area "), named)).cast(areas.schema[c].dataType)
+        return F.when(F.col("_n") > 1, clash).otherwise(F.col(c)).alias(c)
+
+    return held.select(*keys, *[checked(c) for c in rest])
 
 
 def with_area_type(df, areas, keys=("service_area_id",)):

@@ -37,6 +37,10 @@ def _canon(t):
     return R.trips_canon(t.trips_raw)
 
 
+def _costed(t):
+    return TK.task_cost(t.tasks)
+
+
 def _catalog(t):
     return CA.area_catalog(None, t.service_areas)
 
@@ -264,9 +268,9 @@ MEASURES = {
     "sla_pct_tasks": lambda t: K.sla_pct_tasks(t.tasks),
     "sla_pct_status": lambda t: K.sla_pct_status(t.status_changes),
     "sla_matrix": lambda t: K.sla_matrix(t.tasks, t.status_changes, t.service_areas),
-    "task_cost_total": lambda t: K.task_cost_total(t.tasks),
-    "risk_vs_spend": lambda t: K.risk_vs_spend(t.incidents, t.tasks, _demand_rows(t)),
-    "cost_heatmap": lambda t: K.cost_heatmap(t.incidents, t.tasks, t.service_areas),
+    "task_cost_total": lambda t: K.task_cost_total(_costed(t)),
+    "risk_vs_spend": lambda t: K.risk_vs_spend(t.incidents, _costed(t), _demand_rows(t)),
+    "cost_heatmap": lambda t: K.cost_heatmap(t.incidents, _costed(t), t.service_areas),
     "trips_heatmap": lambda t: K.trips_heatmap(_demand_rows(t), t.service_areas),
     "trips_heatmap_wide": lambda t: K.trips_heatmap_wide(_demand_rows(t), t.service_areas),
     "incident_summary": lambda t: K.incident_summary(t.incidents),
@@ -275,8 +279,8 @@ MEASURES = {
     "load_vs_resolution": lambda t: K.load_vs_handle(
         I.incident_features(t.incidents), _demand_rows(t), "occurred_at", "resolve_minutes"
     ),
-    "vendor_monthly": lambda t: K.vendor_monthly(_demand_rows(t), t.incidents, t.tasks),
-    "task_funnel": lambda t: K.task_funnel(t.tasks),
+    "vendor_monthly": lambda t: K.vendor_monthly(_demand_rows(t), t.incidents, _costed(t)),
+    "task_funnel": lambda t: K.task_funnel(_costed(t)),
     "measures_cube": lambda t: K.task_measures_cube(t.tasks),
     "fleet_mix": lambda t: K.fleet_mix(t.vehicles),
     "odometer_distribution": lambda t: K.odometer_distribution(t.vehicles),

@@ -8,7 +8,7 @@ from kickstand.functions import columns as X
 from kickstand.functions import groups as G
 from kickstand.operators.incidents import incident_features
 from kickstand.operators.status import status_sla
-from kickstand.operators.tasks import task_cost, task_sla
+from kickstand.operators.tasks import task_sla
 from kickstand.operators.trips import with_area_type
 
 
@@ -121,8 +121,8 @@ def sla_pct_tasks(tasks):
     )
 
 
-def sla_pct_status(status):
-    return status_sla(status).groupBy("event_type").agg(
+def sla_pct_status(status, time_col=None):
+    return status_sla(status, time_col=time_col).groupBy("event_type").agg(
         F.count("*").alias("events"),
         X.exact_ratio(X.total("sla_met_int"), F.count("sla_met_int"), 4).alias("sla_pct"),
         X.exact_ratio(X.total("handle_minutes"), F.count("handle_minutes"), 2).alias("avg_handle_minutes"),
@@ -154,9 +154,8 @@ def sla_matrix(tasks, status, areas):
 
 
 def task_cost_total(tasks):
-    """Ops and parts cost of tasks by vendor and month."""
-    costed = task_cost(tasks)
-    return costed.groupBy(*[X.as_col(c).alias(k) for k, c in vendor_month("created_at").items()]).agg(
+    """Ops and parts cost of tasks by vendor and month, from their cost columns."""
+    return tasks.groupBy(*[X.as_col(c).alias(k) for k, c in vendor_month("created_at").items()]).agg(
         F.round(F.sum("cost_usd"), 2).alias("ops_cost"),
         F.round(F.sum(F.col("parts_cost_usd").cast("double")), 2).alias("parts_cost"),
         F.round(F.sum(F.col("cost_usd") + F.col("parts_cost_usd")), 2).alias("task_cost"),
@@ -169,7 +168,7 @@ def risk_vs_spend(incidents, tasks, demand):
         ["vendor"],
         trips_by(demand, "vendor"),
         count_by(incidents, {"vendor": "vendor"}, "incidents"),
-        task_cost(tasks).groupBy("vendor").agg(F.sum(F.col("cost_usd") + F.col("parts_cost_usd")).alias("task_cost")),
+        tasks.groupBy("vendor").agg(F.sum(F.col("cost_usd") + F.col("parts_cost_usd")).alias("task_cost")),
     )
     return merged.select(
         "vendor",
@@ -183,7 +182,7 @@ def risk_vs_spend(incidents, tasks, demand):
 
 def cost_heatmap(incidents, tasks, areas):
     """Task and incident cost by hour and area type."""
-    task_side = task_cost(tasks).groupBy(F.hour("created_at").alias("hour"), "service_area_id").agg(
+    task_side = tasks.groupBy(F.hour("created_at").alias("hour"), "service_area_id").agg(
         F.sum(F.col("cost_usd") + F.col("parts_cost_usd")).alias("cost_tasks")
     )
     incident_side = incidents.groupBy(F.hour("occurred_at").alias("hour"), "service_area_id").agg(
@@ -217,7 +216,7 @@ def vendor_monthly(demand, incidents, tasks):
     incident_side = incidents.groupBy(*[X.as_col(c).alias(k) for k, c in vendor_month("occurred_at").items()]).agg(
         F.sum(F.col("cost_usd").cast("double")).alias("cost_incidents")
     )
-    task_side = task_cost(tasks).groupBy(*[X.as_col(c).alias(k) for k, c in vendor_month("created_at").items()]).agg(
+    task_side = tasks.groupBy(*[X.as_col(c).alias(k) for k, c in vendor_month("created_at").items()]).agg(
         F.sum(F.col("cost_usd") + F.col("parts_cost_usd")).alias("cost_tasks")
     )
     merged = G.merge_measures(["month", "vendor"], monthly_trips(demand), incident_side, task_side)
@@ -251,12 +250,13 @@ def incident_summary(incidents):
     )
 
 
-def load_vs_handle(events, demand, time_col="event_time", minutes_col="handle_minutes"):
+def load_vs_handle(events, demand, time_col=None, minutes_col="handle_minutes"):
     """Mean trips per hour around an event and mean handling minutes, by vendor and area.
 
     Events are counted per demand key first, so the join is one row to one row whatever the skew.
     """
     keys = ["day", "hour", "service_area_id", "vendor"]
+    time_col = X.time_column(events, time_col)
     counts = events.groupBy(
         F.to_date(time_col).alias("day"), F.hour(time_col).alias("hour"), "service_area_id", "vendor"
     ).agg(
@@ -267,7 +267,8 @@ def load_vs_handle(events, demand, time_col="event_time", minutes_col="handle_mi
     joined = counts.join(demand.groupBy(*keys).agg(X.total("trips").alias("_trips")), keys, "left")
     sums = joined.groupBy("vendor", "service_area_id").agg(
         X.total("_events").alias("events"),
-        X.total(F.coalesce("_trips", F.lit(0)) * F.col("_events")).alias("_load"),
+        # trips times events outgrow bigint on a large fleet
+        F.sum(F.coalesce("_trips", F.lit(0)).cast("decimal(19,0)") * F.col("_events").cast("decimal(18,0)")).alias("_load"),
         X.total("_minutes").alias("_minutes"),
         X.total("_handled").alias("_handled"),
     )
@@ -275,7 +276,7 @@ def load_vs_handle(events, demand, time_col="event_time", minutes_col="handle_mi
         "vendor",
         "service_area_id",
         "events",
-        X.exact_ratio("_load", "events", 4).alias("avg_workload"),
+        X.exact_ratio("_load", "events", 4, wide=True).alias("avg_workload"),
         X.exact_ratio("_minutes", "_handled", 4).alias("avg_handle_minutes"),
     )
 
@@ -283,9 +284,8 @@ def load_vs_handle(events, demand, time_col="event_time", minutes_col="handle_mi
 def task_funnel(tasks):
     """Tasks by stage with mean response and mean cost, by type and vendor."""
     status, started = F.col("status"), F.col("status").isin(*C.STARTED_STATUSES)
-    costed = task_cost(tasks)
     cost_cents = F.round((F.col("cost_usd") + F.col("parts_cost_usd")) * 100).cast("bigint")
-    return costed.groupBy("task_type", "vendor").agg(
+    return tasks.groupBy("task_type", "vendor").agg(
         F.count("*").alias("created"),
         F.count_if(status == "open").alias("open"),
         F.count_if(started).alias("assigned"),
@@ -300,8 +300,9 @@ def task_funnel(tasks):
     )
 
 
-def events_count(incidents, status, tasks):
+def events_count(incidents, status, tasks, status_time=None):
     """Incidents, status events and tasks per day and vendor."""
+    status_time = X.time_column(status, status_time)
 
     def per_day(df, time_col, name):
         return count_by(df, {"day": F.to_date(time_col), "vendor": "vendor"}, name)
@@ -309,7 +310,7 @@ def events_count(incidents, status, tasks):
     return G.merge_measures(
         ["day", "vendor"],
         per_day(incidents, "occurred_at", "incidents"),
-        per_day(status, "event_time", "status_events"),
+        per_day(status, status_time, "status_events"),
         per_day(tasks, "created_at", "tasks"),
     )
 
@@ -330,15 +331,16 @@ def odometer_distribution(vehicles, bucket_km=1000):
     return vehicles.groupBy("vendor", bucket.alias("bucket_km")).agg(F.count("*").alias("vehicles"))
 
 
-def vehicle_drill_through(vehicles, incidents, status):
+def vehicle_drill_through(vehicles, incidents, status, status_time=None):
     """Incidents, status events, handling minutes and last event per vehicle; idle vehicles have zeros."""
+    status_time = X.time_column(status, status_time)
     incident_side = incidents.filter(X.keys_known("vehicle_id")).groupBy("vehicle_id").agg(
         F.count("*").alias("incidents"), F.max("occurred_at").alias("_last_incident")
     )
     status_side = status.filter(X.keys_known("vehicle_id")).groupBy("vehicle_id").agg(
         F.count("*").alias("status_events"),
         X.total("handle_minutes").alias("handled_minutes"),
-        F.max("event_time").alias("_last_status"),
+        F.max(status_time).alias("_last_status"),
     )
     joined = (
         vehicles.select("vehicle_id", "vendor", "status")

@@ -207,15 +207,16 @@ OPERATIONS = {
         ["trips_canon", "pricing"],
         """select trip_id, t.vendor, started_at, duration_s, distance_m,
              round(base_fare + per_minute * duration_s / 60 + per_km * distance_m / 1000, 6) as trip_cost
-           from trips_canon t join pricing p
+           from trips_canon t left join pricing p
              on t.vendor = p.vendor and cast(started_at as date) between start_date and end_date""",
     ),
     "trip_cost_by_vendor_month": with_fleet(
         ["trips_canon", "pricing"],
-        """select t.vendor, cast(date_trunc('month', started_at) as date) as month, count(*) as trips,
+        """select t.vendor, cast(date_trunc('month', started_at) as date) as month, count(base_fare) as trips,
+             count(*) - count(base_fare) as unpriced_trips,
              round(sum(base_fare + per_minute * duration_s / 60 + per_km * distance_m / 1000), 6) as revenue
-           from trips_canon t join pricing p
+           from trips_canon t left join pricing p
              on t.vendor = p.vendor and cast(started_at as date) between start_date and end_date
-           where duration_s is not null and distance_m is not null group by 1, 2""",
+           where started_at is not null and t.vendor is not null and duration_s is not null and distance_m is not null group by 1, 2""",
     ),
 }

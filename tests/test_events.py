@@ -179,8 +179,20 @@ def test_trip_cost_uses_the_policy_in_force(rows):
     trips = rows("vendor string, started_at timestamp_ntz, duration_s int, distance_m int",
                  ("Lyft", at("2024-02-14 23:59:59"), 600, 2000), ("Lyft", at("2024-02-15 00:00:00"), 600, 2000),
                  ("Lyft", at("2025-01-01 00:00:00"), 600, 2000), ("Lime", at("2024-02-15 00:00:00"), 600, 2000))
-    assert sorted(tuples(FL.trip_cost(trips, pricing), "trip_cost")) == [(6.5,), (7.5,)]
-    assert tuples(FL.trip_cost_by_vendor_month(trips, pricing)) == [("Lyft", day("2024-02-01"), 2, 14.0)]
+    assert tuples(FL.trip_cost(trips, pricing).orderBy("started_at", "vendor"), "trip_cost") == [(6.5,), (None,), (7.5,), (None,)]
+    assert sorted(tuples(FL.trip_cost_by_vendor_month(trips, pricing))) == [
+        ("Lime", day("2024-02-01"), 0, 1, None), ("Lyft", day("2024-02-01"), 2, 0, 14.0), ("Lyft", day("2025-01-01"), 0, 1, None)]
     assert FL.overlapping_policies(pricing).count() == 0
     twice = pricing.unionByName(rows(POLICIES, ("Lyft", day("2024-06-01"), day("2024-06-02"), 0.0, 0.0, 0.0)))
     assert FL.overlapping_policies(twice).count() == 1
+    with pytest.raises(Exception, match="overlapping pricing policies of Lyft"):
+        FL.trip_cost(trips, twice).collect()
+
+
+def test_policy_without_an_end_stays_in_force(rows):
+    pricing = rows(POLICIES, ("Lyft", day("2024-01-01"), day("2024-01-31"), 1.0, 0.0, 0.0), ("Lyft", day("2024-02-01"), None, 2.0, 0.0, 0.0))
+    trips = rows("vendor string, started_at timestamp_ntz, duration_s int, distance_m int",
+                 ("Lyft", at("2024-01-31 10:00:00"), 60, 0), ("Lyft", at("2031-05-01 10:00:00"), 60, 0))
+    assert sorted(tuples(FL.trip_cost(trips, pricing), "trip_cost")) == [(1.0,), (2.0,)]
+    more = pricing.unionByName(rows(POLICIES, ("Lyft", day("2030-01-01"), None, 0.0, 0.0, 0.0)))
+    assert FL.overlapping_policies(more).count() == 1

@@ -2,6 +2,7 @@
 
 import pytest
 
+from kickstand.operators.tasks import task_cost
 from kickstand.plans import kpi as K
 from tests.conftest import at, day, tuples
 
@@ -53,7 +54,7 @@ def test_cube_totals_equal_plain_counts(tasks):
 def test_sla_and_funnel(tasks):
     assert sorted(tuples(K.sla_pct_tasks(tasks)), key=str) == sorted(
         [("Lyft", "repair", 1, 1.0), ("Lime", "rebalance", 1, 0.0), (None, "rebalance", 0, None)], key=str)
-    funnel = {r[:2]: r[2:] for r in tuples(K.task_funnel(tasks))}
+    funnel = {r[:2]: r[2:] for r in tuples(K.task_funnel(task_cost(tasks)))}
     assert funnel["repair", "Lyft"] == (2, 1, 1, 1, 0, 10.0, 11.5)
     assert funnel["rebalance", None] == (1, 0, 1, 0, 1, 7.0, 9.0)
 
@@ -68,11 +69,11 @@ def test_heatmap_is_normalised_per_area_type(demand, rows):
 
 def test_money(demand, incidents, tasks):
     assert tuples(K.cost_waterfall(incidents)) == [("theft", 1, 30.0, 30.0), ("crash", 2, 15.5, 45.5)]
-    monthly = {r[:2]: r[2:] for r in tuples(K.vendor_monthly(demand, incidents, tasks))}
+    monthly = {r[:2]: r[2:] for r in tuples(K.vendor_monthly(demand, incidents, task_cost(tasks)))}
     assert monthly[day("2024-01-01"), "Lyft"] == (600, 40.0, 23.0)
     assert monthly[day("2024-01-01"), None] == (0, 0.0, 9.0)
     assert monthly[day("2024-03-01"), "Spin"] == (0, 5.5, 0.0)
-    spend = {r[0]: r[1:] for r in tuples(K.risk_vs_spend(incidents, tasks, demand))}
+    spend = {r[0]: r[1:] for r in tuples(K.risk_vs_spend(incidents, task_cost(tasks), demand))}
     assert spend["Lyft"] == (650, 2, 23.0, 3.0769, 35.3846)
     assert spend["Spin"] == (0, 1, 0.0, None, None)
 

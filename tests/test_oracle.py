@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from kickstand.plans.catalog import all_queries
+from kickstand.plans.oracles import all_oracles
 from tests.compare import DATA, compare, duck
 
 SF_DIR = str(DATA / "sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")

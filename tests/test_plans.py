@@ -4,15 +4,15 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from kickstand.operators import maintenance as M
 from kickstand.operators import trips as TR
+from kickstand.plans.catalog import all_queries
 from kickstand.schemas import TABLES
 from tests.compare import DATA
 from tests.conftest import at
 
 SF_DIR = str(DATA / "sf0.001")
-QUERIES = entry.queries()
+QUERIES = all_queries()
 
 
 def plan_of(df):
