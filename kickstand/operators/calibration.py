@@ -53,7 +53,7 @@ def area_weights(demand, catalog, by=(), alpha=0.5):
     by = list(by)
     spine = unique_areas(catalog.select("service_area_id", "area_type")).select("service_area_id")
     if by:
-        spine = spine.withColumn("vendor", F.explode(F.array(*[F.lit(v) for v in C.VENDORS])))
+        spine = spine.withColumn("vendor", F.explode(_vendor_list(demand)))
     counts = demand.groupBy("service_area_id", *by).agg(X.total("trips").alias("trips"))
     joined = spine.join(counts, ["service_area_id", *by], "left").withColumn(
         "trips", F.coalesce("trips", F.lit(0).cast("bigint"))
@@ -63,6 +63,12 @@ def area_weights(demand, catalog, by=(), alpha=0.5):
     return joined.withColumn("weight", smoothed / F.sum(smoothed).over(group))
 
 
+def _vendor_list(demand):
+    """All vendors as one array: the canonical ones and whatever others the demand names."""
+    seen = demand.agg(F.array_sort(F.collect_set("vendor"))).scalar()
+    return F.array_union(F.array(*[F.lit(v) for v in C.VENDORS]), seen)
+
+
 def vendor_area_mix(demand, catalog, alpha=0.5):
     return area_weights(demand, catalog, ["vendor"], alpha)
 
@@ -70,19 +76,27 @@ def vendor_area_mix(demand, catalog, alpha=0.5):
 # --- calendar shapes --------------------------------------------------------------
 
 
-def _vendor_counts(demand, *keys):
+def _vendor_counts(demand, *keys, vendors):
     """One row per key with a trips column per vendor."""
     return demand.groupBy(*keys).agg(
-        *[F.coalesce(X.total(F.when(F.col("vendor") == v, F.col("trips"))), F.lit(0)).alias(v) for v in C.VENDORS],
+        *[F.coalesce(X.total(F.when(F.col("vendor") == v, F.col("trips"))), F.lit(0)).alias(v) for v in vendors],
         X.total("trips").alias("_all"),
     )
 
 
 def vendor_month_mix(demand, floors=None):
     """Vendor share per month, lifted by the vendors' floors; every vendor is listed in every month."""
-    monthly = _vendor_counts(demand, X.month_start("day").alias("month"))
-    each = F.array(*[F.struct(F.lit(v).alias("vendor"), (F.col(v) / F.col("_all")).alias("raw")) for v in C.VENDORS])
-    rows = monthly.select("month", F.inline(each))
+    counts = demand.groupBy(X.month_start("day").alias("month"), "vendor").agg(X.total("trips").alias("trips"))
+    known = F.when(F.col("vendor").isNotNull(), F.struct("vendor", "trips"))
+    # a month has one entry per vendor
+    monthly = counts.groupBy("month").agg(
+        X.total("trips").alias("_all"), F.map_from_entries(F.collect_list(known)).alias("_by")
+    )
+    others = F.flatten(F.collect_list(F.map_keys("_by")).over(Window.partitionBy(F.lit(1))))
+    listed = F.array_union(F.array(*[F.lit(v) for v in C.VENDORS]), F.array_sort(F.array_distinct(others)))
+    rows = monthly.withColumn("_vendors", listed).select("month", "_all", "_by", F.explode("_vendors").alias("vendor"))
+    raw = F.coalesce(F.element_at("_by", F.col("vendor")), F.lit(0)) / F.col("_all")
+    rows = rows.select("month", "vendor", raw.alias("raw"))
     return G.normalize_with_floors(rows, ["month"], "vendor", "raw", floors or C.VENDOR_SHARE_FLOORS)
 
 
@@ -142,9 +156,9 @@ def vendor_daily_avg(demand):
     """Mean trips per active day for every vendor; 0 for a vendor without trips."""
     per_day = demand.groupBy("vendor", "day").agg(X.total("trips").alias("trips"))
     averages = per_day.groupBy("vendor").agg(F.avg("trips").alias("daily_avg"))
-    # the vendor list comes from one row per vendor, so no vendor is lost
+    # canonical vendors without trips are listed, and so is every other vendor that has some
     listed = demand.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in C.VENDORS])).alias("vendor"))
-    return listed.join(averages, "vendor", "left").select(
+    return listed.join(averages.filter(X.keys_known("vendor")), "vendor", "full").select(
         "vendor", F.coalesce("daily_avg", F.lit(0.0)).alias("daily_avg")
     )
 
@@ -184,31 +198,37 @@ def _day_factors(daily, floor_total, scale):
     )
 
 
-def _share_table(demand, days, floors):
+def _bias(key, biases, vendor):
+    """Factor of a vendor by band or area type; 1 where none is given."""
+    table = biases.get(vendor)
+    return X.lookup(key, table, 1.0) if table else F.lit(1.0)
+
+
+def _share_table(demand, days, floors, vendors):
     """Per month and area type: an array with one share per hour and vendor.
 
-    The array has 24 * 4 entries whatever the data, so a demand row or a spine row finds its shares
+    The array has 24 entries per vendor whatever the data, so a demand row or a spine row finds its shares
     with one lookup instead of a join that fans out.
     """
-    monthly = _vendor_counts(demand, X.month_start("day").alias("_m"))
-    lifted = G.floored_shares({v: F.col(v) / F.col("_all") for v in C.VENDORS}, floors)
-    mixes = monthly.select("_m", *[lifted[v].alias(f"_mix_{v}") for v in C.VENDORS])
+    monthly = _vendor_counts(demand, X.month_start("day").alias("_m"), vendors=vendors)
+    lifted = G.floored_shares({v: F.col(v) / F.col("_all") for v in vendors}, floors)
+    mixes = monthly.select("_m", *[lifted[v].alias(f"_mix_{v}") for v in vendors])
     kinds = F.explode(F.array(*[F.lit(k) for k in (*C.AREA_TYPES, OTHER_AREA)])).alias("area_kind")
     months = days.select("month").distinct().join(mixes, F.col("month") == F.col("_m"), "left")
     grid = months.select(
-        "month", *[F.coalesce(F.col(f"_mix_{v}"), F.lit(floors.get(v, 0.0))).alias(f"_mix_{v}") for v in C.VENDORS], kinds
+        "month", *[F.coalesce(F.col(f"_mix_{v}"), F.lit(floors.get(v, 0.0))).alias(f"_mix_{v}") for v in vendors], kinds
     )
     grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     band = X.hour_band("hour")
     biased = {
         v: F.col(f"_mix_{v}")
-        * X.lookup(band, C.VENDOR_BAND_BIAS[v])
-        * X.lookup("area_kind", C.VENDOR_AREA_BIAS.get(v, {OTHER_AREA: 1.0}), 1.0)
-        for v in C.VENDORS
+        * _bias(band, C.VENDOR_BAND_BIAS, v)
+        * _bias("area_kind", C.VENDOR_AREA_BIAS, v)
+        for v in vendors
     }
     grid = grid.select("month", "area_kind", "hour", *[b.alias(f"_raw_{v}") for v, b in biased.items()])
-    shares = G.floored_shares({v: F.col(f"_raw_{v}") for v in C.VENDORS}, floors)
-    return grid.select("month", "area_kind", "hour", *[shares[v].alias(v) for v in C.VENDORS])
+    shares = G.floored_shares({v: F.col(f"_raw_{v}") for v in vendors}, floors)
+    return grid.select("month", "area_kind", "hour", *[shares[v].alias(v) for v in vendors])
 
 
 def spine_tasks(spark):
@@ -228,21 +248,21 @@ def _weighted_areas(demand, catalog):
     )
 
 
-def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None):
+def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None, vendors=None):
     """Expected trips per day, hour, area and vendor over the full calendar, without noise.
 
     City total of the day, times the weight of the hour, the weight of the area, and the vendor's
     share for that month, hour and area type. The spine grows from (day, area) rows that are spread
-    over tasks first; each row brings its hours and vendors as one array of 24 * 4 entries, found by
-    month and area type.
+    over tasks first; each row brings its hours and vendors as one array of 24 entries per vendor, found by
+    month and area type. `vendors` replaces the canonical names where a vendor map keeps others.
     """
-    floors = floors or C.VENDOR_SHARE_FLOORS
+    floors, vendors = floors or C.VENDOR_SHARE_FLOORS, list(vendors or C.VENDORS)
     daily = day_totals(demand)
     days = _day_factors(daily, floor_total, scale)
     hours = hour_shape(demand).select("hour", F.col("weight").alias("_hour_weight"))
     # hour has 24 rows by construction
-    grid = _share_table(demand, days, floors).join(F.broadcast(hours), "hour")
-    weight = {v: F.col("_hour_weight") * F.col(v) for v in C.VENDORS}
+    grid = _share_table(demand, days, floors, vendors).join(F.broadcast(hours), "hour")
+    weight = {v: F.col("_hour_weight") * F.col(v) for v in vendors}
     each = F.array(*[F.struct("hour", F.lit(v).alias("vendor"), w.alias("_weight")) for v, w in weight.items()])
     cells = grid.select("month", "area_kind", F.explode(each).alias("_cell"))
     cells = cells.groupBy("month", "area_kind").agg(F.collect_list("_cell").alias("_cells"))
@@ -260,16 +280,17 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     return spine.select("day", "hour", "service_area_id", "vendor", expected.alias("expected_trips"))
 
 
-def demand_vs_expected(demand, history, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None):
+def demand_vs_expected(demand, history, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, floors=None, vendors=None):
     """Observed demand rows with the trips expected from `history` and the ratio of the two.
 
     Factors are looked up per observed row, so the full spine is never built. Rows outside the days of
-    the history, or in an area the catalog lacks, have no expectation.
+    the history, in an area the catalog lacks, or of a vendor outside `vendors` (the canonical names unless
+    given), have no expectation.
     """
-    floors = floors or C.VENDOR_SHARE_FLOORS
+    floors, vendors = floors or C.VENDOR_SHARE_FLOORS, list(vendors or C.VENDORS)
     days = _day_factors(day_totals(history), floor_total, scale)
-    shares = _share_table(history, days, floors)
-    each = F.array(*[F.struct(F.lit(v).alias("vendor"), F.col(v).alias("_share")) for v in C.VENDORS])
+    shares = _share_table(history, days, floors, vendors)
+    each = F.array(*[F.struct(F.lit(v).alias("vendor"), F.col(v).alias("_share")) for v in vendors])
     shares = shares.select("month", "area_kind", "hour", F.inline(each))
     hours = hour_shape(history).select("hour", F.col("weight").alias("_hour_weight"))
     joined = (

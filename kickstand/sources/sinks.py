@@ -1,14 +1,10 @@
 """Writers: extracts as CSV, staged and materialised tables as parquet."""
 
-import tempfile
 import uuid
 
 from kickstand.schemas import TABLES
 from kickstand.sources.readers import conform, read_text_csv, split_bad_rows
 
-_local_scratch = None
-
-
 def write_extract(df, path, columns=None):
     """CSV with header and a fixed column order, one file per task."""
     out = df.select(*columns) if columns else df
@@ -31,28 +27,18 @@ def materialize(spark, df, path, partition_by=None):
 
 
 def _shared_folder(spark):
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    global _local_scratch
-    if _local_scratch is None:
-        _local_scratch = tempfile.TemporaryDirectory(prefix="kickstand-")
-    return _local_scratch.name
+    """Folder that driver and executors share: `spark.checkpoint.dir`, else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def stored(df):
-    """Snapshot of a table that several branches of a job read, in the folder of `spark.checkpoint.dir`.
+    """Snapshot of a table that several branches of a job read, in the shared folder.
 
-    The table is computed once, later stages read columns of it from parquet, and a lost executor costs
-    no recomputation from the source. In local mode an unset folder is a scratch folder of this
-    process; on a cluster without the setting the table stays lazy, which gives the same rows.
+    The table is computed once, on any master alike, later stages read columns of it from parquet, and a lost
+    executor costs no recomputation from the source.
     """
     spark = df.sparkSession
     folder = _shared_folder(spark)
-    if folder is None:
-        return df
     path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # the snapshot belongs to this application: the file system drops it when the driver ends

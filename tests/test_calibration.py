@@ -148,3 +148,19 @@ def test_demand_rows_and_table_agree(rows, areas):
     ]
     for measure in (CA.hour_shape, CA.daily_median, CA.month_multiplier, CA.weekend_boost, CA.vendor_month_mix):
         assert sorted(tuples(measure(table))) == sorted(tuples(measure(TR.demand_rows(trips))))
+
+
+def test_a_vendor_outside_the_canonical_names_keeps_its_trips(rows):
+    demand = rows("day date, hour int, service_area_id int, vendor string, trips bigint",
+                  (day("2024-01-05"), 8, 1, "Bolt", 100), (day("2024-01-05"), 8, 1, None, 50))
+    areas = rows("service_area_id int, community_area_name string, area_type string", (1, "A", "campus"))
+    average = dict(tuples(CA.vendor_daily_avg(demand), "vendor", "daily_avg"))
+    assert average == {"Bolt": 100.0, **dict.fromkeys(C.VENDORS, 0.0)}
+    mix = {r["vendor"]: r for r in CA.vendor_month_mix(demand).collect()}
+    assert mix["Bolt"]["raw"] == pytest.approx(2 / 3) and mix["Bolt"]["share"] == pytest.approx(0.3) and len(mix) == len(C.VENDORS) + 1
+    weights = {r["vendor"]: r["trips"] for r in CA.vendor_area_mix(demand, areas).collect()}
+    assert weights == {"Bolt": 100, **dict.fromkeys(C.VENDORS, 0)}
+    named = [*C.VENDORS, "Bolt"]
+    assert {r["vendor"] for r in CA.expected_demand(demand, areas, vendors=named).collect()} == set(named)
+    compared = CA.demand_vs_expected(demand.filter("vendor is not null"), demand, areas, vendors=named).first()
+    assert compared["expected_trips"] > 0
