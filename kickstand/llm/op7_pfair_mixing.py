@@ -75,9 +75,9 @@ def power_weights(docs, exponent=0.5, source="source"):
 
 
 def _period_table(spark, slots, resolution):
-    """source, quota and its slots, as a table of one literal; `resolution` bounds its size."""
-    rows = [{"slot_source": name, "quota": len(held), "slots": held} for name, held in slots.items()]
-    kind = "array<struct<slot_source string, quota long, slots array<long>>>"
+    """key of a source, quota and its slots, as a table of one literal; `resolution` bounds its size."""
+    rows = [{"key": "-" if name is None else f"+{name}", "quota": len(held), "slots": held} for name, held in slots.items()]
+    kind = "array<struct<key string, quota long, slots array<long>>>"
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
@@ -92,16 +92,18 @@ def mix(docs, weights, block_docs=BLOCK_DOCS, resolution=RESOLUTION, chunk_docs=
     # the row travels as one value, so that no column of it can clash with a helper's name
     out = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("row"), "source", "doc_id")
+    # a key that is never null: window and join place rows by the same columns, so whole rows move once
+    rows = rows.withColumn("key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
     marked = rows.withColumn("at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     marked = marked.withColumn("chunk", F.substring("at", 1, digits))
-    counts = marked.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col("source").alias("of"), F.col("chunk").alias("in"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "chunk").orderBy("at", "doc_id")
+    counts = marked.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("key", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("key", "chunk").orderBy("at", "doc_id")
     ranked = marked.withColumn("rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("in")))
+    ranked = ranked.join(before, ["key", "chunk"])
     period = F.broadcast(_period_table(spark, slots, resolution))
-    placed = ranked.join(period, F.col("source").eqNullSafe(F.col("slot_source")), "left")
+    placed = ranked.join(period, "key", "left")
     unknown = F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null")))).cast("long")
     known = placed.withColumn("quota", F.coalesce("quota", unknown)).withColumn("nth", F.col("before") + F.col("rank"))
     known = known.withColumn("block", F.expr(f"nth div {block_docs}"))
