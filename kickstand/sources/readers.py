@@ -4,6 +4,9 @@ CSV files are read as text by header name and cast column by column: a schema gi
 reader binds by position, and inference would read the data twice.
 """
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from kickstand import constants as C
@@ -15,9 +18,32 @@ class MissingColumns(ValueError):
     """A required column was not found in the source."""
 
 
+def csv_files(spark, path):
+    """Data files that a path, a glob or a list of them names, on any file system that Spark reads."""
+    found = []
+    for text in [path] if isinstance(path, str) else path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(text)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in store.globStatus(place) or []:
+            inner = store.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += [f.getPath().toString() for f in inner if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return sorted(found)
+
+
 def read_text_csv(spark, path, **options):
-    """CSV with a header, every column as text; empty text is NULL."""
-    return spark.read.options(header=True, nullValue="", **options).csv(path)
+    """CSV with a header, every column as text; empty text is NULL.
+
+    Files are grouped by their header line and united by column name, so files of one glob may order their
+    columns differently or lack some; a column that a file lacks is NULL there.
+    """
+    reader = spark.read.options(header=True, nullValue="", **options)
+    files = csv_files(spark, path)
+    if len(files) < 2:
+        return reader.csv(path)
+    groups = {}
+    for file in files:
+        groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reader.csv(held) for held in groups.values()])
 
 
 def require_columns(df, names, source="table"):
@@ -87,24 +113,27 @@ def split_bad_rows(raw, schema):
 # --- raw trips --------------------------------------------------------------------
 
 
-def _squash(name):
-    return "".join(ch for ch in str(name).lower() if ch.isalnum())
-
-
 def detect_columns(columns, candidates=None):
-    """Physical column per logical name: an exact normalised match first, then a substring match.
+    """Physical column per logical name, None where no header fits.
 
-    Within each kind of match the first column in file order wins; None when nothing matches.
+    Headers and aliases are compared by their letters and digits. All pairs that fit are ranked at once: a header
+    equal to an alias goes before one that contains it, and then the earlier header goes first. Two headers that
+    are the same text after that comparison are ambiguous, and an error if one of them is wanted.
     """
-    squashed = {name: _squash(name) for name in columns}
-
-    def pick(wanted):
-        exact = (name for name, short in squashed.items() if short in wanted)
-        partial = (name for name, short in squashed.items() if any(w in short for w in wanted))
-        return next(exact, None) or next(partial, None)
-
-    candidates = candidates or C.TRIP_HEADERS
-    return {logical: pick([_squash(w) for w in words]) for logical, words in candidates.items()}
+    plain = {name: re.sub(r"[\W_]", "", name.lower()) for name in columns}
+    found = {}
+    for logical, aliases in (candidates or C.TRIP_HEADERS).items():
+        words = {re.sub(r"[\W_]", "", alias.lower()) for alias in aliases}
+        fits = [
+            (plain[name] not in words, place, name)
+            for place, name in enumerate(columns)
+            if any(word in plain[name] for word in words)
+        ]
+        found[logical] = min(fits)[2] if fits else None
+        twins = [name for name in columns if found[logical] and plain[name] == plain[found[logical]]]
+        if len(twins) > 1:
+            raise ValueError(f"ambiguous headers for {logical}: {twins}")
+    return found
 
 
 def trips_canon(
@@ -158,6 +187,13 @@ def trips_canon(
     return trips
 
 
+def rejected_trips(raw, mapping=None):
+    """Raw rows that `trips_canon` drops because their start time cannot be read."""
+    mapping = mapping or detect_columns(raw.columns)
+    time = X.parse_time(F.col(f"`{mapping['start_time']}`").cast("string"))
+    return raw.filter(time.isNull())
+
+
 def read_raw_trips(spark, path, **kwargs):
     """Canonical trips straight from raw CSV; only the detected columns are parsed."""
     mapping = detect_columns(read_text_csv(spark, path).columns)

@@ -154,3 +154,19 @@ def test_area_catalog_from_names(rows):
         (1, "Austin", "residential", "austin", "Austin, Chicago, IL, USA"),
         (2, "Loop", "residential", "loop", "Loop, Chicago, IL, USA"),
     ]
+
+
+def test_files_with_other_column_orders_are_united_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Start Time,Vendor,Trip Distance\n2024-05-01 08:15:00,lyft,1500\n")
+    (tmp_path / "b.csv").write_text("Vendor,Start Time,extra\nspin,7/1/2024 8:05,1\nlime,not a time,2\n")
+    canon = R.read_raw_trips(spark, f"{tmp_path}/*.csv")
+    assert sorted(tuples(canon, "vendor", "started_at", "distance_m"), key=str) == [
+        ("Lyft", at("2024-05-01 08:15:00"), 1500), ("Spin", at("2024-07-01 08:05:00"), None)]
+    rejected = R.rejected_trips(R.read_text_csv(spark, f"{tmp_path}/*.csv"))
+    assert tuples(rejected, "Vendor") == [("lime",)]
+    assert R.csv_files(spark, str(tmp_path)) == R.csv_files(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"])
+
+
+def test_headers_that_read_alike_are_ambiguous():
+    with pytest.raises(ValueError, match="ambiguous headers for vendor"):
+        R.detect_columns(["Vendor", "vendor_", "Start Time"])
