@@ -34,7 +34,7 @@ LENGTH = 50
 WORD = 16
 #: Bytes of text per batch and per bucket; longest segment in windows; segments of one minimizer that go together.
 BATCH_BYTES = 6 << 20
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 SEGMENT = 64
 FREQUENT = 1 << 15
 LAST = np.iinfo(np.int64).max
@@ -116,7 +116,9 @@ class Batch:
         hashes = _string_hashes(self.data, start, size)
         key = np.concatenate([self.minimizer[whole], hashes[len(whole) :]])
         bucket = (common.mix(key) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((doc, hashes, bucket))
+        # equal strings have one bucket: bucket and the hash's leading bits order them in one word
+        bits = np.uint64(max(1, int(n_buckets).bit_length()))
+        order = np.argsort(bucket.astype(np.uint64) << (np.uint64(64) - bits) | hashes >> bits, kind="stable")
         b, h = bucket[order], hashes[order]
         new = np.ones(len(order), bool)
         new[1:] = (b[1:] != b[:-1]) | (h[1:] != h[:-1])
@@ -124,7 +126,8 @@ class Batch:
         string = np.empty(len(order), np.int64)
         string[order] = np.cumsum(new) - 1
         at = order[first]
-        return {"bucket": b[first], "start": start[at], "size": size[at], "owner": doc[at]}, start, doc, string
+        owner = np.minimum.reduceat(doc[order], first) if len(first) else doc[:0]
+        return {"bucket": b[first], "start": start[at], "size": size[at], "owner": owner}, start, doc, string
 
 
 def _string_hashes(data, starts, sizes):

@@ -78,16 +78,17 @@ class RunIndex:
             else:
                 order = np.argsort(key, kind="stable")
                 sorted_key = key[order]
-            classes = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
+            classes = np.zeros(n, np.int32 if small else np.int64)
+            np.cumsum(sorted_key[1:] != sorted_key[:-1], out=classes[1:])
             # past the text nothing stands: less than any symbol
-            rank = np.zeros(n + max(done, depth), np.int64)
+            rank = np.zeros(n + max(done, depth), np.int32 if small else np.int64)
             rank[order] = classes + 1
             if done <= depth:
                 coarse, short = rank, depth - done
             if classes[-1] == n - 1:
                 break
             # two ranks and a position of PACKED bits each fit one word as well
-            key = rank[:n] << PACKED | rank[done : done + n] if small else rank[:n] * (n + 2) + rank[done : done + n]
+            key = rank[:n].astype(np.int64) << PACKED | rank[done : done + n] if small else rank[:n] * (n + 2) + rank[done : done + n]
             done *= 2
         new = (coarse[order[1:]] != coarse[order[:-1]]) | (coarse[order[1:] + short] != coarse[order[:-1] + short])
         return order, np.cumsum(np.concatenate([[False], new]))
@@ -122,32 +123,36 @@ class RunIndex:
         row = self.end_rows[own] if own is not None else np.zeros(m, np.int64)
         length = np.zeros(m, np.int64)
         place = self.string_ends[own] if own is not None else self.at_start[np.zeros(m, np.int64)]
+        # longest patterns first: those still being read are then the first so many
         order = np.argsort(-lengths, kind="stable")
-        sizes = -np.sort(-lengths)
+        sizes, stops = lengths[order], ends[order + 1]
+        row, place = row[order], place[order]
+        counts = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), side="right")
         for step in range(1, int(sizes[0]) + 1):
-            live = order[: int(np.searchsorted(-sizes, -step, side="right"))]
-            at = ends[live + 1] - step
+            live = slice(0, int(counts[step]))
+            at = stops[live] - step
             c = symbols[at]
             run = self.run_of[row[live]]
             off = row[live] - self.starts[run]
             jump = np.flatnonzero(self.heads[run] != c)
+            lost = None
             if len(jump):
-                run, off, lost = self._jump(live, jump, c, run, off, length, place)
-            else:
-                lost = np.zeros(len(live), bool)
-            sound = ~lost
-            to, s = live[sound], c[sound]
-            row[to] = self.first[s] + self.earlier[run[sound]] + off[sound]
-            place[to] -= 1
-            length[to] = np.minimum(length[to] + 1, self.depth)
-            length[live[lost]] = 0
-            found[at], rows[at] = length[live], row[live]
+                run, off, lost = self._jump(jump, c, run, off, length, place)
+            stepped = self.first[c] + self.earlier[run] + off
+            grown = np.minimum(length[live] + 1, self.depth)
+            if lost is not None and lost.any():
+                # a symbol that no string holds: nothing matches, and the walk goes on from where it was
+                stepped, grown = np.where(lost, row[live], stepped), np.where(lost, 0, grown)
+                place[live] += lost
+            row[live], length[live] = stepped, grown
+            place[live] -= 1
+            found[at], rows[at] = grown, stepped
         return found, rows
 
-    def _jump(self, live, jump, c, run, off, length, place):
+    def _jump(self, jump, c, run, off, length, place):
         """Move to the end of the run before or the start of the run after that bears the wanted symbol, whichever
         agrees longer with the match so far."""
-        lost = np.zeros(len(live), bool)
+        lost = np.zeros(len(c), bool)
         width = len(self.starts) + 1
         want, now = c[jump], run[jump]
         next_ = np.searchsorted(self.run_keys, want * width + now)
@@ -156,7 +161,7 @@ class RunIndex:
         has_prev = (next_ > 0) & (padded[next_ - 1] // width == want) & (want >= 0)
         pick = np.concatenate([self.runs_of, [0]])
         after, before = pick[np.where(has_next, next_, -1)], pick[np.where(has_prev, next_ - 1, -1)]
-        here, most = place[live[jump]], length[live[jump]]
+        here, most = place[jump], length[jump]
         ahead = np.where(has_next, self._common(self.at_start[after], here, most), -1)
         behind = np.where(has_prev, self._common(self.at_end[before], here, most), -1)
         up = behind >= ahead
@@ -165,8 +170,8 @@ class RunIndex:
         ends = np.append(self.starts[1:], self.n) - self.starts - 1
         run[jump] = np.where(none, now, np.where(up, before, after))
         off[jump] = np.where(none, off[jump], np.where(up, ends[before], 0))
-        place[live[jump]] = np.where(none, here, np.where(up, self.at_end[before], self.at_start[after]))
-        length[live[jump]] = np.where(none, 0, np.maximum(ahead, behind))
+        place[jump] = np.where(none, here, np.where(up, self.at_end[before], self.at_start[after]))
+        length[jump] = np.where(none, 0, np.maximum(ahead, behind))
         lost[jump[none]] = True
         return run, off, lost
 
