@@ -1,4 +1,4 @@
-"""Oracle SQL of the trip, maintenance and incident extracts, in the report's own join form."""
+"""Oracle SQL of the trip, maintenance and incident extracts, written from what their columns mean."""
 
 from kickstand.plans.oracle_parts import half_up, with_fleet
 
@@ -8,15 +8,17 @@ QUALITY = """duration_s is not null and duration_s > 60 and distance_m is not nu
 
 
 EXTRACTS = {
+    # one pass of grouping sets gives the vendor rows and, with the vendor rolled up, the day's total
     "daily_trips_by_vendor": with_fleet(
         ["trips_canon"],
-        """, by_vendor as (
-             select cast(started_at as date) as day, vendor, count(*) as trips from trips_canon
-             where started_at is not null and vendor is not null group by 1, 2),
-           daily_total as (select day, cast(sum(trips) as bigint) as total_trips from by_vendor group by 1)
-           select v.day, v.vendor, v.trips, t.total_trips,
-             round(cast(v.trips as double)/nullif(t.total_trips, 0), 4) as vendor_share
-           from by_vendor v join daily_total t using (day)""",
+        """, sums as (
+             select cast(started_at as date) as day, vendor, grouping(vendor) as whole_day, count(*) as trips
+             from trips_canon where started_at is not null and vendor is not null
+             group by grouping sets ((1, vendor), (1)))
+           select part.day, part.vendor, part.trips, whole.trips as total_trips,
+             round(cast(part.trips as double) / whole.trips, 4) as vendor_share
+           from sums part, sums whole
+           where part.day = whole.day and part.whole_day = 0 and whole.whole_day = 1""",
     ),
     "avg_trips_by_vendor": with_fleet(
         ["trips_canon"],
@@ -29,18 +31,21 @@ EXTRACTS = {
               round(quantile_cont(distance_m/1000.0, 0.9), 4) as p90_km
             from clean group by vendor, day""",
     ),
+    # windows over the hourly rows; the total of the day also has the trips without a vendor
     "hourly_demand_by_vendor": with_fleet(
         ["trips_canon"],
-        f""", counts as (
-              select cast(started_at as date) as day, cast(extract(hour from started_at) as int) as hour, vendor,
+        f""", hours as (
+              select cast(started_at as date) as day, vendor, cast(date_part('hour', started_at) as int) as hour,
                 count(*) as trips
-              from trips_canon where {QUALITY.format(lo=5, hi=30)} group by 1, 2, 3),
-            vendor_tot as (select day, vendor, cast(sum(trips) as bigint) as vendor_day_total from counts group by 1, 2),
-            day_tot as (select day, cast(sum(trips) as bigint) as day_total from counts group by 1)
-            select c.day, c.vendor, c.hour, c.trips, v.vendor_day_total, d.day_total,
-              round(cast(c.trips as double)/nullif(v.vendor_day_total, 0), 4) as share_within_vendor_day,
-              round(cast(c.trips as double)/nullif(d.day_total, 0), 4) as share_within_day
-            from counts c join vendor_tot v using (day, vendor) join day_tot d using (day)""",
+              from trips_canon where {QUALITY.format(lo=5, hi=30)} group by all),
+            summed as (
+              select *, cast(sum(trips) over (partition by day, vendor) as bigint) as vendor_day_total,
+                cast(sum(trips) over (partition by day) as bigint) as day_total
+              from hours)
+            select day, vendor, hour, trips, vendor_day_total, day_total,
+              round(cast(trips as double) / vendor_day_total, 4) as share_within_vendor_day,
+              round(cast(trips as double) / day_total, 4) as share_within_day
+            from summed where day is not null and vendor is not null""",
     ),
     "service_events_per_day": with_fleet(
         ["status_changes"],
@@ -48,32 +53,36 @@ EXTRACTS = {
              count(distinct vehicle_id) as unique_vehicles
            from status_changes where event_type = 'maintenance_pickup' group by 1""",
     ),
+    # a pickup's successor is the smallest (time, id) of its vehicle that is larger than its own
     "avg_downtime_per_vehicle": with_fleet(
         ["status_changes"],
-        f""", ordered as (
-              select vehicle_id, event_time, event_type,
-                lead(event_time) over (partition by vehicle_id order by event_time, event_id) as next_time,
-                lead(event_type) over (partition by vehicle_id order by event_time, event_id) as next_type
-              from status_changes where event_type in ('maintenance_pickup', 'maintenance_dropoff')),
-            pairs as (
-              select event_time, epoch_us(next_time) - epoch_us(event_time) as us from ordered
-              where event_type = 'maintenance_pickup' and next_type = 'maintenance_dropoff'
-                and next_time > event_time)
-            select cast(event_time as date) as day, count(*) as maint_pairs,
+        f""", moves as (
+              select vehicle_id, event_type = 'maintenance_pickup' as leaves,
+                struct_pack(at := event_time, id := event_id, leaves := event_type = 'maintenance_pickup') as step
+              from status_changes
+              where event_type in ('maintenance_pickup', 'maintenance_dropoff') and vehicle_id is not null),
+            followed as (
+              select step.at as left_at,
+                min(step) over (partition by vehicle_id order by step.at, step.id
+                                rows between 1 following and unbounded following) as back, leaves
+              from moves),
+            absences as (
+              select cast(left_at as date) as day, epoch_us(back.at) - epoch_us(left_at) as us from followed
+              where leaves and not back.leaves and back.at > left_at)
+            select day, count(*) as maint_pairs,
               {half_up('sum(us)', 3600000000, 'count(*)')} as avg_downtime_h,
               round(quantile_cont(us/3600000000.0, 0.5), 4) as p50_downtime_h,
               round(quantile_cont(us/3600000000.0, 0.9), 4) as p90_downtime_h
-            from pairs group by 1""",
+            from absences group by day""",
     ),
     "weekly_fleet_maintenance_percent": with_fleet(
         ["status_changes", "vehicles"],
-        """, weekly as (
-             select cast(date_trunc('week', event_time) as date) as week_start, vehicle_id from status_changes
-             where event_type = 'maintenance_pickup' group by 1, 2),
-           fleet as (select count(distinct vehicle_id) as fleet_size from vehicles)
-           select week_start, count(distinct vehicle_id) as vehicles_in_maintenance, fleet_size,
-             round(cast(count(distinct vehicle_id) as double)/fleet_size*100, 2) as pct_fleet_maintenance
-           from weekly cross join fleet group by week_start, fleet_size""",
+        """select monday as week_start, n as vehicles_in_maintenance, size as fleet_size,
+             round(cast(n as double) / size * 100, 2) as pct_fleet_maintenance
+           from (select count(distinct vehicle_id) as size from vehicles),
+                (select cast(event_time as date) - cast(isodow(event_time) - 1 as int) as monday,
+                   count(distinct vehicle_id) as n
+                 from status_changes where event_type = 'maintenance_pickup' group by 1)""",
     ),
     "incidents_by_type": with_fleet(
         ["incidents"],
