@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept. The first drops documents that the learned rules reject, the second
 keeps one document of each group of near duplicates (five-word shingles, similarity 0.8), the third replaces
 personal data in the texts, the fourth puts the documents in the order that mixes their sources to target
-weights, and the last packs them into sequences.
+weights, and the last packs ranges of that order into sequences, whose ids ascend with it. The order lies in
+the files of the fourth stage, by file name and row of the file.
 """
 
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from kickstand.llm import op6_sanitise as op6
 from kickstand.llm import op7_pfair_mixing as op7
 from kickstand.llm import op9_packing as op9
 
+#: Text of the documents, next to each other in the order of the schedule, that are packed together.
+GROUP_BYTES = op9.GROUP_BYTES
+
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that neither the base rule nor the rules learned from the labels reject."""
@@ -38,8 +42,8 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of documents in sequences."""
-    return op9.pack_documents(docs, catalog.WORD_VOCABULARY)
+    """Pieces of documents in sequences, group by group in the order of the files that the stage before wrote."""
+    return op9.pack_in_order(docs, catalog.WORD_VOCABULARY, group_bytes=GROUP_BYTES)
 
 
 STAGES = [

@@ -1,7 +1,8 @@
 """Pack documents into sequences of bounded length by first-fit decreasing over a tournament tree.
 
 Documents are dealt at random (by hash of doc_id) into groups of bounded size and each group is packed on its
-own. A document longer than a sequence fills whole sequences first; what is left of every document is placed,
+own; `pack_in_order` takes groups that follow each other in the order of the documents' files instead, and its
+sequence ids ascend with the groups. A document longer than a sequence fills whole sequences first; what is left of every document is placed,
 longest first, in the first open sequence with room. A tournament tree over the room of the sequences finds
 that sequence in logarithmic time: an inner node holds the larger room of its two children.
 
@@ -17,12 +18,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kickstand.llm import common, tokens
 
 LENGTH = 4096
 GROUP_BYTES = 12 << 20
+#: What a row counts beside its text where groups follow the order of files.
+ROW_BYTES = 16
 #: A sequence with at least so much room left is cut into powers of two.
 LOOSE = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -102,6 +107,9 @@ def _packer(tokenizer, end_id, length, with_ids):
         # order of arrival differs between runs: ids settle it, then the text
         texts = table["text"].to_pylist()
         order = sorted(range(len(texts)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0, texts[i] or ""))
+        if "row" in table.column_names:
+            places = list(zip(table["file"].to_pylist(), table["row"].to_pylist(), strict=True))
+            order = sorted(range(len(texts)), key=lambda i: places[i])
         held = [encoder.encode(texts[i]) for i in order]
         sizes = [len(ids) // encoder.width for ids in held]
         base = key[0].as_py() << 32
@@ -129,3 +137,29 @@ def pack_documents(docs, tokenizer, length=LENGTH, end_id=2, group_bytes=GROUP_B
     n = common.pieces_for(common.text_bytes(docs), group_bytes)
     grouped = docs.withColumn("group", common.bucket(n, "doc_id", seed=9)).groupBy("group")
     return grouped.applyInArrow(_packer(tokenizer, end_id, length, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
+
+
+def pack_in_order(docs, tokenizer, length=LENGTH, end_id=2, group_bytes=GROUP_BYTES, with_ids=False):
+    """As pack_documents, but groups are ranges of the order in which the documents' Parquet files hold them (by file
+    name, then row), each of about `group_bytes`; a group and its sequence ids ascend with that order."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = common.written(docs, "packing-order")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # a row without text counts too, so that a group's rows are bounded as its bytes are
+    sizes = docs.select("file", "row", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"))
+    # one number a file, which the driver lists anyhow: the bytes of the files before it
+    offsets, total = [], 0
+    for r in sizes.groupBy("file").agg(F.sum("size").alias("n")).orderBy("file").collect():
+        offsets.append((r["file"], total))
+        total += r["n"]
+    files = docs.sparkSession.createDataFrame(offsets, "file string, before long")
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(files), "file")
+    starts = starts.groupBy("file", F.expr(f"(before + inside) div {group_bytes}").cast("int").alias("group")).agg(F.min("row").alias("from"))
+    starts = starts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("from", "group"))).alias("starts"))
+    grouped = docs.join(F.broadcast(starts), "file")
+    group = F.element_at(F.filter("starts", lambda s: s["from"] <= F.col("row")), -1)["group"]
+    grouped = grouped.select("doc_id", "text", "file", "row", group.alias("group")).groupBy("group")
+    return grouped.applyInArrow(_packer(tokenizer, end_id, length, with_ids), PIECES + (", ids array<int>" if with_ids else ""))

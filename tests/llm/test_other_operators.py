@@ -225,3 +225,33 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     for p in pieces:
         total[p["doc_id"]] = total.get(p["doc_id"], 0) + p["length"]
     assert total == sizes
+
+
+def test_mixing_shapes_the_sequences(spark, tmp_path, monkeypatch):
+    """A hot source is spread by the schedule; without the mixing stage the sequences are others."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(str(rng.randrange(1000)) for _ in range(rng.randrange(40, 80))), "hot" if i < 540 else "rare") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6, "doc_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "GROUP_BYTES", 12_000)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(mixing):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("mix_sources", mixing), ("packing", stages["packing"])])
+        return [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+
+    mixed, again, plain = run(stages["mix_sources"]), run(stages["mix_sources"]), run(lambda spark, docs, sf_dir: docs)
+    turned = run(lambda spark, docs, sf_dir: op7.mix(docs, {"hot": 1.0, "rare": 1e-3}).orderBy("slot", "place").select(*docs.columns))
+    where = [{(r["doc_id"], r["start"], r["sequence_id"]) for r in held} for held in (mixed, again, plain, turned)]
+    assert where[0] == where[1] and where[0] != where[2] and where[0] != where[3]
+    for held in (mixed, plain, turned):
+        assert {r["doc_id"] for r in held} == set(range(600)) and sum(r["length"] for r in held) == sum({r["doc_id"]: r["doc_tokens"] for r in held}.values())
+    slots = {r["doc_id"]: (r["slot"], r["place"]) for r in op7.mix(docs, op7.power_weights(docs)).collect()}
+    by_group = {}
+    for r in mixed:
+        by_group.setdefault(r["sequence_id"] >> 32, set()).add(r["doc_id"])
+    order = sorted(by_group)
+    assert len(order) > 5 and all(max(map(slots.get, by_group[a])) < min(map(slots.get, by_group[b])) for a, b in zip(order, order[1:]))
+    # weights are 540 ** 0.5 to 60 ** 0.5: a quarter of the first groups is rare, a tenth of the documents is
+    first = by_group[order[0]] | by_group[order[1]]
+    assert 0.15 < sum(i >= 540 for i in first) / len(first) < 0.35
