@@ -2,11 +2,12 @@
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers by pattern and check. Each
 checked value (lower-cased address, digits of a number) is a protected entity. Around every base span the words
-of its context are counted with the entity: n(t, e) counts *distinct* contexts, so copies of one passage count
-once. Against n(t), all occurrences of the word in the corpus, the disclosure of entity e by term t is
-P(e | t) = n(t, e) / n(t), and its information is log2(P(e | t) / P(e)) bits, P(e) being the entity's share of
-all contexts. A term above `disclosure`, with `support` contexts and `bits` of information, gives the entity
-away wherever it stands: it is generalised to its kind (name, number, word), or removed above `removal`.
+of its context are counted with the entity, both in documents: n(t, e) of them hold the word in a context of the
+entity, n(t) hold it anywhere, and the disclosure of entity e by term t is P(e | t) = n(t, e) / n(t), however often
+a text repeats the word or a passage is copied. Its information is log2(P(e | t) / P(e)) bits, P(e) being the
+entity's share of all pairs of entity and document. A term above `disclosure`, with `support` *distinct* contexts
+(copies of one passage count once there) and `bits` of information, gives the entity away wherever it stands: it
+is generalised to its kind (name, number, word), or removed above `removal`.
 
 Spans are found by splitting at a pattern and summing the lengths of gaps and matches. The patterns carry
 possessive quantifiers and start only where a run starts or the last match ended; they match what the plain
@@ -27,6 +28,8 @@ REMOVAL = 0.9
 BITS = 6.0
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
+#: The term that every context holds.
+WHOLE = ""
 #: The patterns of the kinds, as linear-time equals of their plain forms.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -118,28 +121,47 @@ def _terms(text):
 
 
 def contexts(found):
-    """entity, term, context: the words beside each base span, with a hash of what stands there."""
-    spans = found.where(F.size("base") > 0).select("text", F.explode("base").alias("span"))
-    value = F.expr("substring(text, span.start + 1, span.end - span.start)")
-    entity = F.concat("span.kind", F.lit(":"), F.when(F.col("span.kind").isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
-    # a word that the window cuts is left out
-    left = F.regexp_replace(F.expr(f"substring(text, greatest(span.start - {CONTEXT_CHARS}, 0) + 1, span.start - greatest(span.start - {CONTEXT_CHARS}, 0))"), r"^\S*", "")
-    right = F.regexp_replace(F.expr(f"substring(text, span.end + 1, {CONTEXT_CHARS})"), r"\S*$", "")
-    beside = F.concat(left, F.lit(" "), right)
-    held = spans.select(entity.alias("entity"), beside.alias("beside")).distinct()
-    return held.select("entity", F.explode(F.array_distinct(_terms(F.col("beside")))).alias("term"))
+    """entity, doc, beside, rows: what stands beside each protected value of a text, the text's hash, and how many
+    rows hold that text; a text that repeats a context gives it once."""
+    text = F.col("text")
+
+    def context(span):
+        value = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+        entity = F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
+        # a word that the window cuts is left out
+        first = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
+        left = F.regexp_replace(F.substring(text, first + 1, span["start"] - first), r"^\S*", "")
+        right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS)), r"\S*$", "")
+        return F.concat(entity, F.lit("\n"), left, F.lit(" "), right)
+
+    # no value of an entity holds a line's end; strings are told apart by hash, structs one by one
+    entries = F.array_distinct(F.transform("base", context))
+    held = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("doc"), F.explode(entries).alias("entry"))
+    held = held.groupBy("doc", "entry").agg(F.count(F.lit(1)).alias("rows"))
+    return held.select(F.substring_index("entry", "\n", 1).alias("entity"), "doc", F.substring("entry", F.instr("entry", "\n") + 1, F.length("entry")).alias("beside"), "rows")
+
+
+def term_pairs(held):
+    """entity, term, n_te (rows that hold the term beside the entity), contexts (distinct ones that hold both)."""
+    terms = F.array_union(F.array(F.lit(WHOLE)), _terms(F.col("beside")))
+    # two units in one pass: a text counts with its rows, a context once
+    units = F.array(F.struct(F.lit(True).alias("of_text"), F.col("doc").alias("key"), "rows"), F.struct(F.lit(False).alias("of_text"), F.xxhash64("beside").alias("key"), F.lit(1).cast("long").alias("rows")))
+    each = held.select("entity", units.alias("units"), F.explode(terms).alias("term")).select("entity", "term", F.inline("units"))
+    each = each.groupBy("entity", "term", "of_text", "key").agg(F.max("rows").alias("rows"))
+    n_te, n_contexts = (F.sum(F.when(F.col("of_text") == side, F.col("rows")).otherwise(0)) for side in (True, False))
+    return each.groupBy("entity", "term").agg(n_te.alias("n_te"), n_contexts.alias("contexts"))
 
 
 def disclosing_terms(found, support=SUPPORT, disclosure=DISCLOSURE, bits=BITS):
     """term, share: the terms that give an entity away, with the largest P(e | t), from counts over all documents."""
-    pairs = common.written(contexts(found).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")), "disclosure-pairs")
-    likely = pairs.where(F.col("n_te") >= support)
-    words = found.select(F.explode(_terms(F.col("text"))).alias("term"))
+    pairs = common.written(term_pairs(contexts(found)), "disclosure-pairs")
+    likely = pairs.where((F.col("contexts") >= support) & (F.col("term") != WHOLE))
+    # in rows, as n_te is
+    words = found.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     # counted before the join: words meet in sums of tasks, whatever their frequency
     occurs = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # every term of a context is one of its pairs, so an entity's share of all pairs stands for its share of contexts
-    total = pairs.agg(F.sum("n_te").alias("n")).first()["n"] or 1
-    entities = pairs.groupBy("entity").agg(F.sum("n_te").alias("n_e"))
+    entities = pairs.where(F.col("term") == WHOLE).select("entity", F.col("n_te").alias("n_e"))
+    total = entities.agg(F.sum("n_e").alias("n")).first()["n"] or 1
     scored = likely.join(occurs, "term").join(entities, "entity")
     share = F.col("n_te") / F.col("n_t")
     scored = scored.withColumn("share", share).withColumn("bits", F.log2(F.col("share") * F.lit(float(total)) / F.col("n_e")))

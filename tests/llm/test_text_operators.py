@@ -243,3 +243,13 @@ def test_terms_that_give_an_entity_away(spark):
     spans = op6.find(frame(spark, rows), bits=3.0).where("doc_id = 900").select(op6.listed(F.col("spans"))).first()[0]
     assert spans == "term:6:13,card:15:34"
     assert op6.sanitise(frame(spark, rows).limit(0)).columns == frame(spark, rows).columns
+
+
+def test_copies_and_repeats_do_not_thin_a_disclosing_term(spark):
+    """A name beside one address only, one of its contexts copied into many texts, the name twice in each text."""
+    rows = [(i, f"the Zorblax of lot{i} wrote from bob@corp.example.com on day{i} signed zorblax then") for i in range(6)]
+    rows += [(50 + i, f"page{i} " + "filler " * 30 + "the Zorblax of lot1 wrote from bob@corp.example.com on day1 signed zorblax then" + " filler" * 30) for i in range(200)]
+    rows += [(300 + i, rows[0][1]) for i in range(50)]
+    rows += [(400 + i, f"word{i} u{i}@x.org wrote from there on a day signed of the house {i}") for i in range(600)]
+    terms = {r["term"]: r["share"] for r in op6.disclosing_terms(op6.find_base(frame(spark, rows)), bits=1.0).collect()}
+    assert terms["zorblax"] == 1.0 and "wrote" not in terms and max(terms.values()) <= 1.0
