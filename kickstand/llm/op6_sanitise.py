@@ -128,10 +128,12 @@ def contexts(found):
     def context(span):
         value = F.substring(text, span["start"] + 1, span["end"] - span["start"])
         entity = F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
-        # a word that the window cuts is left out
+        # a word that the window cuts is left out: the text goes on with no blank beyond the window
         first = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-        left = F.regexp_replace(F.substring(text, first + 1, span["start"] - first), r"^\S*", "")
-        right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS)), r"\S*$", "")
+        left = F.substring(text, first + 1, span["start"] - first)
+        left = F.when((first > 0) & F.substring(text, first, F.lit(1)).rlike(r"\S"), F.regexp_replace(left, r"^\S*", "")).otherwise(left)
+        right = F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS))
+        right = F.when(F.substring(text, span["end"] + 1 + CONTEXT_CHARS, F.lit(1)).rlike(r"\S"), F.regexp_replace(right, r"\S*$", "")).otherwise(right)
         return F.concat(entity, F.lit("\n"), left, F.lit(" "), right)
 
     # no value of an entity holds a line's end; strings are told apart by hash, structs one by one

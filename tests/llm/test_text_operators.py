@@ -253,3 +253,13 @@ def test_copies_and_repeats_do_not_thin_a_disclosing_term(spark):
     rows += [(400 + i, f"word{i} u{i}@x.org wrote from there on a day signed of the house {i}") for i in range(600)]
     terms = {r["term"]: r["share"] for r in op6.disclosing_terms(op6.find_base(frame(spark, rows)), bits=1.0).collect()}
     assert terms["zorblax"] == 1.0 and "wrote" not in terms and max(terms.values()) <= 1.0
+
+
+def test_words_at_the_edges_of_a_text_are_context(spark):
+    long = "a" * 60 + " " + "b" * 60
+    rows = [(1, "Alice: alice@x.org"), (2, "write to alice@x.org Alice"), (3, f"{long} carol@x.org {long}"), (4, "x" + "y" * 99 + "dave@x.org"), (5, "lead " + "z" * 98 + " erin@x.org " + "z" * 98 + " tail")]
+    held = {}
+    for r in op6.contexts(op6.find_base(frame(spark, rows))).collect():
+        held.setdefault(r["entity"].split(":")[1][0], []).append(r["beside"].split())
+    assert sorted(held["a"]) == [["Alice:"], ["write", "to", "Alice"]]
+    assert held["c"] == [["b" * 60, "a" * 60]] and held["e"] == [["z" * 98, "z" * 98]]
