@@ -4,10 +4,16 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers b
 checked value (lower-cased address, digits of a number) is a protected entity. Around every base span the words
 of its context are counted with the entity, both in documents: n(t, e) of them hold the word in a context of the
 entity, n(t) hold it anywhere, and the disclosure of entity e by term t is P(e | t) = n(t, e) / n(t), however often
-a text repeats the word or a passage is copied. Its information is log2(P(e | t) / P(e)) bits, P(e) being the
-entity's share of all pairs of entity and document. A term above `disclosure`, with `support` *distinct* contexts
-(copies of one passage count once there) and `bits` of information, gives the entity away wherever it stands: it
-is generalised to its kind (name, number, word), or removed above `removal`.
+a text repeats the word or a passage is copied. P(e) being the share
+of all documents that hold the entity, the term tells log2(P(e | t) / P(e)) bits, and gains
+(P(e | t) - P(e)) / (1 - P(e)) of what was open. A term above `disclosure` gives the entity away wherever it stands
+
+* if it tells `bits`, or gains `disclosure`: that one is in reach of every entity, however frequent,
+* and if `support` *distinct* contexts hold it (copies of one passage count once there). For an entity that has fewer,
+  two contexts do, with the lower bound of P(e | t) above `disclosure`. One context tells no name from other words.
+
+It is generalised to its kind (name, number, word), or removed above `removal`. An entity that every document holds
+is given away by no word.
 
 Spans are found by splitting at a pattern and summing the lengths of gaps and matches. The patterns carry
 possessive quantifiers and start only where a run starts or the last match ended; they match what the plain
@@ -23,6 +29,8 @@ from kickstand.llm import common
 
 CONTEXT_CHARS = 100
 SUPPORT = 5
+#: Contexts with a term that an entity of fewer than SUPPORT contexts needs; one alone is no co-occurrence.
+RARE_SUPPORT = 2
 DISCLOSURE = 0.5
 REMOVAL = 0.9
 BITS = 6.0
@@ -157,17 +165,20 @@ def term_pairs(held):
 def disclosing_terms(found, support=SUPPORT, disclosure=DISCLOSURE, bits=BITS):
     """term, share: the terms that give an entity away, with the largest P(e | t), from counts over all documents."""
     pairs = common.written(term_pairs(contexts(found)), "disclosure-pairs")
-    likely = pairs.where((F.col("contexts") >= support) & (F.col("term") != WHOLE))
+    likely = pairs.where((F.col("contexts") >= F.least(F.lit(support), F.lit(RARE_SUPPORT))) & (F.col("term") != WHOLE))
     # in rows, as n_te is
     words = found.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     # counted before the join: words meet in sums of tasks, whatever their frequency
     occurs = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    entities = pairs.where(F.col("term") == WHOLE).select("entity", F.col("n_te").alias("n_e"))
-    total = entities.agg(F.sum("n_e").alias("n")).first()["n"] or 1
+    entities = pairs.where(F.col("term") == WHOLE).select("entity", F.col("n_te").alias("n_e"), F.col("contexts").alias("seen"))
     scored = likely.join(occurs, "term").join(entities, "entity")
-    share = F.col("n_te") / F.col("n_t")
-    scored = scored.withColumn("share", share).withColumn("bits", F.log2(F.col("share") * F.lit(float(total)) / F.col("n_e")))
-    kept = scored.where((F.col("share") >= disclosure) & (F.col("bits") >= bits))
+    n, share, prior = F.col("n_t"), F.col("share"), F.col("n_e") / F.lit(float(max(found.count(), 1)))
+    scored = scored.withColumn("share", F.col("n_te") / F.col("n_t"))
+    # the lower end of the share's score interval, one deviation wide
+    bound = (share + 0.5 / n - F.sqrt(share * (1 - share) / n + 0.25 / (n * n))) / (1 + 1 / n)
+    known = (F.col("contexts") >= support) | ((F.col("seen") < support) & (bound >= disclosure))
+    told = (F.log2(share / prior) >= bits) | (share - prior >= disclosure * (1 - prior)) & (prior < 1)
+    kept = scored.where((share >= disclosure) & known & told)
     return kept.groupBy("term").agg(F.max("share").alias("share"))
 
 

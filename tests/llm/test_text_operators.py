@@ -263,3 +263,14 @@ def test_words_at_the_edges_of_a_text_are_context(spark):
         held.setdefault(r["entity"].split(":")[1][0], []).append(r["beside"].split())
     assert sorted(held["a"]) == [["Alice:"], ["write", "to", "Alice"]]
     assert held["c"] == [["b" * 60, "a" * 60]] and held["e"] == [["z" * 98, "z" * 98]]
+
+
+def test_hot_and_rare_entities_have_terms_too(spark):
+    """A hot entity has half of all texts; a rare one two; words of many texts and words seen once stay."""
+    rows = [(i, f"note {i} by Zorblax at boss@corp.example.com on a day") for i in range(60)]
+    rows += [(100 + i, f"note {i} from mail{i} at u{i}@x.org on a day") for i in range(58)]
+    rows += [(200, "call Quimby first rare@x.org please at once"), (201, "then Quimby again rare@x.org a day")]
+    terms = {r["term"]: r["share"] for r in op6.disclosing_terms(op6.find_base(frame(spark, rows))).collect()}
+    assert terms == {"by": 1.0, "zorblax": 1.0, "quimby": 1.0}
+    few = [(i, f"{w} Zorblax is boss@corp.example.com {w}") for i, w in enumerate("abcdef")] + [(10 + i, f"{w} is there") for i, w in enumerate("abcdefgh")]
+    assert [r["term"] for r in op6.disclosing_terms(op6.find_base(frame(spark, few))).collect()] == ["zorblax"]
