@@ -122,9 +122,14 @@ def find_base(docs):
     return docs.withColumn("base", _base_spans(F.coalesce("text", F.lit(""))))
 
 
+def _folded(text):
+    """Lower case of the same length, as the search without case takes letters: capital dotted I as i, both sigmas as one."""
+    return F.translate(F.lower(F.translate(text, "\u0130", "I")), "\u03c2", "\u03c3")
+
+
 def _terms(text):
     """Lower-cased words without the punctuation around them."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}][^\s]*[\p{L}\p{N}]|[\p{L}\p{N}]"), F.lit(0))
+    words = F.regexp_extract_all(_folded(text), F.lit(r"[\p{L}\p{N}][^\s]*[\p{L}\p{N}]|[\p{L}\p{N}]"), F.lit(0))
     return F.filter(words, lambda w: ~w.contains("@"))
 
 
@@ -193,7 +198,7 @@ def _with_terms(found, terms):
 def _term_spans(text, terms, rank):
     quoted = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t["term"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     longest_first = F.transform(F.reverse(F.array_sort(F.transform(quoted, lambda q: F.struct(F.length(q).alias("n"), q.alias("q"))))), lambda s: s["q"])
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     return _spans(text, TERM, pattern, rank, lambda hit: F.lit(True))
 
 
@@ -205,10 +210,8 @@ def find(docs, **options):
     if terms.isEmpty():
         return found.withColumn("terms", F.lit(None).cast("array<struct<term:string,share:double>>")).withColumn("spans", F.col("base"))
     marked = _with_terms(found, terms)
-    # a letter whose lower case has another length would shift positions: such texts are searched as they stand
     text = F.coalesce("text", F.lit(""))
-    searched = F.when(F.length(F.lower(text)) == F.length(text), F.lower(text)).otherwise(text)
-    own = F.coalesce(F.when(F.col("terms").isNotNull(), _term_spans(searched, F.col("terms"), len(KINDS))), none)
+    own = F.coalesce(F.when(F.col("terms").isNotNull(), _term_spans(text, F.col("terms"), len(KINDS))), none)
     apart = F.filter(own, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return marked.withColumn("spans", F.array_sort(F.concat("base", apart)))
 
@@ -231,7 +234,7 @@ def sanitise(docs, removal=REMOVAL, **options):
     # spans may overlap across kinds: what an earlier one covers is not replaced twice
     def step(acc, s):
         hit = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        share = F.element_at(F.filter("terms", lambda t: t["term"] == F.lower(hit)), 1)["share"]
+        share = F.element_at(F.filter("terms", lambda t: t["term"] == _folded(hit)), 1)["share"]
         general = F.when(hit.rlike("[0-9]"), "[NUMBER]").when(hit.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
         word = F.when(s["kind"] != TERM, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(share >= removal, F.lit("")).otherwise(general)
         put = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), word)).otherwise(F.lit(""))

@@ -274,3 +274,11 @@ def test_hot_and_rare_entities_have_terms_too(spark):
     assert terms == {"by": 1.0, "zorblax": 1.0, "quimby": 1.0}
     few = [(i, f"{w} Zorblax is boss@corp.example.com {w}") for i, w in enumerate("abcdef")] + [(10 + i, f"{w} is there") for i, w in enumerate("abcdefgh")]
     assert [r["term"] for r in op6.disclosing_terms(op6.find_base(frame(spark, few))).collect()] == ["zorblax"]
+
+
+def test_terms_are_found_in_any_case_beside_a_dotted_capital_i(spark):
+    rows = [(i, f"the İlkay of lot{i} wrote from bob@corp.example.com on day{i} with Zorblax") for i in range(8)]
+    rows += [(100 + i, f"note {i} of the day from here on with wrote lot{i} and day{i}") for i in range(300)]
+    rows += [(900, "in İzmir ZORBLAX and zorblax met İLKAY, ilkay")]
+    text = op6.sanitise(frame(spark, rows), removal=2.0).where("doc_id = 900").first()["text"]
+    assert text == "in İzmir [NAME] and [WORD] met [NAME], [WORD]"
