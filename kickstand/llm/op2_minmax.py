@@ -6,8 +6,11 @@ bands. Documents with equal sets are one class from the start, named by the smal
 are compared. Classes that agree on a band meet in a bucket, and links are confirmed on the full sets:
 
 1. every class of a bucket is compared with the bucket's smallest class (its hub), which gives stars;
-2. components of those links are found; a class still apart from its hub's component is compared with the
-   bucket's other classes that are not in its own component, in blocks of bounded size;
+2. components of those links are found; a class still apart from a hub's component is compared with the classes
+   of such buckets that are not in its own component and share a rare shingle with it: shingles are ordered from
+   rare to frequent, and two sets of the similarity share one of the first n - ceil(similarity * n) + 1 of each.
+   So no link is lost, and texts that share a template and little else do not meet. What meets is joined row by
+   row; a shingle of many sets is cut on both sides into blocks of about `block` sets;
 3. components of all links give the result.
 
 Pairs inside one component need no comparison, so a group of thousands of near copies costs about its size and
@@ -21,6 +24,7 @@ An empty table gives no rows. Extra columns are ignored.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kickstand.llm import common
@@ -145,36 +149,39 @@ def _confirm(similarity):
     return run
 
 
-def _crosser(similarity, n_bands):
-    """Compare the asking rows of a block with its other rows on shortened hashes; what passes is confirmed later."""
-
-    def run(key, table):
-        band = key[0].as_py()
-        asks = table["asks"].to_numpy(zero_copy_only=False)
-        ids, comps = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, n_bands)
-        sets = [np.frombuffer(s.as_buffer(), np.uint64).astype(np.uint32) for s in table["shingles"]]
-        rest = np.flatnonzero(~asks)
-        sizes = np.array([len(sets[i]) for i in rest], np.int64)
-        flat = np.concatenate([sets[i] for i in rest] or [np.zeros(0, np.uint32)])
-        owner = np.repeat(np.arange(len(rest)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        found = []
-        for q in np.flatnonzero(asks):
-            # a pair is compared in the first band that it shares only
-            fresh = (comps[rest] != comps[q]) & ~(bands[rest][:, :band] == bands[q][:band]).any(1)
-            if not fresh.any():
-                continue
-            low, high = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
-            n = high - low
-            hits = owner[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            both = np.bincount(hits, minlength=len(rest))
-            for x in np.flatnonzero(fresh & _linked(both, len(sets[q]), sizes, similarity)):
-                found.append((min(ids[q], ids[rest[x]]), max(ids[q], ids[rest[x]])))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    return run
+def _unpacker(batches):
+    """One row per shingle of a set, with the set's hash and size."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            values = np.frombuffer(batch["shingles"][at].as_buffer(), np.int64)
+            n = len(values)
+            same = [pa.array([batch[c][at].as_py()]).take(pa.array(np.zeros(n, np.int32))) for c in ("doc_id", "component", "asks", "set")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(n, n)), pa.array(values)], names=["doc_id", "component", "asks", "set", "n", "shingle"])
+
+
+def _across(apart, sets, similarity, block):
+    """Pairs (a, b) of an asking class and one of another component that may be similar enough: every such pair is there."""
+    held = apart.join(sets, "doc_id").withColumn("set", F.xxhash64("shingles")).select("doc_id", "component", "asks", "set", "shingles")
+    held = common.written(held.mapInArrow(_unpacker, "doc_id long, component long, asks boolean, set long, n long, shingle long"), "minmax-apart-shingles")
+    # a shingle of one set meets nothing, but has its place in the order
+    often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = held.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    # equal texts of one doc_id share their places
+    place = F.dense_rank().over(Window.partitionBy("doc_id", "set").orderBy("df", "shingle"))
+    least = F.expr(f"({similarity} * n + 99) div 100")
+    prefix = ordered.withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1))
+    prefix = common.written(prefix.select("doc_id", "component", "asks", "n", "shingle", "place", F.ceil(F.col("df") / block).cast("int").alias("blocks")), "minmax-prefixes")
+    own, every = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = prefix.where("asks").withColumn("p", own).withColumn("q", every)
+    others = prefix.withColumn("q", own).withColumn("p", every)
+    x = asking.select("shingle", "p", "q", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "component", "n", "place")])
+    y = others.select("shingle", "p", "q", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "component", "n", "place")])
+    # what the sets can share at most is this shingle and what comes after it in both, where it is their first common one
+    most = 1 + F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y"))
+    fits = (100 + similarity) * most >= similarity * (F.col("n_x") + F.col("n_y"))
+    near = 100 * F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
+    met = x.join(y, ["shingle", "p", "q"]).where((F.col("component_x") != F.col("component_y")) & near & fits)
+    return met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
 
 
 def _confirmed(pairs, sets, similarity, name):
@@ -211,13 +218,10 @@ def near_duplicates(docs, width=WIDTH, bands=BANDS, rows=ROWS, similarity=SIMILA
     rest = rest.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
     rest = rest.withColumn("asks", F.col("component") != F.coalesce("hub_root", "hub"))
     open_ = rest.where("asks").select("band", "key").distinct()
-    rest = common.written(rest.join(open_, ["band", "key"], "left_semi").drop("hub", "hub_root"), "minmax-apart")
-    n_blocks = F.ceil(F.col("members") / block).cast("int")
-    held = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")).withColumn("asks", F.lit(False))
-    asking = rest.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    sides = held.unionByName(asking).join(classes.select("doc_id", "bands"), "doc_id").join(sets, "doc_id")
-    sides = sides.select("band", "key", "block", "asks", "doc_id", "component", "bands", "shingles")
-    pairs = sides.groupBy("band", "key", "block").applyInArrow(_crosser(similarity, bands), LINKS).distinct()
+    rest = rest.join(open_, ["band", "key"], "left_semi")
+    # a class takes part once, whatever the number of its buckets
+    apart = common.written(rest.groupBy("doc_id", "component").agg(F.max("asks").alias("asks")), "minmax-apart")
+    pairs = common.written(_across(apart, sets, similarity, block), "minmax-pairs")
     across = _confirmed(pairs, sets, similarity, "minmax-across")
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(across), "minmax-components")
 

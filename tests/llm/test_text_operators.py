@@ -282,3 +282,23 @@ def test_terms_are_found_in_any_case_beside_a_dotted_capital_i(spark):
     rows += [(900, "in İzmir ZORBLAX and zorblax met İLKAY, ilkay")]
     text = op6.sanitise(frame(spark, rows), removal=2.0).where("doc_id = 900").first()["text"]
     assert text == "in İzmir [NAME] and [WORD] met [NAME], [WORD]"
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_texts_of_one_template_do_not_meet_in_one_task(spark, block, monkeypatch):
+    """Texts that share 70 % are in common buckets, apart, with few links: pairs that are compared stay few, links whole."""
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(90)]
+    rows = [(i, " ".join(template + [f"w{rng.randrange(10**9)}" for _ in range(25)])) for i in range(150)]
+    rows += [(200 + i, rows[i * 9][1] + f" z{i} y{i} x{i}") for i in range(15)]
+    compared = []
+    confirmed = op2._confirmed
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return confirmed(pairs, *args)
+
+    monkeypatch.setattr(op2, "_confirmed", counted)
+    got = op2.near_duplicates(frame(spark, rows), block=block).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked_components(rows)
+    assert compared[1] < 200 and not hasattr(op2, "_crosser")
