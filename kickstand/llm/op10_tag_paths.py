@@ -8,8 +8,11 @@ short closing paragraph) come with it, so nothing of the article falls out for b
 
 What is not article by its markup never competes: navigation, page headers and footers, asides, forms, scripts
 and styles, and containers whose class, id or role names a menu, sidebar, notice, advert, or reader comments.
+A name bars less than an element: a container named so competes after all where it holds most of the page's text
+outside links, and names that tell of a layout (`with-sidebar`, `has-header`) or of an article's own header bar nothing.
 Where a page marks its article (`article`, `main`), only what it marks competes, and in it only paths made of
-links alone can fall below the threshold.
+links alone can fall below the threshold. Names around a marked article do not bar it, but where a page marks
+several, those outside such names come first.
 
 Null or empty html gives an empty text. Unclosed tags close as browsers close them; a page that is cut off
 ends there; markup that never ends is dropped. A page is one row and independent of all others; repeated rows
@@ -47,6 +50,9 @@ _CUES = frozenset(
     "disclaimer complementary contentinfo".split()
 )
 _ARTICLE = frozenset(["article", "main"])
+#: Words that make of a cue a property of the whole, and words that make of a header the article's own.
+_LAYOUT = frozenset("has with no without".split())
+_OF_ARTICLE = frozenset("article entry post story content title".split())
 _TABLE_CELLS = frozenset(["td", "th"])
 #: An opening tag on the left ends an open element of the right, up to the nearest container.
 _ENDS = {
@@ -66,28 +72,52 @@ THRESHOLD = 0.35
 LINKED = 0.9
 
 
+#: What holds outside all elements: tag, barred, marked, named, outer, and whether it wraps an article's header.
+OUTSIDE = ("", False, False, (), (), False)
+
+
 class Block:
-    __slots__ = ("path", "text", "linked", "marks", "barred", "marked")
+    """barred: by an element; named: the numbers of the containers that bar it by name; outer: those around its article."""
 
-    def __init__(self, path, text, linked, barred, marked):
-        self.path, self.text, self.linked, self.barred, self.marked = path, text, linked, barred, marked
+    __slots__ = ("path", "text", "linked", "marks", "barred", "marked", "named", "outer")
+
+    def __init__(self, path, text, linked, barred, marked, named=(), outer=()):
+        self.path, self.text, self.linked, self.barred, self.marked, self.named, self.outer = path, text, linked, barred, marked, named, outer
         self.marks = len(_MARKS.findall(text))
 
 
+def _words(attrs):
+    """The words of each class, id or role."""
+    if "=" not in attrs:
+        return []
+    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).split()
+    return [set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) for name in names]
+
+
+def _heads_article(words):
+    return any("header" in held and not _OF_ARTICLE.isdisjoint(held) for held in words)
+
+
 def _barred_by(tag, attrs, marked):
-    if tag in _NEVER or tag == "header" and not marked:
-        return True
+    """By the element itself."""
+    return tag in _NEVER or tag == "header" and not marked and not _heads_article(_words(attrs))
+
+
+def _named_by(tag, attrs, marked):
+    """By a class, id or role."""
     if tag in ("html", "body", "article", "main") and not (tag == "article" and marked):
         return False
-    if "=" not in attrs:
-        return False
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
-    return not _CUES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    for held in _words(attrs):
+        cues = held & _CUES if _LAYOUT.isdisjoint(held) else set()
+        if cues - {"header"} or cues and not marked and _OF_ARTICLE.isdisjoint(held):
+            return True
+    return False
 
 
 def blocks_of(page):
     """Blocks of a page in order; a block is the text between two block-level tags."""
-    out, stack = [], []  # stack: (tag, barred, marked) of the open block elements
+    out, stack = [], []  # stack: as OUTSIDE, of the open block elements
+    n_named = 0
     held, linked, links = [], 0, 0
     at, end = 0, len(page)
 
@@ -95,8 +125,9 @@ def blocks_of(page):
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            tag, barred, marked = stack[-1] if stack else ("", False, False)
-            out.append(Block(tuple(s[0] for s in stack), text, min(linked, len(text)), barred, marked))
+            how = (stack[-1] if stack else OUTSIDE)[1:5]
+            # a wrapper of the article's own header is no step of the path: its title stands beside the paragraphs
+            out.append(Block(tuple(s[0] for s in stack if not s[5]), text, min(linked, len(text)), *how))
         held.clear()
         linked = 0
 
@@ -144,8 +175,13 @@ def blocks_of(page):
                         del stack[i:]
                 if tag in _VOID:
                     continue
-                _, barred, marked = stack[-1] if stack else ("", False, False)
-                stack.append((tag, barred or _barred_by(tag, attrs, marked), marked or tag in _ARTICLE))
+                _, barred, marked, named, outer, _ = stack[-1] if stack else OUTSIDE
+                if tag in _ARTICLE and not marked:
+                    named, outer = (), named
+                if not barred and _named_by(tag, attrs, marked):
+                    n_named += 1
+                    named += (n_named,)
+                stack.append((tag, barred or _barred_by(tag, attrs, marked), marked or tag in _ARTICLE, named, outer, tag in ("div", "header") and _heads_article(_words(attrs))))
             elif tag == "a":
                 links = 1
         elif token["close"] is not None:
@@ -168,10 +204,25 @@ def _smooth(values):
     return out
 
 
+def _unlinked(blocks):
+    return sum(len(b.text) - b.linked for b in blocks)
+
+
 def content_blocks(blocks):
     """Those of a page's blocks that are its main text."""
-    held = [b for b in blocks if not b.barred]
+    open_ = [b for b in blocks if not b.barred]
+    inside = defaultdict(int)
+    for b in open_:
+        for k in b.named + b.outer:
+            inside[k] += len(b.text) - b.linked
+    most = {k for k, n in inside.items() if 2 * n > _unlinked(open_)} if inside else set()
+    held = [b for b in open_ if most.issuperset(b.named)]
+    inner = [b for b in held if b.marked and not most.issuperset(b.outer)]
+    held = [b for b in held if most.issuperset(b.outer)]
     marked = [b for b in held if b.marked]
+    # comments are articles too: below a barring name they give way to an article or to more text outside
+    if not marked and _unlinked(inner) > _unlinked(held):
+        marked = inner
     held = marked or held
     if not held:
         return []

@@ -255,3 +255,28 @@ def test_mixing_shapes_the_sequences(spark, tmp_path, monkeypatch):
     # weights are 540 ** 0.5 to 60 ** 0.5: a quarter of the first groups is rare, a tenth of the documents is
     first = by_group[order[0]] | by_group[order[1]]
     assert 0.15 < sum(i >= 540 for i in first) / len(first) < 0.35
+
+
+P = "<p>One long, plain sentence of the article, with marks. %s</p>"
+STORY = "<h1>The title</h1>" + P % "A" + P % "B"
+WANT = "The title\n\n" + "\n\n".join(f"One long, plain sentence of the article, with marks. {c}" for c in "AB")
+SIDE = "<div class='sidebar'><p>Other news, in short.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'<div class="layout with-sidebar"><article>{STORY}</article>{SIDE}</div>',
+        f'<div id="page" class="has-header"><div class="content">{STORY}</div>{SIDE}</div>',
+        f'<div class="sidebar"><article>{STORY}</article></div>',
+        f'<div class="header"><div>{STORY}</div>{SIDE}</div>',
+        f'<article><header class="article-header"><h1>The title</h1></header>{STORY[18:]}</article>',
+        f'<div class="content"><div class="entry-header"><h1>The title</h1></div>{STORY[18:]}</div>',
+        f'<article><div class="entry-header"><h1>The title</h1></div>{STORY[18:]}</article>',
+        f'<main>{STORY}</main><div id="comments">{"<article>" + P % "No" + "</article>"}</div>',
+        f'<div class="content">{STORY}</div><div id="comments">{"<article>" + P % "No" + "</article>"}</div>',
+    ],
+)
+def test_names_do_not_bar_the_article(body):
+    text = op10.main_text(f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>All</footer></body></html>")
+    assert text == WANT
