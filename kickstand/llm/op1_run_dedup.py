@@ -11,8 +11,9 @@ run of windows with one minimizer is a segment: its bytes hold all its windows.
    to the bucket of the minimizer. Segments of frequent minimizers go as single windows to the buckets of the
    windows, so no minimizer fills a bucket.
 3. A bucket builds a run-length index of its distinct segments (Burrows-Wheeler runs, positions sampled at run
-   ends, smallest document per class of matches), streams the segments through it for their matching
-   statistics, and returns the smallest document of each full-length match.
+   ends, smallest document per class of equal suffixes) and walks each segment along its own row: the class of
+   a window's row, from the suffix sort, gives its smallest document. Run-end samples are for foreign patterns,
+   of which there are none here.
 4. A batch marks the windows whose smallest document is smaller than their own, and cuts out the marked bytes.
 
 What is shuffled grows with the text, not with how often a passage occurs, and no task holds more than one batch
