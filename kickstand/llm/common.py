@@ -1,7 +1,6 @@
 """Helpers shared by the operators: the shared folder, input sizes, words, and slices of Arrow batches."""
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 BLANKS = b"\x09\x0a\x0b\x0c\x0d\x20"
 #: The same set for Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
-_own_folder = None
 
 
 def read(spark, sf_dir, table):
@@ -21,16 +19,8 @@ def read(spark, sf_dir, table):
 
 
 def shared_folder(spark):
-    """Folder of `spark.checkpoint.dir`; unset, a scratch folder in local mode and else the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    global _own_folder
-    if _own_folder is None:
-        _own_folder = tempfile.TemporaryDirectory(prefix="kickstand-llm-")
-    return f"file://{_own_folder.name}"
+    """Folder that driver and executors share on any master: `spark.checkpoint.dir`, else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_path(spark, name):

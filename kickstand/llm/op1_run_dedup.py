@@ -162,8 +162,10 @@ def _parts(buckets, batch, kind, rows):
     )
 
 
-def _cuts(buckets):
-    return np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+def _runs(buckets):
+    """Begins and ends of the runs of equal buckets, none of none."""
+    begins = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    return begins, np.append(begins[1:], len(buckets))[: len(begins)]
 
 
 def _bucket_of(minimizers, n_buckets):
@@ -177,9 +179,9 @@ def _sketch(length, word, n_buckets):
     def run(key, table):
         distinct, counts, many = Batch(table, length, word).minimizers()
         bucket = _bucket_of(distinct, n_buckets)
-        cuts = _cuts(bucket)
+        cuts, stops = _runs(bucket)
         rows = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+        for a, b in zip(cuts, stops, strict=True):
             m = distinct[a:b] >> np.uint64(16)
             low, high = (m & np.uint64(0xFFFFFFFF)).astype("<u4"), (m >> np.uint64(32)).astype("<u2")
             rows.append((high.tobytes() + low.tobytes(), np.minimum(counts[a:b], 65535).astype("<u2").tobytes(), many[a:b].astype(np.uint8).tobytes()))
@@ -237,8 +239,8 @@ def _send(length, word, n_buckets):
         rows = []
         batch = Batch(table, length, word)
         strings, *_ = batch.strings(batch.minimizers()[0], _states(told.to_pylist()), n_buckets)
-        cuts = _cuts(strings["bucket"])
-        for a, b in zip(cuts, np.append(cuts[1:], len(strings["bucket"])), strict=True):
+        cuts, stops = _runs(strings["bucket"])
+        for a, b in zip(cuts, stops, strict=True):
             size = strings["size"][a:b]
             rows.append((strings["owner"][a:b].astype("<i8").tobytes(), size.astype("<u2").tobytes(), _gather(batch.data, strings["start"][a:b], size).tobytes()))
         return _parts(strings["bucket"][cuts].tolist(), key[0].as_py(), 1, rows)
