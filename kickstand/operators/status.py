@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kickstand import constants as C
 from kickstand.functions import columns as X
+from kickstand.functions import groups as G
 
 
 def with_sla(df, type_col, minutes_col, targets, done=None, target_out="sla_minutes"):
@@ -114,3 +115,16 @@ def expected_status_events(demand, vehicles=None):
     mults = (C.STATUS_BAND_MULT, C.STATUS_AREA_MULT, C.VENDOR_INTENSITY)
     means = trip_means(C.STATUS_RATE_PER_1K, *mults) | fleet_means(C.STATUS_RATE_PER_VEHICLE_HOUR, *mults)
     return one_row_per_type(with_active(demand, vehicles), "event_type", means | sweep_means())
+
+
+def observed_against(expected, events, type_col, time_col):
+    """Events counted and `expected` (day, vendor, type, expected) summed by vendor, month and type, and their ratio."""
+    keys = ["vendor", "month", type_col]
+    counted = events.groupBy("vendor", X.month_start(F.to_date(time_col)).alias("month"), type_col).agg(F.count("*").alias("events"))
+    summed = expected.groupBy("vendor", X.month_start("day").alias("month"), type_col).agg(F.sum("expected").alias("expected"))
+    return G.merge_measures(keys, counted, summed).withColumn("observed_ratio", X.ratio("events", "expected"))
+
+
+def status_vs_expected(status, demand, vehicles=None, time_col=None):
+    """Observed and expected status events with their ratio, by vendor, month and type."""
+    return observed_against(expected_status_events(demand, vehicles), status, "event_type", X.time_column(status, time_col))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kickstand import constants as C
 from kickstand.functions import columns as X
-from kickstand.operators.status import expected_rate, with_sla
+from kickstand.operators.status import expected_rate, observed_against, with_sla
 
 NULL_KEY_SLOTS = 1024
 
@@ -107,6 +107,11 @@ def expected_tasks(demand):
     return expected_rate(demand, C.TASK_RATE_PER_1K, C.TASK_BAND_MULT, C.TASK_AREA_MULT, type_out="task_type")
 
 
+def tasks_vs_expected(tasks, demand, time_col="created_at"):
+    """Observed and expected tasks with their ratio, by vendor, month and type."""
+    return observed_against(expected_tasks(demand), tasks, "task_type", time_col)
+
+
 def _spread_key(row_id, key):
     """0 for rows with a key; rows without one get a slot by their id.
 

@@ -5,17 +5,21 @@ from pyspark.sql import functions as F
 from kickstand import constants as C
 from kickstand.functions import columns as X
 from kickstand.functions import groups as G
+from kickstand.operators import absences as AB
 from kickstand.operators import calibration as CA
 from kickstand.operators import fleet as FL
 from kickstand.operators import incidents as I
+from kickstand.operators import insights as IN
 from kickstand.operators import maintenance as M
+from kickstand.operators import rollups as RU
 from kickstand.operators import status as ST
 from kickstand.operators import tasks as TK
 from kickstand.operators import trips as TR
 from kickstand.plans import kpi as K
+from kickstand.plans.monthly_view import MonthlyView
 from kickstand.sources import readers as R
 from kickstand.sources.fixtures import Fleet
-from kickstand.sources.sinks import stored
+from kickstand.sources.sinks import new_folder, stored
 
 
 # --- inputs shared by several queries ---------------------------------------------
@@ -197,6 +201,63 @@ def _trip_cost(t):
     )
 
 
+def _monthly_view(t):
+    """The stored monthly view after two refreshes: each table arrives in two drops, and most months are in both."""
+    root = new_folder(t.spark, "monthly")
+    tables = {"trips": (t.trips_canon, "trip_id"), "incidents": (t.incidents, "incident_id"), "tasks": (_costed(t), "task_id")}
+
+    def reader(schema):
+        return lambda spark, files: spark.read.schema(schema).parquet(*files)
+
+    view = MonthlyView(t.spark, f"{root}/view", {name: reader(df.schema) for name, (df, _) in tables.items()})
+    for drop in range(2):
+        for name, (df, key) in tables.items():
+            df.filter(F.col(key) % 2 == drop).write.mode("append").parquet(f"{root}/{name}")
+        view.refresh(**{name: f"{root}/{name}" for name in tables})
+    return view.read()
+
+
+def _service_distinct(t):
+    """Vehicles taken out of service per day, week and month, from the stored sketches of the days."""
+    out = t.status_changes.filter(F.col("event_type") == C.PICKUP_EVENT)
+    states = stored(RU.daily_states(out, "event_time", distinct=["vehicle_id"]))
+    rows = RU.distinct_by_grain(out, states, "event_time", "vehicle_id")
+    return rows.select("grain", "start", F.col("rows").alias("events"), F.col("exact").alias("vehicles"), "within_error")
+
+
+def _distance_quantiles(t):
+    """Median and 90th percentile of trip distance per vendor and month from stored sketches, ranked among the trips."""
+    trips = t.trips_canon.filter(X.keys_known("started_at", "distance_m")).withColumn("month", X.month_start(F.to_date("started_at")))
+    states = stored(RU.daily_states(trips, "started_at", ["vendor"], quantiles=["distance_m"]))
+    rolled = RU.roll_up(states, "month", ["vendor"]).withColumnRenamed("start", "month")
+    wanted = {"p50": 0.5, "p90": 0.9}
+    estimates = rolled.withColumns({name: RU.quantile_estimate("distance_m", rank) for name, rank in wanted.items()})
+    ranks = RU.quantile_ranks(trips, estimates, ["month", "vendor"], "distance_m", list(wanted))
+    holds = [RU.rank_holds(name, rank).alias(f"{name}_rank_holds") for name, rank in wanted.items()]
+    return ranks.select("month", "vendor", F.col("n").alias("trips"), *holds)
+
+
+def _incidents_cube(t):
+    return RU.cube_of(
+        I.incident_features(t.incidents),
+        ["vendor", "incident_type", "severity"],
+        additive={"incidents": F.count("*"), "cost_usd": X.total("cost_usd")},
+        ratios={"avg_cost_usd": (X.total("cost_usd"), F.count("cost_usd"), 2)},
+        distinct={"vehicles": "vehicle_id"},
+        percentiles={"p50_resolve_minutes": ("resolve_minutes", 5, 1), "p90_resolve_minutes": ("resolve_minutes", 9, 1)},
+    )
+
+
+def _rate_points(t):
+    """Incidents and task cost per 1,000 trips by vendor and area."""
+    return K.area_rates(t.incidents, _costed(t), _demand_rows(t))
+
+
+def _demand_alerts(t):
+    demand = stored(_demand(t))
+    return IN.demand_alerts(CA.demand_vs_expected(demand, demand, _catalog(t), floor_total=1))
+
+
 EXTRACTS = {
     "daily_trips_by_vendor": lambda t: TR.daily_trips_by_vendor(t.trips_canon),
     "avg_trips_by_vendor": lambda t: TR.avg_trips_by_vendor(t.trips_canon),
@@ -288,7 +349,22 @@ MEASURES = {
     "events_count": lambda t: K.events_count(t.incidents, t.status_changes, t.tasks),
 }
 
-QUERIES = {**EXTRACTS, **CALIBRATION, **OPERATIONS, **MEASURES}
+INSIGHTS = {
+    "monthly_view_refreshed": _monthly_view,
+    "service_distinct_rollup": _service_distinct,
+    "distance_quantile_rollup": _distance_quantiles,
+    "incidents_cube": _incidents_cube,
+    "handle_trend": lambda t: IN.trend(
+        K.load_vs_handle(t.status_changes, _demand_rows(t)), "avg_workload", "avg_handle_minutes", ["vendor"]
+    ),
+    "best_in_class": lambda t: IN.skyline(_rate_points(t), "incidents_per_1k", "cost_per_1k"),
+    "demand_alerts": _demand_alerts,
+    "vehicles_out_by_hour": lambda t: AB.vehicles_out_by_hour(t.status_changes),
+    "status_vs_expected": lambda t: _rounded(ST.status_vs_expected(t.status_changes, _typed_demand(t), t.vehicles), 6, "expected", "observed_ratio"),
+    "tasks_vs_expected": lambda t: _rounded(TK.tasks_vs_expected(t.tasks, _typed_demand(t)), 6, "expected", "observed_ratio"),
+}
+
+QUERIES = {**EXTRACTS, **CALIBRATION, **OPERATIONS, **MEASURES, **INSIGHTS}
 
 
 def all_queries():

@@ -180,6 +180,24 @@ def risk_vs_spend(incidents, tasks, demand):
     )
 
 
+def area_rates(incidents, tasks, demand):
+    """Incidents and task cost per 1,000 trips by vendor and area; NULL rates where there were no trips."""
+    cents = F.round((F.col("cost_usd") + F.col("parts_cost_usd")) * 100).cast("bigint")
+    merged = G.merge_measures(
+        ["vendor", "service_area_id"],
+        trips_by(demand, "vendor", "service_area_id"),
+        count_by(incidents, {"vendor": "vendor", "service_area_id": "service_area_id"}, "incidents"),
+        tasks.groupBy("vendor", "service_area_id").agg(F.coalesce(X.total(cents), F.lit(0)).alias("task_cents")),
+    )
+    return merged.select(
+        "vendor",
+        "service_area_id",
+        "trips",
+        X.exact_ratio(F.col("incidents") * 1000, "trips", 4).alias("incidents_per_1k"),
+        X.exact_ratio(F.col("task_cents") * 10, "trips", 4).alias("cost_per_1k"),
+    )
+
+
 def cost_heatmap(incidents, tasks, areas):
     """Task and incident cost by hour and area type."""
     task_side = tasks.groupBy(F.hour("created_at").alias("hour"), "service_area_id").agg(

@@ -2,9 +2,10 @@
 
 from kickstand.plans.oracle_calibration import CALIBRATION
 from kickstand.plans.oracle_extracts import EXTRACTS
+from kickstand.plans.oracle_insights import INSIGHTS
 from kickstand.plans.oracle_measures import MEASURES
 from kickstand.plans.oracle_operations import OPERATIONS
 
 
 def all_oracles():
-    return {**EXTRACTS, **CALIBRATION, **OPERATIONS, **MEASURES}
+    return {**EXTRACTS, **CALIBRATION, **OPERATIONS, **MEASURES, **INSIGHTS}

@@ -31,6 +31,14 @@ def _shared_folder(spark):
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def new_folder(spark, name):
+    """A path in the shared folder that nothing else uses; the file system drops it when the driver ends."""
+    path = f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def stored(df):
     """Snapshot of a table that several branches of a job read, in the shared folder.
 
@@ -38,12 +46,8 @@ def stored(df):
     executor costs no recomputation from the source.
     """
     spark = df.sparkSession
-    folder = _shared_folder(spark)
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stored")
     df.write.parquet(path)
-    # the snapshot belongs to this application: the file system drops it when the driver ends
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
