@@ -26,6 +26,8 @@ MAX_LABELLED = 20_000
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_digits", "n_lines"]
 SYMBOLS = b"[#*$%&|<>]"
 MARKS = b"!?"
+#: Text measured at a time, for which a worker holds about 64 bytes a byte.
+SLICE_BYTES = 1 << 19
 WINDOW = 5
 #: What rules may test: ratios that do not depend on the length of a text.
 FEATURES = {
@@ -116,9 +118,10 @@ def text_statistics(docs, column="text"):
     def run(batches):
         for batch in batches:
             ends, data = common.utf8(batch[column])
-            parts = [measure(ends[a : b + 1] - ends[a], data[ends[a] : ends[b]]) for a, b in common.slices(ends)]
-            added = [np.concatenate([p[s] for p in parts] or [np.zeros(0)]).astype(np.int64) for s in STATISTICS]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(a) for a in added], names=batch.schema.names + STATISTICS)
+            for a, b in common.slices(ends, SLICE_BYTES):
+                found = measure(ends[a : b + 1] - ends[a], data[ends[a] : ends[b]])
+                added = [pa.array(found[s].astype(np.int64)) for s in STATISTICS]
+                yield pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns + added, names=batch.schema.names + STATISTICS)
 
     return docs.mapInArrow(run, schema)
 
@@ -241,11 +244,14 @@ def base_failed():
 
 def keep_good(docs, rules):
     """The rows of `docs` that neither the base rule nor the list rejects, all columns as they are."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return judge(whole, rules).where("kept").select("row.*")
+    # under numbers, so that no column of `docs` meets a name that judging adds; each text goes to the worker once
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    judged = judge(docs.toDF(*plain), rules, column=plain[docs.columns.index("text")])
+    return judged.where("kept").select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
 
 
-def judge(docs, rules):
-    """All rows with their STATISTICS, `base_failed`, `rule` (first rule that rejects) and `kept`."""
-    out = text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", rules.rule_number())
+def judge(docs, rules, column="text"):
+    """All rows with their STATISTICS, `base_failed`, `rule` (first rule that rejects) and `kept`; same-named columns
+    are replaced."""
+    out = text_statistics(docs, column).withColumn("base_failed", base_failed()).withColumn("rule", rules.rule_number())
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -111,21 +111,26 @@ def _packer(tokenizer, end_id, length, with_ids):
             places = list(zip(table["file"].to_pylist(), table["row"].to_pylist(), strict=True))
             order = sorted(range(len(texts)), key=lambda i: places[i])
         held = [encoder.encode(texts[i]) for i in order]
+        del texts
+        encoder.forget()
         sizes = [len(ids) // encoder.width for ids in held]
         base = key[0].as_py() << 32
         rows = pack(sizes, length)
-        cut = [np.frombuffer(held[d], encoder.dtype, size, start * encoder.width).astype("<u4") for d, start, size, _, _ in rows]
+
+        def ids(row):
+            return np.frombuffer(held[row[0]], encoder.dtype, row[2], row[1] * encoder.width).astype("<u4")
+
         columns = {
             "doc_id": pa.array([doc_ids[order[r[0]]] for r in rows], pa.int64()),
             "start": pa.array([r[1] for r in rows], pa.int64()),
             "length": pa.array([r[2] for r in rows], pa.int64()),
-            "ids_crc32": pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()),
+            "ids_crc32": pa.array([zlib.crc32(ids(r).tobytes()) for r in rows], pa.int64()),
             "doc_tokens": pa.array([sizes[r[0]] for r in rows], pa.int64()),
             "sequence_id": pa.array([base + r[3] for r in rows], pa.int64()),
             "offset": pa.array([r[4] for r in rows], pa.int64()),
         }
         if with_ids:
-            columns["ids"] = pa.array([c.astype(np.int32) for c in cut], pa.list_(pa.int32()))
+            columns["ids"] = pa.array([ids(r).astype(np.int32) for r in rows], pa.list_(pa.int32()))
         return pa.table(columns)
 
     return run

@@ -21,7 +21,9 @@ _OTHER_BLANKS = re.compile(
     "[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]"
 )
 _WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#]*)")
-REMEMBERED = 1_000_000
+#: Bound of what a worker remembers, in bytes, and what an entry takes beside its own bytes.
+REMEMBERED_BYTES = 64 << 20
+ENTRY_BYTES = 200
 
 
 def _byte_letters():
@@ -35,11 +37,12 @@ _LETTERS = _byte_letters()
 
 
 class Pieces(dict):
-    """Piece -> its ids as little-endian bytes, filled on demand; a full store keeps what it has."""
+    """Piece -> its ids as little-endian bytes, filled on demand up to REMEMBERED_BYTES; a full store keeps what it has."""
 
     def __init__(self, tokenizer, dtype, lower):
         self.tokenizer, self.code, self.lower = tokenizer, dtype.char, lower
         self.model = tokenizer.model
+        self.room = REMEMBERED_BYTES
 
     def __missing__(self, piece):
         word = _WORD.fullmatch(piece)
@@ -50,10 +53,16 @@ class Pieces(dict):
         else:
             letters = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(_LETTERS)
             ids = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
-        if len(self) < REMEMBERED:
+        size = len(piece) + len(ids) + ENTRY_BYTES
+        if size <= self.room:
             self[piece] = ids
+            self.room -= size
         return ids
 
+    def forget(self):
+        self.clear()
+        self.room = REMEMBERED_BYTES
+
     def whole(self, text):
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -84,7 +93,12 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, (_SPACED if self.spaced else _PLAIN).findall(text))) + self.end
 
 
+    def forget(self):
+        """Empty the store: what a task remembered should not stay in a worker that other tasks use after it."""
+        self.pieces.forget()
+
+
 @functools.cache
 def encoder(path, end_id=2, width=None):
-    """One encoder per worker process, whose pieces serve all its tasks."""
+    """One encoder per worker process; tasks and groups that end make it forget their pieces."""
     return Encoder(path, end_id, width)
