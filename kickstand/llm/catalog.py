@@ -14,6 +14,9 @@ from kickstand.llm import op7_pfair_mixing as op7
 from kickstand.llm import op8_pivot_distance as op8
 from kickstand.llm import op9_packing as op9
 from kickstand.llm import op10_tag_paths as op10
+from kickstand.llm import op11_maxent as op11
+from kickstand.llm import op12_repair as op12
+from kickstand.llm import op13_collocations as op13
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -71,12 +74,38 @@ def op10_tag_paths(spark, sf_dir):
     return op10.extract(common.read(spark, sf_dir, "pages"))
 
 
+def op11_maxent(spark, sf_dir):
+    return op11.score(common.read(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark, sf_dir):
+    return op12.repair_damaged(common.read(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark, sf_dir):
+    return op13.collocations(common.read(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_run_dedup,
+    op2_minmax,
+    op3_decision_lists,
+    op4_perspectives,
+    op5_token_files,
+    op6_sanitise,
+    op7_pfair_mixing,
+    op8_pivot_distance,
+    op9_packing,
+    op10_tag_paths,
+    op11_maxent,
+    op12_repair,
+    op13_collocations,
+)
+
+
 def queries():
-    return {
-        q.__name__: q
-        for q in (op1_run_dedup, op2_minmax, op3_decision_lists, op4_perspectives, op5_token_files, op6_sanitise, op7_pfair_mixing, op8_pivot_distance, op9_packing, op10_tag_paths)
-    }
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql():
-    return {"op4_perspectives": op4.SQL, "op8_pivot_distance": op8.SQL}
+    return {"op4_perspectives": op4.SQL, "op8_pivot_distance": op8.SQL, "op13_collocations": op13.SQL}
