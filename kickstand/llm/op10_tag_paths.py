@@ -1,28 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its root-to-leaf path of block tags. Per path, text outside links
-and punctuation are summed and divided by the number of blocks that bear the path. Both ratios are smoothed
-over neighbouring blocks in page order and fused to a score; a path counts as content when its best block
-reaches a share of the page's highest score. Paths that meet in the container of a content path (a heading, a
-short closing paragraph) come with it, so nothing of the article falls out for being short.
-
-What is not article by its markup never competes: navigation, page headers and footers, asides, forms, scripts
-and styles, and containers whose class, id or role names a menu, sidebar, notice, advert, or reader comments.
-A name bars less than an element: a container named so competes after all where it holds most of the page's text
-outside links, and names that tell of a layout (`with-sidebar`, `has-header`) or of an article's own header bar nothing.
-Where a page marks its article (`article`, `main`), only what it marks competes, and in it only paths made of
-links alone can fall below the threshold. Names around a marked article do not bar it, but where a page marks
-several, those outside such names come first.
+A page is cut into blocks of text, each with its root-to-leaf path of block tags and their class names. Per path, text
+outside links and punctuation are summed and divided by the number of blocks that bear the path. Both ratios are
+smoothed over neighbouring blocks in page order and fused with the share of text outside links to a score; a
+path counts as content when its best block reaches a share of the page's highest score. The element that holds most of
+the text of these paths, as far down as one does, is the article's container: its blocks are the main text, but for
+those made of links. So a heading or a short closing line comes with the paragraphs it stands among.
+
+Elements that are no article by their meaning (navigation, page footers and headers, asides, forms) never compete. All
+other marks are one factor of a block's score: `article` and `main` raise it (MARKED), a class, id or role that tells
+of a menu, sidebar, notice, advert or reader comments lowers it (NAMED), for the element and what it holds; a part of the
+container that is lowered against the container is left out. Names that tell of a layout (`with-sidebar`, `has-header`) or of an
+article's own header lower nothing.
 
 Null or empty html gives an empty text. Unclosed tags close as browsers close them; a page that is cut off
-ends there; markup that never ends is dropped. A page is one row and independent of all others; repeated rows
-give repeated rows; extra columns are ignored.
+ends there; markup that never ends is dropped. Work is linear in the page, however deep elements nest. A page is one
+row and independent of all others; repeated rows give repeated rows; extra columns are ignored.
 """
 
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 
@@ -33,13 +32,14 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_CLASS = re.compile(r"""class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 #: Element names by their part in a page.
 _BLOCKS = frozenset(
     "html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hr menu dialog "
     "search template hgroup legend option select".split()
 )
-_RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select button xmp noembed".split())
+_RAW = frozenset("script style noscript template iframe textarea title svg select button noembed".split())
 _NEVER = frozenset("nav footer aside form head menu dialog search".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _CUES = frozenset(
@@ -53,6 +53,7 @@ _ARTICLE = frozenset(["article", "main"])
 #: Words that make of a cue a property of the whole, and words that make of a header the article's own.
 _LAYOUT = frozenset("has with no without".split())
 _OF_ARTICLE = frozenset("article entry post story content title".split())
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre caption figcaption".split())
 _TABLE_CELLS = frozenset(["td", "th"])
 #: An opening tag on the left ends an open element of the right, up to the nearest container.
 _ENDS = {
@@ -70,19 +71,27 @@ _MARKS = re.compile(r"[.,;:!?…。，、！？;:।؟،]")
 SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.35
 LINKED = 0.9
+#: Factors of marks and names, and the share of the content's text that an element holds to be its container.
+MARKED, NAMED, CONTAINER = 4.0, 0.05, 0.6
 
 
-#: What holds outside all elements: tag, barred, marked, named, outer, and whether it wraps an article's header.
-OUTSIDE = ("", False, False, (), (), False)
+class Node:
+    """An open block element: its place among the page's elements, its path, and what its marks make of it."""
+
+    __slots__ = ("place", "parent", "tag", "path", "around", "barred", "marked", "weight")
+
+    def __init__(self, place, parent, tag, path, around, barred, marked, weight):
+        self.place, self.parent, self.tag, self.path, self.around = place, parent, tag, path, around
+        self.barred, self.marked, self.weight = barred, marked, weight
 
 
 class Block:
-    """barred: by an element; named: the numbers of the containers that bar it by name; outer: those around its article."""
+    """A text, how much of it stands in links, its marks, and the innermost element around it."""
 
-    __slots__ = ("path", "text", "linked", "marks", "barred", "marked", "named", "outer")
+    __slots__ = ("node", "text", "linked", "marks")
 
-    def __init__(self, path, text, linked, barred, marked, named=(), outer=()):
-        self.path, self.text, self.linked, self.barred, self.marked, self.named, self.outer = path, text, linked, barred, marked, named, outer
+    def __init__(self, node, text, linked):
+        self.node, self.text, self.linked = node, text, linked
         self.marks = len(_MARKS.findall(text))
 
 
@@ -98,26 +107,28 @@ def _heads_article(words):
     return any("header" in held and not _OF_ARTICLE.isdisjoint(held) for held in words)
 
 
-def _barred_by(tag, attrs, marked):
-    """By the element itself."""
-    return tag in _NEVER or tag == "header" and not marked and not _heads_article(_words(attrs))
-
-
-def _named_by(tag, attrs, marked):
-    """By a class, id or role."""
+def _named_by(tag, words, marked):
+    """Whether a class, id or role tells that an element is no article."""
     if tag in ("html", "body", "article", "main") and not (tag == "article" and marked):
         return False
-    for held in _words(attrs):
+    for held in words:
         cues = held & _CUES if _LAYOUT.isdisjoint(held) else set()
         if cues - {"header"} or cues and not marked and _OF_ARTICLE.isdisjoint(held):
             return True
     return False
 
 
+def _step(tag, attrs):
+    """An element's step in a path: its tag and its class names."""
+    found = _CLASS.search(attrs) if "=" in attrs else None
+    return tag, " ".join(sorted((found[1] or found[2] or found[3] or "").split())) if found else ""
+
+
 def blocks_of(page):
-    """Blocks of a page in order; a block is the text between two block-level tags."""
-    out, stack = [], []  # stack: as OUTSIDE, of the open block elements
-    n_named = 0
+    """Blocks of a page in order, and its elements, parents first; a block is the text between two block-level tags."""
+    root = Node(0, None, "", 0, None, False, False, 1.0)
+    out, nodes, stack, open_ = [], [root], [root], Counter()
+    paths = {}
     held, linked, links = [], 0, 0
     at, end = 0, len(page)
 
@@ -125,9 +136,7 @@ def blocks_of(page):
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            how = (stack[-1] if stack else OUTSIDE)[1:5]
-            # a wrapper of the article's own header is no step of the path: its title stands beside the paragraphs
-            out.append(Block(tuple(s[0] for s in stack if not s[5]), text, min(linked, len(text)), *how))
+            out.append(Block(stack[-1], text, min(linked, len(text))))
         held.clear()
         linked = 0
 
@@ -138,11 +147,28 @@ def blocks_of(page):
         if links:
             linked += len(text.strip())
 
+    def cut(i):
+        open_.subtract(node.tag for node in stack[i:])
+        del stack[i:]
+
     def close(tag):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
+        if open_[tag] > 0:
+            cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+
+    def begin(tag, attrs):
+        up = stack[-1]
+        words = _words(attrs)
+        barred = up.barred or tag in _NEVER or tag == "header" and not up.marked and not _heads_article(words)
+        weight = up.weight
+        if tag in _ARTICLE and not up.marked:
+            weight *= MARKED
+        if _named_by(tag, words, up.marked):
+            weight *= NAMED
+        # a wrapper of the article's own header is no step of the path: its title stands beside the paragraphs
+        path = up.path if tag in ("div", "header") and _heads_article(words) else paths.setdefault((up.path, _step(tag, attrs)), len(paths) + 1)
+        stack.append(Node(len(nodes), up, tag, path, up.path, barred, up.marked or tag in _ARTICLE, weight))
+        nodes.append(stack[-1])
+        open_[tag] += 1
 
     while at < end:
         token = _TOKEN.search(page, at)
@@ -167,21 +193,17 @@ def blocks_of(page):
             elif tag in _BLOCKS:
                 flush()
                 links = 0
-                holders = _HOLDS.get(tag, ())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in holders or stack[i][0] in _TABLE_CELLS and tag not in ("td", "th", "tr"):
-                        break
-                    if stack[i][0] in _ENDS.get(tag, ()):
-                        del stack[i:]
-                if tag in _VOID:
-                    continue
-                _, barred, marked, named, outer, _ = stack[-1] if stack else OUTSIDE
-                if tag in _ARTICLE and not marked:
-                    named, outer = (), named
-                if not barred and _named_by(tag, attrs, marked):
-                    n_named += 1
-                    named += (n_named,)
-                stack.append((tag, barred or _barred_by(tag, attrs, marked), marked or tag in _ARTICLE, named, outer, tag in ("div", "header") and _heads_article(_words(attrs))))
+                holders, ends = _HOLDS.get(tag, ()), _ENDS.get(tag, ())
+                if any(open_[e] > 0 for e in ends):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag in holders or stack[i].tag in _TABLE_CELLS and tag not in ("td", "th", "tr"):
+                            break
+                        if stack[i].tag in ends:
+                            cut(i)
+                            if not any(open_[e] > 0 for e in ends):
+                                break
+                if tag not in _VOID:
+                    begin(tag, attrs)
             elif tag == "a":
                 links = 1
         elif token["close"] is not None:
@@ -193,7 +215,7 @@ def blocks_of(page):
             elif tag == "a":
                 links = 0
     flush()
-    return out
+    return out, nodes
 
 
 def _smooth(values):
@@ -204,54 +226,74 @@ def _smooth(values):
     return out
 
 
-def _unlinked(blocks):
-    return sum(len(b.text) - b.linked for b in blocks)
-
-
-def content_blocks(blocks):
-    """Those of a page's blocks that are its main text."""
-    open_ = [b for b in blocks if not b.barred]
-    inside = defaultdict(int)
-    for b in open_:
-        for k in b.named + b.outer:
-            inside[k] += len(b.text) - b.linked
-    most = {k for k, n in inside.items() if 2 * n > _unlinked(open_)} if inside else set()
-    held = [b for b in open_ if most.issuperset(b.named)]
-    inner = [b for b in held if b.marked and not most.issuperset(b.outer)]
-    held = [b for b in held if most.issuperset(b.outer)]
-    marked = [b for b in held if b.marked]
-    # comments are articles too: below a barring name they give way to an article or to more text outside
-    if not marked and _unlinked(inner) > _unlinked(held):
-        marked = inner
-    held = marked or held
-    if not held:
-        return []
+def path_scores(blocks):
+    """Score of each path: its ratios of text and punctuation, smoothed and fused, its share of text outside links, and
+    the weight of its marks."""
     sums = defaultdict(lambda: [0, 0, 0, 0])
-    for b in held:
-        s = sums[b.path]
+    for b in blocks:
+        s = sums[b.node.path]
         s[0] += len(b.text) - b.linked
         s[1] += b.marks
         s[2] += 1
         s[3] += len(b.text)
-    text = _smooth([sums[b.path][0] / sums[b.path][2] for b in held])
-    marks = _smooth([sums[b.path][1] / sums[b.path][2] for b in held])
+    text = _smooth([sums[b.node.path][0] / sums[b.node.path][2] for b in blocks])
+    marks = _smooth([sums[b.node.path][1] / sums[b.node.path][2] for b in blocks])
     scores = defaultdict(float)
-    for b, t, m in zip(held, text, marks, strict=True):
-        free = 1 - sums[b.path][0] / sums[b.path][3]
-        scores[b.path] = max(scores[b.path], math.log1p(t) * (1 + math.log1p(m)) * (1 - free))
-    top = max(scores.values())
-    linked = {p for p, s in sums.items() if s[0] < (1 - LINKED) * s[3]}
-    if marked:
-        paths = set(scores) - {p for p in linked if scores[p] < THRESHOLD * top}
-    else:
-        paths = {p for p, s in scores.items() if s >= THRESHOLD * top} if top else set()
-        containers = {p[:-1] for p in paths}
-        paths |= {p for p in scores if p[:-1] in containers and p not in linked}
-    return [b for b in held if b.path in paths]
+    for b, t, m in zip(blocks, text, marks, strict=True):
+        s = sums[b.node.path]
+        # a path's own ratio counts as much as its neighbours': smoothing lends a short path no more than half
+        own = s[0] / s[2]
+        scores[b.node.path] = max(scores[b.node.path], math.sqrt(own * t) * (1 + math.log1p(m)) * s[0] / s[3] * b.node.weight)
+    return scores
+
+
+def _container(blocks, nodes, scores, least):
+    """The innermost element that holds most of the text of the paths that reach the score `least`."""
+    mass = [0.0] * len(nodes)
+    for b in blocks:
+        if scores[b.node.path] >= least:
+            mass[b.node.place] += (len(b.text) - b.linked) * b.node.weight
+    for node in reversed(nodes):
+        if node.parent:
+            mass[node.parent.place] += mass[node.place]
+    wanted, best = CONTAINER * mass[0], nodes[0]
+    # parents come first: the last element in line that holds enough is the innermost
+    for node in nodes[1:]:
+        if node.parent is best and mass[node.place] >= wanted:
+            best = node
+    # a paragraph is no container
+    while best.tag in _LEAVES:
+        best = best.parent
+    return best
+
+
+def content_blocks(blocks, nodes):
+    """Those of a page's blocks that are its main text."""
+    blocks = [b for b in blocks if not b.node.barred]
+    scores = path_scores(blocks)
+    top = max(scores.values(), default=0.0)
+    if not top:
+        return []
+    best = _container(blocks, nodes, scores, THRESHOLD * top)
+    inside = [False] * len(nodes)
+    for node in nodes:
+        inside[node.place] = node is best or node.parent is not None and inside[node.parent.place]
+    good = {path for path, score in scores.items() if score >= THRESHOLD * top}
+    # what stands beside a content path has the same path around it
+    around = {b.node.around for b in blocks if b.node.path in good}
+    out = []
+    for b in blocks:
+        if not inside[b.node.place] or b.node.weight < best.weight or b.linked > LINKED * len(b.text) and b.node.path not in good:
+            continue
+        # the page as a whole is no article: there a path has to be content or stand beside it
+        if best.tag in ("", "html", "body") and b.node.path not in good and b.node.around not in around:
+            continue
+        out.append(b)
+    return out
 
 
 def main_text(page):
-    return "\n\n".join(b.text for b in content_blocks(blocks_of(page or "")))
+    return "\n\n".join(b.text for b in content_blocks(*blocks_of(page or "")))
 
 
 def extract(pages):

@@ -36,7 +36,9 @@ FOLDS, HELD_OUT = 5, 1
 #: Size of the model: weight rows, classes, buckets of a class, and how many of all buckets hold one token alone.
 ROWS, CLASSES, MEMBERS, SINGLES = 1 << 14, 32, 32, 512
 BUCKETS = CLASSES * MEMBERS
-ROUNDS, RATE, BATCH = 2, 0.15, 8192
+ROUNDS, RATE, BATCH = 2, 0.05, 8192
+#: What a row keeps of its change: as if so many more tokens had touched it and asked for none.
+PRIOR = 50
 #: Rows of a table that travel together when weights are averaged.
 BLOCK = 256
 #: Stands for the end of a text among its words, which hold no blank.
@@ -263,7 +265,7 @@ def _rounds(coded, model, n_slices, rounds, rate):
         for r in changes.collect():
             touched = np.frombuffer(r["touched"], "<f8")[:, None]
             change = np.frombuffer(pa.decompress(r["changes"], BLOCK * CLASSES * 4, "zstd", asbytes=True), "<f4").reshape(BLOCK, CLASSES)
-            weights[r["block"]] += np.divide(change, touched, out=np.zeros(change.shape), where=touched > 0).astype(np.float32)
+            weights[r["block"]] += (change / (touched + PRIOR)).astype(np.float32)
         model.weights = weights.reshape(2, ROWS, CLASSES)
     return model
 

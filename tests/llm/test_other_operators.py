@@ -185,7 +185,7 @@ def test_every_query_runs_and_agrees_with_its_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("conversations", "embeddings"):
+    for table in ("conversations", "documents", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     for name, sql in catalog.oracle_sql().items():
         got = catalog.queries()[name](spark, SMALL)
