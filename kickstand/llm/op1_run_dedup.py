@@ -11,13 +11,13 @@ run of windows with one minimizer is a segment: its bytes hold all its windows.
    to the bucket of the minimizer. Segments of frequent minimizers go as single windows to the buckets of the
    windows, so no minimizer fills a bucket.
 3. A bucket builds a run-length index of its distinct segments (Burrows-Wheeler runs, positions sampled at run
-   ends, smallest document per class of equal suffixes) and walks each segment along its own row: the class of
-   a window's row, from the suffix sort, gives its smallest document. Run-end samples are for foreign patterns,
-   of which there are none here.
+   ends, smallest document per interval of equal windows) and streams the segments through it as patterns that the
+   index knows nothing of: matching statistics, which run-end samples carry over every jump, mark the windows that
+   match in full, and the interval of a window's row gives its smallest document.
 4. A batch marks the windows whose smallest document is smaller than their own, and cuts out the marked bytes.
 
 What is shuffled grows with the text, not with how often a passage occurs, and no task holds more than one batch
-or one bucket. Hashes of 64 bits stand for minimizers and segments.
+or one bucket. Hashes of 64 bits stand for minimizers, and for segments inside a batch; a bucket compares their bytes.
 
 Null text counts as empty; texts shorter than `length` are kept whole. Rows with one doc_id do not remove each
 other's bytes; a null doc_id counts as larger than all others. Empty tables give no rows; extra columns are
@@ -248,6 +248,13 @@ def _send(length, word, n_buckets):
     return run
 
 
+def _same(data, starts, sizes, at, size, string):
+    """Whether each string data[starts : starts + sizes] (one behind the other) equals its representative."""
+    if (size[string] != sizes).any():
+        return False
+    return bool((_gather(data, at[string], sizes) == data).all())
+
+
 def _match(length):
     """Bucket of segments -> per batch, the smallest document of each window of its segments, as runs."""
 
@@ -264,12 +271,20 @@ def _match(length):
         first = np.flatnonzero(new)
         string = np.empty(len(order), np.int64)
         string[order] = np.cumsum(new) - 1
-        owner = np.minimum.reduceat(owners[order], first)
         at, size = starts[order[first]], sizes[order[first]]
+        if not _same(data, starts, sizes, at, size, string):
+            # two strings of one hash: told apart by their bytes
+            held = [data[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)]
+            number = {s: i for i, s in enumerate(dict.fromkeys(held))}
+            string = np.array([number[s] for s in held])
+            order = np.argsort(string, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], string[order][1:] != string[order][:-1]]))
+            at, size = starts[order[first]], sizes[order[first]]
+        owner = np.minimum.reduceat(owners[order], first)
         ends = np.concatenate([[0], np.cumsum(size)])
         distinct = _gather(data, at, size)
         index = RunIndex(distinct, ends, owner, length)
-        matched, found = index.matching_statistics(distinct, ends, np.arange(len(size)))
+        matched, found = index.matching_statistics(distinct, ends)
         windows = size - length + 1
         w_ends = np.concatenate([[0], np.cumsum(windows)])
         w_string = np.repeat(np.arange(len(size)), windows)

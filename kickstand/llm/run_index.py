@@ -1,9 +1,15 @@
 """A run-length index of byte strings: the Burrows-Wheeler transform kept as runs, with text positions sampled at
 run ends, and matching statistics streamed through it for many patterns in step.
 
-Matches are capped at `depth` symbols. Rows whose suffixes agree on `depth` symbols form a class, and a value per
-string (here the smallest document that holds it) is kept as the minimum per class, so one row of a full match
-tells the smallest document that holds the matched symbols.
+What the index keeps per row of the transform is its run, found by the runs' first rows, and its interval: rows
+whose suffixes agree on `depth` symbols, found by the intervals' first rows. A value per string (here the smallest
+document that holds it) is kept as the minimum per interval, so one row of a full match tells the smallest document
+that holds the matched symbols. So the index follows the number of runs and of different stretches of `depth` symbols;
+row by row it keeps nothing but the text itself, in bytes.
+
+A pattern is foreign to the index: it is read from its end, and where the run of the current row does not go on with
+the pattern's symbol, the walk moves to the nearest run that does, before or behind, whichever end agrees longer with the match
+so far; the positions sampled there tell how long.
 """
 
 import numpy as np
@@ -22,19 +28,17 @@ class RunIndex:
         # symbols: 0 ends a string, used bytes follow in order; bytes of patterns that no string holds get none
         self.symbol = np.full(256, -1, np.int64)
         self.symbol[used] = np.arange(1, len(used) + 1)
-        self.string_ends = ends[1:] + np.arange(len(lengths))
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
-        inside[self.string_ends] = False
+        inside[ends[1:] + np.arange(len(lengths))] = False
         text[inside] = self.symbol[data]
-        self.text = text
+        # symbol 256 where all bytes are used and one ends a string
+        self.text = text.astype(np.uint8 if len(used) < 256 else np.int16)
         order, classes = self._sorted(text, int(len(used) + 1).bit_length(), depth)
         before = text[order - 1]
         starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if n else np.zeros(0, np.int64)
         self.n, self.starts, self.heads = n, starts, before[starts]
         run_lengths = np.diff(np.append(starts, n))
-        # a directory from rows to runs and classes: the index of a bucket is bounded, and a lookup beats a search
-        self.run_of = np.repeat(np.arange(len(starts), dtype=np.int32), run_lengths)
         # where a symbol's rows begin, and how many of its rows precede each of its runs
         totals = np.bincount(before, minlength=len(used) + 1)
         self.first = np.concatenate([[0], np.cumsum(totals)[:-1]])
@@ -49,13 +53,9 @@ class RunIndex:
         # text positions of the rows at the two ends of each run
         self.at_start = order[starts]
         self.at_end = order[starts + run_lengths - 1] if n else starts
-        rows = np.empty(n, np.int64)
-        rows[order] = np.arange(n)
-        self.end_rows = rows[self.string_ends]
-        class_starts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if n else np.zeros(0, np.int64)
+        self.intervals = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if n else np.zeros(0, np.int64)
         string_of = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.class_of = np.repeat(np.arange(len(class_starts), dtype=np.int32), np.diff(np.append(class_starts, n)))
-        self.least = np.minimum.reduceat(owners[string_of[order]], class_starts) if n else np.zeros(0, np.int64)
+        self.least = np.minimum.reduceat(owners[string_of[order]], self.intervals) if n else np.zeros(0, np.int64)
 
     @staticmethod
     def _sorted(text, bits, depth):
@@ -109,10 +109,12 @@ class RunIndex:
             out[live] += 1
         return out
 
-    def matching_statistics(self, data, ends, own=None):
+    def run_of(self, rows):
+        return np.searchsorted(self.starts, rows, side="right") - 1
+
+    def matching_statistics(self, data, ends):
         """Per byte of the patterns data[ends[i]:ends[i + 1]]: the longest match from there, capped at `depth`, and
-        a row of it. Patterns are streamed from their ends. own: for patterns that are strings of the index, their
-        numbers; the walk then starts behind the pattern's own end and never has to look for another run."""
+        a row of it. Patterns are streamed from their ends."""
         lengths = np.diff(ends)
         m = len(lengths)
         found = np.zeros(len(data), np.int64)
@@ -120,19 +122,17 @@ class RunIndex:
         if not self.n or not len(data):
             return found, rows
         symbols = self.symbol[data]
-        row = self.end_rows[own] if own is not None else np.zeros(m, np.int64)
-        length = np.zeros(m, np.int64)
-        place = self.string_ends[own] if own is not None else self.at_start[np.zeros(m, np.int64)]
+        # all start at row 0, the first of a run, whose position is sampled
+        row, length, place = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, self.at_start[0])
         # longest patterns first: those still being read are then the first so many
         order = np.argsort(-lengths, kind="stable")
         sizes, stops = lengths[order], ends[order + 1]
-        row, place = row[order], place[order]
         counts = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), side="right")
         for step in range(1, int(sizes[0]) + 1):
             live = slice(0, int(counts[step]))
             at = stops[live] - step
             c = symbols[at]
-            run = self.run_of[row[live]]
+            run = self.run_of(row[live])
             off = row[live] - self.starts[run]
             jump = np.flatnonzero(self.heads[run] != c)
             lost = None
@@ -177,4 +177,4 @@ class RunIndex:
 
     def least_owner(self, rows):
         """The smallest number of a string that holds the `depth` symbols of each row."""
-        return self.least[self.class_of[rows]]
+        return self.least[np.searchsorted(self.intervals, rows, side="right") - 1]

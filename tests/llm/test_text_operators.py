@@ -71,9 +71,9 @@ def test_run_index_finds_longest_matches_and_smallest_owners(depth):
         index = RunIndex(data, ends, owners, depth)
         assert index.runs() <= index.n
         others = [bytes(rng.choice(alphabet + b"zq") for _ in range(rng.randrange(1, 20))) for _ in range(5)]
-        for patterns, own in ((strings, np.arange(len(strings))), (strings, None), (others, None)):
+        for patterns in (strings, others):
             p_data, p_ends = packed(patterns)
-            found, rows = index.matching_statistics(p_data, p_ends, own)
+            found, rows = index.matching_statistics(p_data, p_ends)
             for i, p in enumerate(patterns):
                 for j in range(len(p)):
                     best = max((n for n in range(1, depth + 1) if j + n <= len(p) and any(p[j : j + n] in s for s in strings)), default=0)
@@ -83,6 +83,40 @@ def test_run_index_finds_longest_matches_and_smallest_owners(depth):
                         assert index.least_owner(np.array([row]))[0] == min(o for s, o in zip(strings, owners, strict=True) if p[j : j + depth] in s)
 
 
+def _repetitive(n_copies):
+    rng = random.Random(12)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
+    copies = []
+    for _ in range(n_copies):
+        held = bytearray(passage)
+        held[rng.randrange(len(held))] = ord("X")
+        copies.append(bytes(held))
+    return np.frombuffer(b"".join(copies), np.uint8), np.arange(n_copies + 1) * len(passage), np.arange(n_copies)
+
+
+def test_run_end_samples_carry_the_matches():
+    data, ends, owners = _repetitive(12)
+    index = RunIndex(data, ends, owners, 50)
+    found, _ = index.matching_statistics(data, ends)
+    places = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    assert (found == np.minimum(3000 - places, 50)).all()
+    index.at_start, index.at_end = np.zeros_like(index.at_start), np.zeros_like(index.at_end)
+    lost, _ = index.matching_statistics(data, ends)
+    assert (lost >= 50).sum() < (found >= 50).sum()
+
+
+def test_the_index_follows_runs_on_repetitive_text():
+    few, many = (RunIndex(*_repetitive(n), 50) for n in (10, 80))
+
+    def kept(index):
+        return sum(v.nbytes for k, v in vars(index).items() if isinstance(v, np.ndarray) and k != "text")
+
+    assert many.n > 7 * few.n and many.text.nbytes == many.n
+    assert many.runs() < 3 * few.runs() and kept(many) < 0.5 * many.n * 8
+    # each copy adds what its one change adds, not its length
+    assert (kept(many) - kept(few)) / (many.n - few.n) < kept(few) / few.n
+
+
 def linked_components(rows, width=4):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets, parent = {}, {}
