@@ -31,16 +31,19 @@ def _header():
 def rotate(conversations, part_turns=PART_TURNS):
     """One row per conversation, perspective and part: offset, n_turns, text, mask (array of start, end)."""
     turns = conversations.select(
-        "conv_id",
+        # a key without nulls joins as it is placed
+        F.col("conv_id").isNull().alias("nameless"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
         F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(LAST_PART)).alias("part"),
         "turn",
         F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("said"),
     )
-    views = turns.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("view_of"), F.col("role").alias("perspective")).distinct()
-    seen = turns.join(views, F.col("conv_id").eqNullSafe(F.col("view_of"))).drop("view_of")
+    views = turns.where(F.col("role") != SYSTEM).select("nameless", "conv", F.col("role").alias("perspective")).distinct()
+    seen = turns.join(views, ["nameless", "conv"])
     header = _header()
-    key = ["conv_id", "perspective", "part"]
+    view = ["nameless", "conv", "perspective"]
+    key = [*view, "part"]
     segment = F.concat(header, "said", F.lit(CLOSE))
     order = [F.col("turn").asc_nulls_last(), "role", "said"]
     window = Window.partitionBy(*key).orderBy(*order)
@@ -54,12 +57,17 @@ def rotate(conversations, part_turns=PART_TURNS):
         (F.col("role") == F.col("perspective")).alias("own"),
     )
     turn = F.struct("nth", "segment", (F.col("end") - F.col("size") + F.col("head")).alias("start"), "end", "own")
-    parts = placed.groupBy(*key).agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.sum("size").alias("n_chars"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*key).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    # where a part starts comes from sizes alone: no rendered text passes through a conversation's window
+    sizes = seen.groupBy(*key).agg(F.sum(F.length(header) + F.length("said") + F.lit(len(CLOSE))).alias("n_chars"))
+    before = Window.partitionBy(*view).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*key, F.coalesce(F.sum("n_chars").over(before), F.lit(0)).alias("offset"))
     spans = F.transform(F.filter("turns", lambda t: t["own"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    return parts.select(
-        *key,
-        F.coalesce(F.sum("n_chars").over(before), F.lit(0)).alias("offset"),
+    return parts.join(offsets, key).select(
+        F.when(~F.col("nameless"), F.col("conv")).alias("conv_id"),
+        "perspective",
+        "part",
+        "offset",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("text"),
         spans.alias("mask"),
