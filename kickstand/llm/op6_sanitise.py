@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers by pattern and check. Each
 checked value (lower-cased address, digits of a number) is a protected entity. Around every base span the words
-of its context are counted with the entity, both in documents: n(t, e) of them hold the word in a context of the
+of its context (outside base spans) are counted with the entity, both in documents: n(t, e) of them hold the word in a context of the
 entity, n(t) hold it anywhere, and the disclosure of entity e by term t is P(e | t) = n(t, e) / n(t), however often
 a text repeats the word or a passage is copied. P(e) being the share
 of all documents that hold the entity, the term tells log2(P(e | t) / P(e)) bits, and gains
@@ -133,8 +133,34 @@ def _terms(text):
     return F.filter(words, lambda w: ~w.contains("@"))
 
 
+def _plain(text):
+    """A text with a blank in place of each base span: the digits and letters of protected values are no words."""
+
+    def without(kind):
+        def blanked(x):
+            pattern = F.lit(PATTERNS[kind])
+            pieces = F.arrays_zip(F.regexp_extract_all(x, pattern, F.lit(0)).alias("hit"), F.split(x, pattern, -1).alias("gap"))
+            # the last gap has no match after it
+            said = F.transform(pieces, lambda p: F.concat(p["gap"], F.when(p["hit"].isNull(), "").when(_passes(kind, p["hit"]), " ").otherwise(p["hit"])))
+            need = F.instr(x, NEEDS[kind]) > 0 if len(NEEDS[kind]) == 1 else x.rlike(NEEDS[kind])
+            return F.when(need, F.array_join(said, "")).otherwise(x)
+
+        return blanked
+
+    # an array binds each step's text, so that it is worked out once
+    for kind in KINDS:
+        text = F.element_at(F.transform(F.array(text), without(kind)), 1)
+    return text
+
+
+def _plain_text():
+    """`_plain` of the rows' texts; a text without base spans is plain."""
+    text = F.coalesce("text", F.lit(""))
+    return F.when(F.size("base") > 0, _plain(text)).otherwise(text)
+
+
 def contexts(found):
-    """entity, doc, beside, rows: what stands beside each protected value of a text, the text's hash, and how many
+    """entity, doc, beside, rows: what stands beside each protected value of a text (base spans blank), the text's hash, and how many
     rows hold that text; a text that repeats a context gives it once."""
     text = F.col("text")
 
@@ -153,7 +179,8 @@ def contexts(found):
     entries = F.array_distinct(F.transform("base", context))
     held = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("doc"), F.explode(entries).alias("entry"))
     held = held.groupBy("doc", "entry").agg(F.count(F.lit(1)).alias("rows"))
-    return held.select(F.substring_index("entry", "\n", 1).alias("entity"), "doc", F.substring("entry", F.instr("entry", "\n") + 1, F.length("entry")).alias("beside"), "rows")
+    beside = _plain(F.substring("entry", F.instr("entry", "\n") + 1, F.length("entry")))
+    return held.select(F.substring_index("entry", "\n", 1).alias("entity"), "doc", beside.alias("beside"), "rows")
 
 
 def term_pairs(held):
@@ -172,7 +199,7 @@ def disclosing_terms(found, support=SUPPORT, disclosure=DISCLOSURE, bits=BITS):
     pairs = common.written(term_pairs(contexts(found)), "disclosure-pairs")
     likely = pairs.where((F.col("contexts") >= F.least(F.lit(support), F.lit(RARE_SUPPORT))) & (F.col("term") != WHOLE))
     # in rows, as n_te is
-    words = found.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    words = found.select(F.explode(F.array_distinct(_terms(_plain_text()))).alias("term"))
     # counted before the join: words meet in sums of tasks, whatever their frequency
     occurs = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     entities = pairs.where(F.col("term") == WHOLE).select("entity", F.col("n_te").alias("n_e"), F.col("contexts").alias("seen"))
@@ -190,7 +217,7 @@ def disclosing_terms(found, support=SUPPORT, disclosure=DISCLOSURE, bits=BITS):
 def _with_terms(found, terms):
     """Append `terms` (array of term, share): the disclosing terms that each text holds, null for none."""
     key = F.xxhash64("doc_id", "text")
-    held = found.select(key.alias("_key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    held = found.select(key.alias("_key"), F.explode(F.array_distinct(_terms(_plain_text()))).alias("term"))
     held = held.join(terms, "term").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("terms"))
     return found.withColumn("_key", key).join(held, "_key", "left").drop("_key")
 
@@ -202,6 +229,25 @@ def _term_spans(text, terms, rank):
     return _spans(text, TERM, pattern, rank, lambda hit: F.lit(True))
 
 
+def _apart(spans):
+    """Sorted spans without the terms that overlap a base span: one pass meets the base spans that end behind a term's
+    start, one from the back those that start before its end."""
+
+    def keep(clash, behind):
+        def step(acc, s):
+            term = s["kind"] == TERM
+            at = F.when(term, acc["at"]).otherwise(behind(acc["at"], s))
+            return F.struct(at.alias("at"), F.when(term & clash(acc["at"], s), acc["out"]).otherwise(F.concat(acc["out"], F.array(s))).alias("out"))
+
+        return step
+
+    kinds = (SPAN, f"array<{SPAN}>")
+    ahead = keep(lambda at, s: at > s["start"], lambda at, s: F.greatest(at, s["end"]))
+    back = keep(lambda at, s: at < s["end"], lambda at, s: F.least(at, s["start"]))
+    spans = F.flatten(_in_chunks(spans, F.lit(0), kinds, ahead, lambda out: out)["out"])
+    return F.reverse(F.flatten(_in_chunks(F.reverse(spans), F.lit((1 << 31) - 1), kinds, back, lambda out: out)["out"]))
+
+
 def find(docs, **options):
     """Append `base` and `spans` (base spans and disclosing terms, by start and kind) to every row, and `terms`."""
     found = find_base(docs.drop("base", "spans", "terms"))
@@ -212,8 +258,7 @@ def find(docs, **options):
     marked = _with_terms(found, terms)
     text = F.coalesce("text", F.lit(""))
     own = F.coalesce(F.when(F.col("terms").isNotNull(), _term_spans(text, F.col("terms"), len(KINDS))), none)
-    apart = F.filter(own, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return marked.withColumn("spans", F.array_sort(F.concat("base", apart)))
+    return marked.withColumn("spans", F.when(F.size(own) > 0, _apart(F.array_sort(F.concat("base", own)))).otherwise(F.col("base")))
 
 
 def listed(spans):
