@@ -36,7 +36,9 @@ FOLDS, HELD_OUT = 5, 1
 #: Size of the model: weight rows, classes, buckets of a class, and how many of all buckets hold one token alone.
 ROWS, CLASSES, MEMBERS, SINGLES = 1 << 14, 32, 32, 512
 BUCKETS = CLASSES * MEMBERS
-ROUNDS, RATE, BATCH = 2, 0.05, 8192
+ROUNDS, RATE, BATCH = 1, 0.1, 8192
+#: Gradient steps that a slice is good for, and the tokens of one.
+STEPS, LEAST_BATCH, MOST_BATCH = 40, 2048, 32768
 #: What a row keeps of its change: as if so many more tokens had touched it and asked for none.
 PRIOR = 50
 #: Rows of a table that travel together when weights are averaged.
@@ -61,8 +63,9 @@ def _slice(number, docs):
     data = W.LOWER[np.frombuffer(b"".join(t + b"\n" for _, _, t in docs), np.uint8)]
     starts, lengths = W.word_runs(data, _APART)
     codes, words = W.dictionary(data, starts, lengths)
-    first = np.full(len(words), len(starts))
-    np.minimum.at(first, codes, np.arange(len(codes)))
+    # where each word stands first: written from the back, the first place comes last
+    first = np.empty(len(words), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
     hashes = common.run_hashes(common.BYTE_WORDS[data], starts[first], lengths[first]) if len(words) else np.zeros(0, np.uint64)
     # the end of each text goes behind its words, as code 0
     per_doc = np.diff(np.searchsorted(starts, ends))
@@ -144,12 +147,13 @@ class Model:
     """Weights of both softmaxes, and what counts tell: biases and the discounted share of tokens in a bucket."""
 
     def __init__(self, bucket_counts, bucket_words, n1, n2, weights=None):
-        self.weights = np.zeros((2, ROWS, CLASSES), np.float32) if weights is None else weights
+        # table, outcome, row: what is summed and compared lies in lines of one outcome
+        self.weights = np.zeros((2, CLASSES, ROWS), np.float32) if weights is None else weights
         self.bucket_counts, self.bucket_words = bucket_counts, bucket_words
         self.discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.05), 0.95)
         mass = (bucket_counts + 0.5).reshape(CLASSES, MEMBERS)
-        self.class_bias = np.log(mass.sum(1)).astype(np.float32)
-        self.member_bias = np.log(mass).astype(np.float32)
+        self.class_bias = np.log(mass.sum(1)).astype(np.float32)[:, None]
+        self.member_bias = np.log(mass).T.astype(np.float32)
 
     def rows(self, coded, at):
         """Weight rows of the tokens `at`: (features, tokens) for classes and for members, and their targets."""
@@ -160,16 +164,15 @@ class Model:
             inner = common.mix(features + (classes.astype(np.uint64) + np.uint64(1)) * common.STEP)
         return (features & mask).astype(np.int64), (inner & mask).astype(np.int64), classes, members
 
-    def logits(self, table, rows, bias):
-        out = bias + self.weights[table][rows[0]]
-        for r in rows[1:]:
-            out += self.weights[table][r]
-        return out
-
     def both(self, coded, at):
+        """Per table: number, rows, targets and logits (outcome, token) of the tokens `at`."""
         outer, inner, classes, members = self.rows(coded, at)
-        yield 0, outer, classes, self.logits(0, outer, self.class_bias)
-        yield 1, inner, members, self.logits(1, inner, self.member_bias[classes])
+        for table, rows, target, bias in ((0, outer, classes, self.class_bias), (1, inner, members, self.member_bias[:, classes])):
+            z = bias + np.take(self.weights[table], rows[0], axis=1)
+            for r in rows[1:]:
+                z += np.take(self.weights[table], r, axis=1)
+            z -= z.max(0)
+            yield table, rows, target, z
 
     def log_probability(self, coded):
         """Natural logarithm of each token's probability."""
@@ -177,8 +180,7 @@ class Model:
         for a in range(0, len(out), BATCH):
             at = slice(a, min(a + BATCH, len(out)))
             for _, _, target, z in self.both(coded, at):
-                z -= z.max(1, keepdims=True)
-                out[at] += z[np.arange(len(target)), target] - np.log(np.exp(z).sum(1))
+                out[at] += z[target, np.arange(len(target))] - np.log(np.exp(z).sum(0))
         return out + self.inside(coded.buckets, coded.counts)
 
     def inside(self, buckets, counts):
@@ -190,20 +192,19 @@ class Model:
 
 
 def train_step(model, squares, touched, coded, at, rate):
-    """One AdaGrad step on the tokens `at`, on the rows that their features name."""
+    """One AdaGrad step on the tokens `at`: a row's slope is the sum over the tokens whose features name it."""
     n = len(at)
     for table, rows, target, z in model.both(coded, at):
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        flat = rows.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        row, first, times = np.unique(flat[order], return_index=True, return_counts=True)
-        slope = np.add.reduceat(p[order % n], first, axis=0) / times[:, None] ** 0.5
-        squares[table][row] += slope * slope
-        model.weights[table][row] -= rate * slope / np.sqrt(squares[table][row])
-        touched[table][row] += times
+        p = np.exp(z, out=z)
+        p /= p.sum(0)
+        p[target, np.arange(n)] -= 1
+        times = sum(np.bincount(r, minlength=ROWS) for r in rows)
+        share = (1 / np.sqrt(np.maximum(times, 1))).astype(np.float32)
+        for k in range(CLASSES):
+            slope = sum(np.bincount(r, weights=p[k], minlength=ROWS) for r in rows).astype(np.float32) * share
+            squares[table, k] += slope * slope
+            model.weights[table, k] -= rate * slope / np.sqrt(squares[table, k])
+        touched[table] += times
 
 
 CHANGES = pa.schema([("part", pa.int64()), ("block", pa.int32()), ("touched", pa.binary()), ("changes", pa.binary())])
@@ -227,16 +228,16 @@ def _trainer(model, rate, parts):
         weights = model.weights
         local = Model(model.bucket_counts, model.bucket_words, 0, 0, weights.copy())
         squares = np.full(weights.shape, 1e-3, np.float32)
-        touched = np.zeros(weights.shape[:2])
+        touched = np.zeros((2, ROWS))
         for batch in batches:
             for row in batch.to_pylist():
                 coded = Coded(row)
                 at = np.flatnonzero(~coded.held[coded.doc])
-                for a in range(0, len(at), BATCH):
-                    train_step(local, squares, touched, coded, at[a : a + BATCH], rate)
-        # zeros in the low bits of what is averaged anyhow cost less to send
+                batch = min(max(len(at) // STEPS, LEAST_BATCH), MOST_BATCH)
+                for a in range(0, len(at), batch):
+                    train_step(local, squares, touched, coded, at[a : a + batch], rate)
         part = TaskContext.get().partitionId() % parts
-        rows = list(_blocks(part, touched, (local.weights - weights) * touched[:, :, None]))
+        rows = list(_blocks(part, touched, ((local.weights - weights) * touched[:, None, :]).transpose(0, 2, 1)))
         if rows:
             yield pa.RecordBatch.from_pylist(rows, CHANGES)
 
@@ -260,13 +261,13 @@ def _rounds(coded, model, n_slices, rounds, rate):
     for _ in range(rounds):
         changes = coded.mapInArrow(_trainer(model, rate, parts), CHANGES_SQL)
         changes = changes.groupBy("block", "part").applyInArrow(_summed, CHANGES_SQL).groupBy("block").applyInArrow(_summed, CHANGES_SQL)
-        weights = model.weights.reshape(-1, BLOCK, CLASSES).copy()
+        weights = model.weights.transpose(0, 2, 1).reshape(-1, BLOCK, CLASSES).copy()
         # as many rows as the model has blocks
         for r in changes.collect():
             touched = np.frombuffer(r["touched"], "<f8")[:, None]
             change = np.frombuffer(pa.decompress(r["changes"], BLOCK * CLASSES * 4, "zstd", asbytes=True), "<f4").reshape(BLOCK, CLASSES)
             weights[r["block"]] += (change / (touched + PRIOR)).astype(np.float32)
-        model.weights = weights.reshape(2, ROWS, CLASSES)
+        model.weights = np.ascontiguousarray(weights.reshape(2, ROWS, CLASSES).transpose(0, 2, 1))
     return model
 
 
