@@ -14,6 +14,7 @@ from kickstand import constants as C
 from kickstand.functions import columns as X
 from kickstand.functions import groups as G
 from kickstand.operators.trips import unique_areas
+from kickstand.sources.sinks import stored
 
 OTHER_AREA = "other"
 
@@ -181,6 +182,21 @@ def avg_trip_km(trips, km_col=None, m_col="distance_m"):
 # --- expected demand --------------------------------------------------------------
 
 
+def calibration_base(demand):
+    """Trips per day, hour and vendor, and trips per area: the two small tables that every factor is drawn from.
+
+    Both come from one pass over the demand and are stored together; their size is set by the calendar, the vendors and
+    the areas.
+    """
+    keys = ["day", "hour", "vendor"]
+    both = demand.groupingSets([keys, ["service_area_id"]], *keys, "service_area_id").agg(
+        F.grouping("day").alias("_by_area"), X.total("trips").alias("trips")
+    )
+    both = stored(both)
+    by_time = both.filter(F.col("_by_area") == 0).select(*keys, "trips")
+    return by_time, both.filter(F.col("_by_area") == 1).select("service_area_id", "trips")
+
+
 def _day_factors(daily, floor_total, scale):
     """One row per calendar day from the first to the last trip, with its month and city total.
 
@@ -257,22 +273,23 @@ def expected_demand(demand, catalog, floor_total=C.MIN_CITY_TRIPS, scale=1.0, fl
     month and area type. `vendors` replaces the canonical names where a vendor map keeps others.
     """
     floors, vendors = floors or C.VENDOR_SHARE_FLOORS, list(vendors or C.VENDORS)
-    daily = day_totals(demand)
+    by_time, by_area = calibration_base(demand)
+    daily = day_totals(by_time)
     days = _day_factors(daily, floor_total, scale)
-    hours = hour_shape(demand).select("hour", F.col("weight").alias("_hour_weight"))
+    hours = hour_shape(by_time).select("hour", F.col("weight").alias("_hour_weight"))
     # hour has 24 rows by construction
-    grid = _share_table(demand, days, floors, vendors).join(F.broadcast(hours), "hour")
+    grid = _share_table(by_time, days, floors, vendors).join(F.broadcast(hours), "hour")
     weight = {v: F.col("_hour_weight") * F.col(v) for v in vendors}
     each = F.array(*[F.struct("hour", F.lit(v).alias("vendor"), w.alias("_weight")) for v, w in weight.items()])
     cells = grid.select("month", "area_kind", F.explode(each).alias("_cell"))
     cells = cells.groupBy("month", "area_kind").agg(F.collect_list("_cell").alias("_cells"))
-    areas = _weighted_areas(demand, catalog)
+    areas = _weighted_areas(by_area, catalog)
     first, last = [daily.agg(edge("day")).scalar() for edge in (F.min, F.max)]
     spread = (
         areas.withColumn("day", F.explode(F.sequence(first, last)))
         # each row is about to bring 96 rows: spread them, while they are thin, by a fixed number that AQE keeps
         .repartition(spine_tasks(demand.sparkSession), "service_area_id", "day")
-        .join(F.broadcast(days), "day")  # one row per calendar day: under 100 MB for any dates
+        .join(days, "day")
         .join(cells, ["month", "area_kind"])
     )
     expected = F.col("day_total") * F.col("_area_weight") * F.col("_weight")
@@ -288,15 +305,16 @@ def demand_vs_expected(demand, history, catalog, floor_total=C.MIN_CITY_TRIPS, s
     given), have no expectation.
     """
     floors, vendors = floors or C.VENDOR_SHARE_FLOORS, list(vendors or C.VENDORS)
-    days = _day_factors(day_totals(history), floor_total, scale)
-    shares = _share_table(history, days, floors, vendors)
+    by_time, by_area = calibration_base(history)
+    days = _day_factors(day_totals(by_time), floor_total, scale)
+    shares = _share_table(by_time, days, floors, vendors)
     each = F.array(*[F.struct(F.lit(v).alias("vendor"), F.col(v).alias("_share")) for v in vendors])
     shares = shares.select("month", "area_kind", "hour", F.inline(each))
-    hours = hour_shape(history).select("hour", F.col("weight").alias("_hour_weight"))
+    hours = hour_shape(by_time).select("hour", F.col("weight").alias("_hour_weight"))
     joined = (
         demand.join(F.broadcast(hours), "hour")  # 24 rows by construction
-        .join(F.broadcast(days), "day", "left")  # one row per calendar day: under 100 MB for any dates
-        .join(_weighted_areas(history, catalog), "service_area_id", "left")
+        .join(days, "day", "left")
+        .join(_weighted_areas(by_area, catalog), "service_area_id", "left")
         .join(shares, ["month", "area_kind", "hour", "vendor"], "left")
     )
     expected = F.col("day_total") * F.col("_area_weight") * (F.col("_hour_weight") * F.col("_share"))

@@ -126,13 +126,19 @@ def trips_hourly(trips, vendor_map=None, fallback=C.FALLBACK_VENDOR):
     return rows.groupBy("day", "hour", "service_area_id", "vendor").agg(F.count("*").alias("trips"))
 
 
+def canon_counts(canon):
+    """Canonical trips counted per day, hour, vendor and area as written: what catalog and demand table both need."""
+    return canon.groupBy("day", "hour", "vendor", "area_name", "area_num").agg(F.count("*").alias("trips"))
+
+
 def canon_hourly(canon, catalog):
-    """Demand table of canonical raw trips, matched to the area catalog by name or number.
+    """Demand table of canonical raw trips, or of their `canon_counts`, matched to the area catalog by name or number.
 
     Trips are counted per area text first, so the catalog joins the counts and not the trips.
     """
     named = F.lower(F.trim("area_name"))
-    counts = canon.groupBy("day", "hour", "vendor", named.alias("_area"), "area_num").agg(F.count("*").alias("trips"))
+    trips = X.total("trips") if "trips" in canon.columns else F.count("*")
+    counts = canon.groupBy("day", "hour", "vendor", named.alias("_area"), "area_num").agg(trips.alias("trips"))
     areas = unique_areas(catalog.select("service_area_id", "community_area_name", F.col("area_key").alias("_area")), ["_area"])
     by_number = F.format_string("ca %02d", F.col("area_num"))
     joined = counts.withColumn("_area", F.coalesce("_area", F.when(F.col("area_num").isNotNull(), by_number))).join(

@@ -10,6 +10,7 @@ from kickstand.operators import calibration as CA
 from kickstand.operators import fleet as FL
 from kickstand.operators import incidents as I
 from kickstand.operators import insights as IN
+from kickstand.operators import intervals as IV
 from kickstand.operators import maintenance as M
 from kickstand.operators import rollups as RU
 from kickstand.operators import status as ST
@@ -21,6 +22,9 @@ from kickstand.sources import readers as R
 from kickstand.sources.fixtures import Fleet
 from kickstand.sources.sinks import new_folder, stored
 
+#: Status events that tasks of the test tables are linked to; some of these ids have no event.
+EVENT_IDS = 1500
+
 
 # --- inputs shared by several queries ---------------------------------------------
 
@@ -62,8 +66,9 @@ def _vendor_canon(t):
 
 
 def _canon_hourly(t):
-    canon = _canon(t)
-    return TR.canon_hourly(canon, CA.area_catalog(canon))
+    # the raw text is parsed once; catalog and demand are drawn from its counts
+    counts = stored(TR.canon_counts(_canon(t)))
+    return TR.canon_hourly(counts, CA.area_catalog(counts))
 
 
 def _demand_shares(t):
@@ -93,8 +98,13 @@ def _rounded(df, places, *cols):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
+def _against(rows):
+    """Observed against expected: rates are short decimals, whose sums tie at few places."""
+    return _rounded(_rounded(rows, 12, "expected"), 6, "observed_ratio")
+
+
 def _expected_demand(t):
-    spine = CA.expected_demand(stored(_demand(t)), _catalog(t))
+    spine = CA.expected_demand(_demand(t), _catalog(t))
     return spine.groupBy(X.month_start("day").alias("month"), "hour", "vendor").agg(
         F.count("*").alias("cells"), F.round(F.sum("expected_trips"), 4).alias("expected_trips")
     )
@@ -178,8 +188,11 @@ def _task_cost(t):
 
 
 def _task_linkage(t):
-    return TK.task_linkage(t.tasks, t.incidents).select(
-        "task_id", "linked_incident_id", "incident_type", "cause_at", "minutes_to_task"
+    """Tasks with both kinds of cause: a third of those without an incident come from a status event."""
+    event = F.when(F.col("linked_incident_id").isNull() & (F.col("task_id") % 3 == 0), F.col("task_id") % EVENT_IDS)
+    tasks = t.tasks.withColumn("linked_event_id", event)
+    return TK.task_linkage(tasks, t.incidents, t.status_changes).select(
+        "task_id", "linked_incident_id", "incident_type", "linked_event_id", "event_type", "cause_at", "minutes_to_task"
     )
 
 
@@ -248,6 +261,23 @@ def _incidents_cube(t):
     )
 
 
+def _policies(t):
+    """Policies that overlap and never end: a vendor's open one, those of two months in three, and promotions in them."""
+    monthly = t.pricing.filter(F.month("start_date") % 3 != 0)
+    opened = t.pricing.groupBy("vendor").agg(F.min("start_date").alias("start_date")).select(
+        "vendor", "start_date", F.lit(None).cast("date").alias("end_date"), F.lit(0.5).alias("base_fare"), F.lit(0.25).alias("per_minute"), F.lit(0.125).alias("per_km")
+    )
+    promotions = t.pricing.filter(F.month("start_date") % 2 == 0).select(
+        "vendor",
+        F.date_add("start_date", 9).alias("start_date"),
+        F.date_add("start_date", 45).alias("end_date"),
+        F.lit(2.0).alias("base_fare"),
+        F.lit(0.0).alias("per_minute"),
+        F.lit(0.0).alias("per_km"),
+    )
+    return monthly.unionByName(opened).unionByName(promotions)
+
+
 def _rate_points(t):
     """Incidents and task cost per 1,000 trips by vendor and area."""
     return K.area_rates(t.incidents, _costed(t), _demand_rows(t))
@@ -255,7 +285,7 @@ def _rate_points(t):
 
 def _demand_alerts(t):
     demand = stored(_demand(t))
-    return IN.demand_alerts(CA.demand_vs_expected(demand, demand, _catalog(t), floor_total=1))
+    return IN.demand_alerts(_rounded(CA.demand_vs_expected(demand, demand, _catalog(t), floor_total=1), 10, "expected_trips"))
 
 
 EXTRACTS = {
@@ -354,14 +384,15 @@ INSIGHTS = {
     "service_distinct_rollup": _service_distinct,
     "distance_quantile_rollup": _distance_quantiles,
     "incidents_cube": _incidents_cube,
+    "revenue_by_precedence": lambda t: _rounded(IV.revenue_by_vendor_month(t.trips_canon, _policies(t)), 8, "revenue"),
     "handle_trend": lambda t: IN.trend(
         K.load_vs_handle(t.status_changes, _demand_rows(t)), "avg_workload", "avg_handle_minutes", ["vendor"]
     ),
     "best_in_class": lambda t: IN.skyline(_rate_points(t), "incidents_per_1k", "cost_per_1k"),
     "demand_alerts": _demand_alerts,
     "vehicles_out_by_hour": lambda t: AB.vehicles_out_by_hour(t.status_changes),
-    "status_vs_expected": lambda t: _rounded(ST.status_vs_expected(t.status_changes, _typed_demand(t), t.vehicles), 6, "expected", "observed_ratio"),
-    "tasks_vs_expected": lambda t: _rounded(TK.tasks_vs_expected(t.tasks, _typed_demand(t)), 6, "expected", "observed_ratio"),
+    "status_vs_expected": lambda t: _against(ST.status_vs_expected(t.status_changes, _typed_demand(t), t.vehicles)),
+    "tasks_vs_expected": lambda t: _against(TK.tasks_vs_expected(t.tasks, _typed_demand(t))),
 }
 
 QUERIES = {**EXTRACTS, **CALIBRATION, **OPERATIONS, **MEASURES, **INSIGHTS}

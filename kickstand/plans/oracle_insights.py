@@ -15,7 +15,7 @@ def observed(table, stack, kind, time, needs):
         f"""{active}, means as ({stack}),
             e as (select vendor, {MONTH.format('day')} as month, {kind}, sum(expected) as x from means group by 1, 2, 3),
             o as (select vendor, {MONTH.format(time)} as month, {kind}, count(*) as n from {table} group by 1, 2, 3)
-            select vendor, month, {kind}, coalesce(n, 0) as events, round(coalesce(x, 0), 6) as expected,
+            select vendor, month, {kind}, coalesce(n, 0) as events, round(coalesce(x, 0), 12) as expected,
               round(coalesce(n, 0) / nullif(x, 0), 6) as observed_ratio
             from e full join o using (vendor, month, {kind})""",
     )
@@ -58,6 +58,27 @@ INSIGHTS = {
               round(quantile_cont(m, 0.5), 4) as p50_resolve_minutes, round(quantile_cont(m, 0.9), 4) as p90_resolve_minutes
             from timed group by cube (vendor, incident_type, severity)""",
     ),
+    "revenue_by_precedence": with_fleet(
+        ["trips_canon", "pricing"],
+        f""", policies as (
+              select vendor, start_date, end_date, base_fare, per_minute, per_km from pricing where extract(month from start_date) % 3 <> 0
+              union all
+              select vendor, min(start_date), null, 0.5e0, 0.25e0, 0.125e0 from pricing group by vendor
+              union all
+              select vendor, cast(start_date + interval '9' day as date), cast(start_date + interval '45' day as date), 2e0, 0e0, 0e0
+              from pricing where extract(month from start_date) % 2 = 0),
+            daily as (select vendor, cast(started_at as date) as day, count(*) as n, sum(duration_s) as s, sum(distance_m) as m
+                      from trips_canon
+                      where started_at is not null and vendor is not null and duration_s is not null and distance_m is not null
+                      group by 1, 2),
+            priced as (select d.*, base_fare, per_minute, per_km
+                       from daily d left join policies p on d.vendor = p.vendor and day >= start_date and day <= coalesce(end_date, date '2100-12-31')
+                       qualify row_number() over (partition by d.vendor, day order by start_date desc, end_date nulls last, base_fare) = 1)
+            select vendor, {MONTH.format('day')} as month, cast(coalesce(sum(n) filter (base_fare is not null), 0) as bigint) as trips,
+              cast(coalesce(sum(n) filter (base_fare is null), 0) as bigint) as unpriced_trips,
+              round(sum(base_fare*n + per_minute*s/60 + per_km*m/1000), 8) as revenue
+            from priced group by 1, 2""",
+    ),
     # the normal equations of each vendor's points, in whole ten-thousandths
     "handle_trend": f"""
         with points as ({MEASURES['load_vs_handle']}),

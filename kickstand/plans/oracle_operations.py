@@ -177,10 +177,13 @@ OPERATIONS = {
             select day, vendor, task_type, round(sum(expected), 12) as expected from means group by 1, 2, 3""",
     ),
     "task_linkage": with_fleet(
-        ["tasks", "incidents"],
-        """select task_id, linked_incident_id, incident_type, occurred_at as cause_at,
-             cast(floor((epoch_us(created_at) - epoch_us(occurred_at)) / 60000000e0) as int) as minutes_to_task
-           from tasks left join incidents on linked_incident_id = incident_id""",
+        ["tasks", "incidents", "status_changes"],
+        """, caused as (
+              select *, case when linked_incident_id is null and task_id % 3 = 0 then task_id % 1500 end as linked_event_id from tasks)
+           select task_id, linked_incident_id, incident_type, linked_event_id, event_type,
+             coalesce(occurred_at, event_time) as cause_at,
+             cast(floor((epoch_us(created_at) - epoch_us(coalesce(occurred_at, event_time))) / 60000000e0) as int) as minutes_to_task
+           from caused left join incidents on linked_incident_id = incident_id left join status_changes on linked_event_id = event_id""",
     ),
     "linked_tasks": with_fleet(
         ["tasks", "incidents"],

@@ -14,6 +14,11 @@ from kickstand.functions import columns as X
 from kickstand.schemas import TABLES
 
 
+#: Stores that tasks can open by themselves, and how much of a file they read at a time to find its first line.
+URI_SCHEMES = ("file", "hdfs", "s3", "gs", "abfs")
+HEADER_BYTES = 1 << 14
+
+
 class MissingColumns(ValueError):
     """A required column was not found in the source."""
 
@@ -30,6 +35,40 @@ def csv_files(spark, path):
     return sorted(found)
 
 
+def _first_lines(batches):
+    """First line of each file, read in tasks; compression is told by the file's name."""
+    import pyarrow as pa
+    import pyarrow.fs
+
+    for batch in batches:
+        lines = []
+        for path in batch["path"].to_pylist():
+            store, place = pyarrow.fs.FileSystem.from_uri(path)
+            held = b""
+            with store.open_input_stream(place, compression="detect") as stream:
+                while b"\n" not in held and (more := stream.read(HEADER_BYTES)):
+                    held += more
+            lines.append(held.split(b"\n", 1)[0])
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(lines, pa.binary())], names=["path", "header"])
+
+
+def header_groups(spark, files):
+    """Files by their header line: one job over all files, and one row per distinct header for the driver.
+
+    Tasks open the files themselves where they can (URI_SCHEMES); files of other stores are read by Spark as text.
+    """
+    parts = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    if all(f.split(":", 1)[0] in URI_SCHEMES for f in files):
+        listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(parts)
+        first = listed.mapInArrow(_first_lines, "path string, header binary")
+    else:
+        lines = spark.read.text(files).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("nth"))
+        first = lines.filter("file_block_start = 0").groupBy(F.col("file_path").alias("path")).agg(F.min_by("value", "nth").alias("header"))
+    grouped = first.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    # all paths are in the driver's listing anyhow
+    return sorted(r["paths"] for r in grouped.select("paths").collect())
+
+
 def read_text_csv(spark, path, **options):
     """CSV with a header, every column as text; empty text is NULL.
 
@@ -40,10 +79,12 @@ def read_text_csv(spark, path, **options):
     files = csv_files(spark, path)
     if len(files) < 2:
         return reader.csv(path)
+    # files that differ in their line end or quotes alone have the same columns
     groups = {}
-    for file in files:
-        groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reader.csv(held) for held in groups.values()])
+    for held in header_groups(spark, files):
+        groups.setdefault(tuple(reader.csv(held[0]).columns), []).extend(held)
+    frames = [reader.schema(", ".join(f"`{c.replace('`', '``')}` string" for c in names)).csv(sorted(held)) for names, held in sorted(groups.items(), key=lambda g: min(g[1]))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def require_columns(df, names, source="table"):
@@ -53,15 +94,20 @@ def require_columns(df, names, source="table"):
     return df
 
 
-def conform(df, schema):
-    """Columns of `schema` in its order, cast by name; absent columns are NULL, bad values NULL."""
+def conformed(df, schema):
+    """The columns of `conform`."""
     picked = []
     for field in schema.fields:
         if field.name not in df.columns:
             picked.append(F.lit(None).cast(field.dataType).alias(field.name))
         else:
             picked.append(_cast(F.col(field.name), df.schema[field.name].dataType, field).alias(field.name))
-    return df.select(*picked)
+    return picked
+
+
+def conform(df, schema):
+    """Columns of `schema` in its order, cast by name; absent columns are NULL, bad values NULL."""
+    return df.select(*conformed(df, schema))
 
 
 def _cast(col, have, field):
@@ -95,8 +141,8 @@ def optional_table(spark, path, name, **kwargs):
     return read_table(spark, path, name, **kwargs)
 
 
-def split_bad_rows(raw, schema):
-    """(good rows cast to `schema`, rejected raw rows with the names of the columns that failed)."""
+def flag_bad_rows(raw, schema):
+    """Raw rows with `bad_columns`: the names of the columns of `schema` whose text cannot be read."""
     cast = {
         f.name: _cast(F.col(f.name), raw.schema[f.name].dataType, f)
         for f in schema.fields
@@ -105,7 +151,12 @@ def split_bad_rows(raw, schema):
     failed = [
         F.when(X.blank_to_null(name).isNotNull() & value.isNull(), F.lit(name)) for name, value in cast.items()
     ]
-    flagged = raw.withColumn("bad_columns", F.filter(F.array(*failed), lambda c: c.isNotNull()))
+    return raw.withColumn("bad_columns", F.filter(F.array(*failed), lambda c: c.isNotNull()))
+
+
+def split_bad_rows(raw, schema):
+    """(good rows cast to `schema`, rejected raw rows with the names of the columns that failed)."""
+    flagged = flag_bad_rows(raw, schema)
     good = conform(flagged.filter(F.size("bad_columns") == 0).select(*raw.columns), schema)
     return good, flagged.filter(F.size("bad_columns") > 0)
 
@@ -196,7 +247,7 @@ def rejected_trips(raw, mapping=None):
 
 def read_raw_trips(spark, path, **kwargs):
     """Canonical trips straight from raw CSV; only the detected columns are parsed."""
-    mapping = detect_columns(read_text_csv(spark, path).columns)
+    raw = read_text_csv(spark, path)
+    mapping = detect_columns(raw.columns)
     wanted = [c for c in dict.fromkeys(mapping.values()) if c]
-    raw = read_text_csv(spark, path).select(*[F.col(f"`{c}`").alias(c) for c in wanted])
-    return trips_canon(raw, mapping, **kwargs)
+    return trips_canon(raw.select(*[F.col(f"`{c}`").alias(c) for c in wanted]), mapping, **kwargs)

@@ -2,8 +2,15 @@
 
 import uuid
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from kickstand.schemas import TABLES
-from kickstand.sources.readers import conform, read_text_csv, split_bad_rows
+from kickstand.sources.readers import conform, conformed, flag_bad_rows, read_text_csv
+
+#: Columns of a staged table beside its own: the verdict that parts the rows, and the text of a rejected row.
+VERDICT, RAW_ROW = "_good", "_raw_row"
+
 
 def write_extract(df, path, columns=None):
     """CSV with header and a fixed column order, one file per task."""
@@ -54,17 +61,48 @@ def stored(df):
 def staging_load(spark, csv_path, name, target, rejects=None):
     """Load a CSV file into a typed parquet table; rows with unreadable values go to `rejects`.
 
-    Without `rejects` a bad row fails the load, as a bulk copy would.
+    Without `rejects` a bad row fails the load, as a bulk copy would, and the target stays as it was. The text is parsed
+    once: one pass writes good and bad rows apart, by a partition column, and counts them on the way. Then the good
+    part becomes the target by a rename, and the bad part, read back from the staged files, goes to `rejects`.
     """
-    raw = read_text_csv(spark, csv_path)
-    good, bad = split_bad_rows(raw, TABLES[name])
-    if rejects is None:
-        first = bad.select("bad_columns").first()
-        if first is not None:
-            raise ValueError(f"{csv_path}: unreadable values in {first['bad_columns']}")
+    schema = TABLES[name]
+    flagged = flag_bad_rows(read_text_csv(spark, csv_path), schema)
+    good = F.size("bad_columns") == 0
+    raw = F.when(~good, F.to_json(F.struct(*[F.col(f"`{c}`") for c in flagged.columns if c != "bad_columns"])))
+    staged = flagged.select(
+        *conformed(flagged, schema),
+        raw.alias(RAW_ROW),
+        F.when(~good, F.col("bad_columns").cast("string")).alias("bad_columns"),
+        good.alias(VERDICT),
+    )
+    counts = Observation()
+    observed = staged.observe(counts, F.count_if(~F.col(VERDICT)).alias("bad"), F.max("bad_columns").alias("example"))
+    place = new_folder(spark, "staging")
+    observed.write.partitionBy(VERDICT).parquet(place)
+    if counts.get["bad"] and rejects is None:
+        raise ValueError(f"{csv_path}: unreadable values in {counts.get['example']}")
+    if rejects is not None:
+        names = [c for c in flagged.columns if c != "bad_columns"]
+        layout = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+        bad = spark.read.schema(f"{RAW_ROW} string, bad_columns string, {VERDICT} boolean").parquet(place).filter(~F.col(VERDICT))
+        bad = bad.select(F.from_json(RAW_ROW, layout).alias("row"), "bad_columns").select("row.*", "bad_columns")
+        bad.write.mode("overwrite").option("header", True).csv(rejects)
+    _replace_folder(spark, f"{place}/{VERDICT}=true", target)
+    return spark.read.schema(schema).parquet(target)
+
+
+def _replace_folder(spark, source, target):
+    """Make `source` the folder `target`: a rename inside one store, a copy between stores."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(source), hadoop.Path(target)
+    from_store, to_store = source.getFileSystem(conf), target.getFileSystem(conf)
+    to_store.delete(target, True)
+    if not from_store.exists(source):
+        to_store.mkdirs(target)
+        return
+    to_store.mkdirs(target.getParent())
+    if from_store.getUri().equals(to_store.getUri()):
+        from_store.rename(source, target)
     else:
-        bad.withColumn("bad_columns", bad["bad_columns"].cast("string")).write.mode("overwrite").option(
-            "header", True
-        ).csv(rejects)
-    good.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+        hadoop.FileUtil.copy(from_store, source, to_store, target, True, conf)
