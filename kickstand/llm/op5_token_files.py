@@ -56,7 +56,6 @@ def _writer(folder, tokenizer, end_id):
                 sizes.append(np.array([len(ids) for ids in held], np.int64) // encoder.width)
                 for ids in held:
                     out.write(ids)
-        encoder.forget()
         offsets = np.cumsum(np.concatenate(sizes)).astype("<i8")
         with store.open_output_stream(drafts[1]) as out:
             out.write(np.concatenate(doc_ids).tobytes())

@@ -112,7 +112,6 @@ def _packer(tokenizer, end_id, length, with_ids):
             order = sorted(range(len(texts)), key=lambda i: places[i])
         held = [encoder.encode(texts[i]) for i in order]
         del texts
-        encoder.forget()
         sizes = [len(ids) // encoder.width for ids in held]
         base = key[0].as_py() << 32
         rows = pack(sizes, length)
