@@ -8,7 +8,8 @@ from kickstand import constants as C
 from kickstand.functions import columns as X
 from kickstand.operators.status import expected_rate, observed_against, with_sla
 
-NULL_KEY_SLOTS = 1024
+#: Stand-ins for missing keys: many more than partitions, so that these get even shares.
+NULL_KEY_SLOTS = 1 << 20
 
 
 def with_workload(events, demand, time_col, out="workload_trips_hour"):
@@ -120,30 +121,30 @@ def _spread_key(row_id, key):
     return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SLOTS))).otherwise(F.lit(0))
 
 
+def _with_cause(tasks, causes, key, cause_id, how):
+    """Join with the row of `causes` whose id is the task's `key`; tasks without a key meet none.
+
+    An outer join sends every NULL key to one task, so rows without a key are spread by a stand-in made of their id.
+    The stand-in only deals the rows out: `key` itself must match as well. (A slot that is 0 on the other side would
+    not do: Catalyst takes a constant out of the join's keys.)
+    """
+    stand_in = F.pmod(F.xxhash64("task_id"), F.lit(NULL_KEY_SLOTS)).cast(tasks.schema[key].dataType)
+    keyed = tasks.select(key, *[c for c in tasks.columns if c != key], F.coalesce(key, stand_in).alias("_dealt_by"))
+    causes = causes.withColumnRenamed(cause_id, "_cause_id")
+    same = (F.col("_dealt_by") == F.col("_cause_id")) & (F.col(key) == F.col("_cause_id"))
+    return keyed.join(causes, same, how).drop("_dealt_by", "_cause_id")
+
+
 def task_linkage(tasks, incidents, status=None, status_time=None):
     """Every task with its cause and the minutes from the cause to the task; NULL without a cause."""
-    causes = incidents.select(
-        F.col("incident_id").alias("linked_incident_id"),
-        F.lit(0).cast("bigint").alias("_slot"),
-        "incident_type",
-        F.col("occurred_at").alias("cause_at"),
-    )
-    linked = tasks.withColumn("_slot", _spread_key("task_id", "linked_incident_id").cast("bigint")).join(
-        causes, ["linked_incident_id", "_slot"], "left"
-    )
+    causes = incidents.select("incident_id", "incident_type", F.col("occurred_at").alias("cause_at"))
+    linked = _with_cause(tasks, causes, "linked_incident_id", "incident_id", "left")
     cause_at = F.col("cause_at")
     if status is not None and "linked_event_id" in tasks.columns:
-        events = status.select(
-            F.col("event_id").alias("linked_event_id"),
-            F.lit(0).cast("bigint").alias("_slot"),
-            "event_type",
-            F.col(X.time_column(status, status_time)).alias("_event_at"),
-        )
-        linked = linked.withColumn("_slot", _spread_key("task_id", "linked_event_id").cast("bigint")).join(
-            events, ["linked_event_id", "_slot"], "left"
-        )
+        events = status.select("event_id", "event_type", F.col(X.time_column(status, status_time)).alias("_event_at"))
+        linked = _with_cause(linked, events, "linked_event_id", "event_id", "left")
         cause_at = F.coalesce(cause_at, "_event_at")
-    linked = linked.withColumn("cause_at", cause_at).drop("_slot", "_event_at")
+    linked = linked.withColumn("cause_at", cause_at).drop("_event_at")
     return linked.withColumn("minutes_to_task", X.minutes_between("cause_at", "created_at"))
 
 

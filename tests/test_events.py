@@ -1,6 +1,7 @@
 """Incidents, status events, tasks and vehicles."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kickstand import constants as C
 from kickstand.operators import fleet as FL
@@ -161,6 +162,37 @@ def test_linkage_splits_into_linked_and_unlinked(rows):
     assert sorted(r[0] for r in tuples(unlinked, "task_id")) == list(range(3, 60))
 
 
+@pytest.fixture
+def mostly_keyless(spark, rows):
+    """4,000 tasks, all but 40 without any cause, incidents and status events; joins shuffle into 8 partitions as planned."""
+    made, before = at("2024-01-01 02:00:00"), at("2024-01-01 01:45:00")
+    tasks = rows("task_id bigint, linked_incident_id bigint, linked_event_id bigint, created_at timestamp_ntz",
+                 *[(i, i if i % 100 == 0 else None, i if i % 100 == 50 else None, made) for i in range(4000)])
+    incidents = rows("incident_id bigint, incident_type string, occurred_at timestamp_ntz", *[(i, "crash", before) for i in range(100, 4000)])
+    status = rows("event_id bigint, event_type string, event_time timestamp_ntz", *[(i, "rebalance", before) for i in range(4000)])
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield tasks, incidents, status
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def shares(df):
+    """Rows of each partition that has any."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_linkage_deals_out_tasks_without_a_cause(mostly_keyless):
+    tasks, incidents, status = mostly_keyless
+    for linked in (TK.task_linkage(tasks, incidents), TK.task_linkage(tasks, incidents, status)):
+        got = shares(linked)
+        assert sum(got) == 4000 and len(got) == 8 and max(got) < 1000
+    got = linked.groupBy("incident_type", "event_type", "minutes_to_task").count().collect()
+    assert {tuple(r) for r in got} == {(None, None, None, 3921), ("crash", None, 15, 39), (None, "rebalance", 15, 40)}
+
+
 def test_vehicle_features(rows):
     df = rows("vendor string, battery_wh int, odometer_km int, in_service_since date, decommissioned_at date",
               ("Lyft", 520, 380, day("2024-01-01"), None), ("Lyft", 520, 380, day("2024-01-01"), day("2024-01-05")),
