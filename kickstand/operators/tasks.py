@@ -113,14 +113,6 @@ def tasks_vs_expected(tasks, demand, time_col="created_at"):
     return observed_against(expected_tasks(demand), tasks, "task_type", time_col)
 
 
-def _spread_key(row_id, key):
-    """0 for rows with a key; rows without one get a slot by their id.
-
-    An outer join sends every NULL key to one task; joined with this slot they are spread out.
-    """
-    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SLOTS))).otherwise(F.lit(0))
-
-
 def _with_cause(tasks, causes, key, cause_id, how):
     """Join with the row of `causes` whose id is the task's `key`; tasks without a key meet none.
 
@@ -156,6 +148,5 @@ def linked_tasks(tasks, incidents):
 
 def unlinked_tasks(tasks, incidents):
     """Tasks without an incident, or whose incident is not there."""
-    causes = incidents.select(F.col("incident_id").alias("linked_incident_id"), F.lit(0).cast("bigint").alias("_slot"))
-    keyed = tasks.withColumn("_slot", _spread_key("task_id", "linked_incident_id").cast("bigint"))
-    return keyed.join(causes, ["linked_incident_id", "_slot"], "left_anti").select(*tasks.columns)
+    unlinked = _with_cause(tasks, incidents.select("incident_id"), "linked_incident_id", "incident_id", "left_anti")
+    return unlinked.select(*tasks.columns)

@@ -193,6 +193,12 @@ def test_linkage_deals_out_tasks_without_a_cause(mostly_keyless):
     assert {tuple(r) for r in got} == {(None, None, None, 3921), ("crash", None, 15, 39), (None, "rebalance", 15, 40)}
 
 
+def test_unlinked_tasks_deal_out_tasks_without_an_incident(mostly_keyless):
+    tasks, incidents, _ = mostly_keyless
+    got = shares(TK.unlinked_tasks(tasks, incidents))
+    assert sum(got) == 3961 and len(got) == 8 and max(got) < 1000
+
+
 def test_vehicle_features(rows):
     df = rows("vendor string, battery_wh int, odometer_km int, in_service_since date, decommissioned_at date",
               ("Lyft", 520, 380, day("2024-01-01"), None), ("Lyft", 520, 380, day("2024-01-01"), day("2024-01-05")),
