@@ -38,6 +38,8 @@ BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 1 << 19
 SEGMENT = 64
 FREQUENT = 1 << 15
+#: Bytes of text that are hashed at once.
+HASHED = 1 << 17
 LAST = np.iinfo(np.int64).max
 PART = "bucket int, batch int, kind int, numbers binary, counts binary, bytes binary"
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -56,7 +58,7 @@ class Batch:
         self.data = np.concatenate([data[ends[i] : ends[i + 1]] for i in order] or [data])
         self.null = np.array(table["doc_id"].is_null())[order]
         self.length = length
-        parts = [self._segments(int(self.ends[a]), int(self.ends[b]), a, b, length, word) for a, b in common.slices(self.ends, 1 << 19)]
+        parts = [self._segments(int(self.ends[a]), int(self.ends[b]), a, b, length, word) for a, b in common.slices(self.ends, 1 << 17)]
         self.minimizer, self.start, self.windows, self.doc = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(4))
         self.minimizer = self.minimizer.astype(np.uint64)
 
@@ -95,18 +97,27 @@ class Batch:
         # minima crowd at the low end: mixed again they spread evenly over the buckets
         return common.mix(least[start]), start + low, windows, np.repeat(doc, pieces) + a
 
+    def _by_minimizer(self):
+        """Segments in order of their minimizers, and which of them are the first of theirs."""
+        order = np.argsort(self.minimizer, kind="stable")
+        m = self.minimizer[order]
+        new = np.ones(len(m), bool)
+        new[1:] = m[1:] != m[:-1]
+        return order, new
+
     def minimizers(self):
         """Distinct minimizers in order, segments of each, and whether two documents of the batch bear it."""
-        order = np.argsort(self.minimizer, kind="stable")
-        m, doc = self.minimizer[order], self.ids[self.doc[order]]
-        first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
-        many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(m) else np.zeros(0, bool)
-        return m[first], np.diff(np.append(first, len(m))), many
+        order, new = self._by_minimizer()
+        first, doc = np.flatnonzero(new), self.ids[self.doc[order]]
+        many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(doc) else np.zeros(0, bool)
+        return self.minimizer[order[first]], np.diff(np.append(first, len(doc))), many
 
-    def strings(self, distinct, status, n_buckets):
+    def strings(self, status, n_buckets):
         """Occurrences of repeated segments: bucket-ordered distinct strings with their owners, and which string
         each occurrence is. Frequent minimizers give their windows one by one."""
-        state = status[np.searchsorted(distinct, self.minimizer)] if len(distinct) else np.zeros(0, np.uint8)
+        by_minimizer, new = self._by_minimizer()
+        state = np.empty(len(new), np.uint8)
+        state[by_minimizer] = status[np.cumsum(new) - 1]
         whole, hot = np.flatnonzero(state == REPEATED), np.flatnonzero(state == HOT)
         count = self.windows[hot]
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -114,7 +125,7 @@ class Batch:
         windows = np.concatenate([self.windows[whole], np.ones(len(nth), np.int64)])
         doc = self.ids[np.concatenate([self.doc[whole], np.repeat(self.doc[hot], count)])]
         size = windows + self.length - 1
-        hashes = _string_hashes(self.data, start, size)
+        hashes = np.concatenate([_string_hashes(self.data, x, n) for x, n in zip(np.split(start, [len(whole)]), np.split(size, [len(whole)]), strict=True)])
         key = np.concatenate([self.minimizer[whole], hashes[len(whole) :]])
         bucket = (common.mix(key) % np.uint64(n_buckets)).astype(np.int64)
         # equal strings have one bucket: bucket and the hash's leading bits order them in one word
@@ -132,15 +143,25 @@ class Batch:
 
 
 def _string_hashes(data, starts, sizes):
-    """Hash of each data[start : start + size], from sums over the data: the strings may overlap."""
-    powers = common.powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(common.BYTE_WORDS[data] * powers[:-1], out=sums[1:])
+    """Hash of each data[start : start + size], from sums over the data: the strings may overlap. The starts ascend, so
+    slices of the data that stay in the cache do, and the powers are those of one slice."""
+    out = np.empty(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    wide = min(len(data), HASHED + int(sizes.max()))
+    powers = common.powers(wide + 1)
     # dividing by a power of an odd number: the inverse of STEP to that power
-    inverse = np.full(len(data) + 1, np.uint64(pow(int(common.STEP), -1, 1 << 64)), np.uint64)
+    inverse = np.full(min(len(data), HASHED), np.uint64(pow(int(common.STEP), -1, 1 << 64)), np.uint64)
     inverse[0] = 1
     inverse = np.multiply.accumulate(inverse)
-    return common.mix((sums[starts + sizes] - sums[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sums = np.zeros(wide + 1, np.uint64)
+    for low in range(0, len(data), HASHED):
+        a, b = np.searchsorted(starts, [low, low + HASHED])
+        part = data[low : low + wide]
+        np.cumsum(common.BYTE_WORDS[part] * powers[: len(part)], out=sums[1 : len(part) + 1])
+        at = starts[a:b] - low
+        out[a:b] = (sums[at + sizes[a:b]] - sums[at]) * inverse[at]
+    return common.mix(out + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _gather(data, starts, sizes):
@@ -238,7 +259,7 @@ def _send(length, word, n_buckets):
     def run(key, table, told):
         rows = []
         batch = Batch(table, length, word)
-        strings, *_ = batch.strings(batch.minimizers()[0], _states(told.to_pylist()), n_buckets)
+        strings, *_ = batch.strings(_states(told.to_pylist()), n_buckets)
         cuts, stops = _runs(strings["bucket"])
         for a, b in zip(cuts, stops, strict=True):
             size = strings["size"][a:b]
@@ -324,7 +345,7 @@ def _cut_out(length, word, n_buckets):
     def run(key, table, told):
         told = told.to_pylist()
         batch = Batch(table, length, word)
-        strings, start, doc, string = batch.strings(batch.minimizers()[0], _states(told), n_buckets)
+        strings, start, doc, string = batch.strings(_states(told), n_buckets)
         replies = sorted((r for r in told if r["kind"] == 1), key=lambda r: r["bucket"])
         run_doc = np.frombuffer(b"".join(r["numbers"] for r in replies), "<i8")
         n_runs = np.frombuffer(b"".join(r["counts"] for r in replies), np.uint8).astype(np.int64)

@@ -83,6 +83,34 @@ def test_run_index_finds_longest_matches_and_smallest_owners(depth):
                         assert index.least_owner(np.array([row]))[0] == min(o for s, o in zip(strings, owners, strict=True) if p[j : j + depth] in s)
 
 
+def test_the_index_sorts_only_ties_again(monkeypatch):
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 123, 40000).astype(np.uint8)
+    data[30000:30100] = data[:100]
+    real, sorted_ = np.sort, []
+    monkeypatch.setattr(np, "sort", lambda x: sorted_.append(len(x)) or real(x))
+    index = RunIndex(data, np.array([0, 20000, 40000]), np.array([1, 2]), 50)
+    # symbols of a key tell most positions apart; the passage that comes twice is sorted until it ends
+    assert sorted_[0] == index.n and len(sorted_) > 3 and sum(sorted_[1:]) < index.n
+    found, rows = index.matching_statistics(data, np.array([0, 20000, 40000]))
+    assert (found[30000:30051] == 50).all() and (index.least_owner(rows[30000:30051]) == 1).all()
+
+
+def test_hashes_do_not_depend_on_where_a_string_lies(monkeypatch):
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 256, 120).astype(np.uint8)
+    starts = np.sort(rng.choice(np.arange(0, 9000, 130), 40, replace=False))
+    data = rng.integers(0, 256, 9000).astype(np.uint8)
+    for a in starts:
+        data[a : a + 120] = passage[: len(data[a : a + 120])]
+    sizes = np.minimum(120, len(data) - starts)
+    whole = op1._string_hashes(data, starts, sizes)
+    monkeypatch.setattr(op1, "HASHED", 64)
+    assert (op1._string_hashes(data, starts, sizes) == whole).all() and len(set(whole[sizes == 120])) == 1
+    other = op1._string_hashes(data, starts + 1, np.minimum(sizes, 100))
+    assert not set(other) & set(whole) and len(op1._string_hashes(data, starts[:0], sizes[:0])) == 0
+
+
 def _repetitive(n_copies):
     rng = random.Random(12)
     passage = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
