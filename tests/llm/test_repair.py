@@ -124,6 +124,6 @@ def test_repaired_text_follows_the_pattern(spark):
     rows = [(1, 0, "system", "Be."), (1, 1, "assistant", "Hi."), (1, 2, "user", "Yes")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = op12.repair(frame, with_text=True).first()
-    assert (got["audit"], got["cost"]) == cheapest((("s", False, False), ("a", False, False), ("u", False, True)))
+    assert (got["cost"], got["audit"]) == cheapest((("s", False, False), ("a", False, False), ("u", False, True)))
     assert hashlib.sha256(got["repaired"].encode()).hexdigest() == got["repaired_sha256"]
     assert [line[0] for line in got["repaired"].split("\n")] in (["s", "u", "a"], ["s", "u", "a", "u", "a"])
